@@ -28,18 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.common import connected_components, in_runs, scratch, shuffle_width, written
 
-#: Shingles gathered by a task before it hands them on (8 bytes each).
+#: Shingles gathered by a task before it hands them on (6 bytes each).
 CHUNK = 2_000_000
 #: Words whose hash a task remembers.
 WORDS = 1_000_000
 #: Members of one shingle that are compared in one piece of work.
 BLOCK = 2048
-SKETCH_BITS = (256, 16384)
+SKETCH_BITS = (128, 4096)
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -53,33 +54,48 @@ class WordHashes(dict):
 
 
 def shingles(text: str | None, known: WordHashes, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a whole text, lower-cased
-    in A-Z; of a shorter text, one hash of all its words; of none, nothing."""
+    """Sorted distinct 48-bit hashes of the word n-grams of a whole text,
+    lower-cased in A-Z; of a shorter text, one hash of all its words; of none,
+    nothing."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
     if n < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n) >> 16], dtype=np.uint64)
     each = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     x = each[: n - width + 1] * _MIX[0]
     for k in range(1, width):
         x ^= x >> np.uint64(29)
         x = x * _MIX[k % 5] + each[k : n - width + 1 + k]
     x ^= x >> np.uint64(32)
-    return np.unique(x)
+    return np.unique(x >> np.uint64(16))
 
 
 def sketch(hashes: np.ndarray, n: int) -> bytes:
     """Parity of the number of hashes that fall on each bit.  Two sketches
     differ in at most as many bits as the sets differ in members."""
-    bits = min(max(1 << (2 * n - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
-    odd = np.bincount(((hashes * _MIX[0]) >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    bits = min(max(1 << (n - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    odd = np.bincount(((hashes * _MIX[0]) >> np.uint64(44)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _pack(values: list[np.ndarray]) -> bytes:
-    return np.concatenate(values).tobytes() if values else b""
+def _pack(hashes: np.ndarray) -> bytes:
+    """Six bytes for each hash."""
+    return hashes.astype(np.uint32).tobytes() + (hashes >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _zip(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(np.int32).tobytes())
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.int32)
 
 
 _DEALT = "bucket int, hashes binary, class_ids binary, sizes binary, counts binary, doc_ids array<bigint>"
@@ -95,21 +111,21 @@ def _deal(width: int, buckets: int):
         def flush() -> pa.RecordBatch:
             ids = np.array([d[1] for d in docs], dtype=np.int64)
             sizes = np.array([len(d[2]) for d in docs], dtype=np.int32)
-            rows = [(turn % buckets, None, ids.tobytes(), sizes.tobytes(), None, [d[0] for d in docs])]
+            rows = [(turn % buckets, None, ids.tobytes(), _zip(sizes), None, [d[0] for d in docs])]
             first = list({d[1]: d[2] for d in docs if len(d[2])}.items())  # copies once
             if first:
                 all_of = np.concatenate([x for _, x in first])
                 owner = np.repeat(np.arange(len(first), dtype=np.int32), [len(x) for _, x in first])
                 own_ids = np.array([k for k, _ in first], dtype=np.int64)
                 own_sizes = np.array([len(x) for _, x in first], dtype=np.int32)
-                bucket = ((all_of >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+                bucket = (all_of % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 all_of, owner, bucket = all_of[order], owner[order], bucket[order]
                 ends = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in range(buckets):
                     if (low := ends[b]) < (high := ends[b + 1]):
                         who, counts = np.unique(owner[low:high], return_counts=True)
-                        rows.append((b, all_of[low:high].tobytes(), own_ids[who].tobytes(), own_sizes[who].tobytes(), counts.astype(np.int32).tobytes(), None))
+                        rows.append((b, _pack(all_of[low:high]), own_ids[who].tobytes(), _zip(own_sizes[who]), _zip(counts), None))
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -131,12 +147,12 @@ def _repeat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """hash, class, size of each entry of packed rows, and the row's extra."""
     hashes, ids, sizes, more = [], [], [], []
     for row in table.to_pylist():
-        n = np.frombuffer(row["counts"], np.int32)
-        hashes.append(np.frombuffer(row["hashes"], np.uint64))
+        n = _unzip(row["counts"])
+        hashes.append(_unpack(row["hashes"]))
         ids.append(np.repeat(np.frombuffer(row["class_ids"], np.int64), n))
-        sizes.append(np.repeat(np.frombuffer(row["sizes"], np.int32), n))
+        sizes.append(np.repeat(_unzip(row["sizes"]), n))
         if row.get("found_in"):
-            more.append(np.frombuffer(row["found_in"], np.int32))
+            more.append(_unzip(row["found_in"]))
     return np.concatenate(hashes), np.concatenate(ids), np.concatenate(sizes), np.concatenate(more) if more else np.empty(0, np.int32)
 
 
@@ -180,7 +196,7 @@ def _count(buckets: int):
                 for b in range(buckets):
                     if (low := ends[b]) < (high := ends[b + 1]):
                         who, at, counts = np.unique(ids[low:high], return_index=True, return_counts=True)
-                        rows.append((b, h[low:high].tobytes(), who.tobytes(), sizes[low:high][at].tobytes(), counts.astype(np.int32).tobytes(), found_in[low:high].tobytes(), None))
+                        rows.append((b, _pack(h[low:high]), who.tobytes(), _zip(sizes[low:high][at]), _zip(counts), _zip(found_in[low:high]), None))
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COUNTED)], schema=_COUNTED)
 
     return run
@@ -198,7 +214,7 @@ def _classes(percent: int):
         for row in table.filter(is_doc).to_pylist():
             doc += row["doc_ids"]
             cls.append(np.frombuffer(row["class_ids"], np.int64))
-            size.append(np.frombuffer(row["sizes"], np.int32))
+            size.append(_unzip(row["sizes"]))
         k = len(doc)
         out = [pa.table([pa.array(["doc"] * k, pa.string()), pa.array(doc, pa.int64()), pa.array(np.concatenate(cls) if cls else [], pa.int64()), pa.array(np.concatenate(size) if size else [], pa.int32()), *(pa.nulls(k, f.type) for f in list(_CLASSES)[4:])], schema=_CLASSES)]
         entries = table.filter(pa.compute.invert(is_doc))
@@ -343,14 +359,17 @@ def _compare(percent: int, forest: bool):
 
 def _candidates(classes: DataFrame, component: DataFrame | None, percent: int) -> DataFrame:
     spark = classes.sparkSession
-    rows = classes.withColumn("group_id", F.xxhash64("n", "prefix"))
+    whole = classes.select("class_id", "n", "unshared", "sketch", F.xxhash64("n", "prefix").alias("group_id"))
     if component is None:
-        rows = rows.withColumn("component", F.col("class_id"))
+        whole = whole.withColumn("component", F.col("class_id"))
     else:
-        rows = rows.join(component.select(F.col("node").alias("class_id"), F.col("root").alias("component")), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    rows = rows.select("class_id", "group_id", "n", "unshared", "sketch", "component", F.posexplode("prefix").alias("at", "shingle"))
-    lively = rows.groupBy("shingle").agg(F.count("*").alias("in_all"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("shingle", "in_all")
-    rows = rows.join(lively, "shingle")
+        whole = whole.join(component.select(F.col("node").alias("class_id"), F.col("root").alias("component")), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    keys = classes.select("class_id", F.posexplode("prefix").alias("at", "shingle"))
+    if component is not None:
+        keys = keys.join(whole.select("class_id", "component"), "class_id")
+    mark = "class_id" if component is None else "component"
+    lively = keys.groupBy("shingle").agg(F.count("*").alias("in_all"), F.min(mark).alias("c0"), F.max(mark).alias("c1")).where("c0 <> c1").select("shingle", "in_all")
+    rows = keys.select("class_id", "at", "shingle").join(lively, "shingle").join(whole, "class_id")
     blocks = F.ceil(F.col("in_all") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("group_id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -379,7 +398,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is kept and never chosen as component_id unless no other is there; an
     empty table gives no rows; other columns are not looked at."""
     spark = docs.sparkSession
-    buckets = 4 * shuffle_width(spark)
+    buckets = shuffle_width(spark)
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_deal(width, buckets), _DEALT)
     counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), "bucket int, hashes binary, class_ids binary, sizes binary, counts binary, found_in binary, doc_ids array<bigint>")
     made = counted.groupBy("bucket").applyInArrow(_classes(percent), "kind string, doc_id bigint, class_id bigint, n int, unshared int, prefix array<bigint>, members array<bigint>, sketch binary")
