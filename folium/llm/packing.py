@@ -33,7 +33,8 @@ WORDS = 500_000
 CHARS = 2_000_000
 
 #: The white space of Unicode, which the tokenizer drops.
-_WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_WORD = re.compile(f"[^{_WHITE}]+")
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 
 
