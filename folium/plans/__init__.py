@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES = ("texts", "graphs")
 
 
 def load() -> None:
