@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "graphs")
+FAMILIES = ("texts", "graphs", "vectors")
 
 
 def load() -> None:
