@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "graphs", "vectors")
+FAMILIES = ("texts", "graphs", "vectors", "states")
 
 
 def load() -> None:
