@@ -201,7 +201,7 @@ def test_local_search_empties_bins():
     bad = [[0], [1], [2], [3], [4], [5], [6], [7]]
     done = packing.local_search(bad, lengths, 10)
     assert len(done) == 4 and sorted(i for b in done for i in b) == list(range(8)) and all(sum(lengths[b]) <= 10 for b in map(list, done))
-    swap = packing.local_search([[0, 1], [2, 3], [4]], np.array([50, 30, 60, 20, 40]), 100)  # 40 for 20, then 20 moves
+    swap = packing.local_search([[2, 3], [0, 1], [4]], np.array([50, 30, 60, 20, 40]), 100)  # 40 for 20, then 20 moves
     assert len(swap) == 2 and all(sum([50, 30, 60, 20, 40][i] for i in b) == 100 for b in swap)
 
 
