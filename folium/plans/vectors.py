@@ -42,7 +42,7 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lsh_knn")
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.lsh_nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5, vectors.random_planes(64, 12, 6))
+    return vectors.lsh_nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5)
 
 
 def _leg_sql(leg: int, weight: float, where: str, k: int) -> str:
