@@ -33,7 +33,7 @@ def segment_ngrams(text: Column, n: int = 2) -> Column:
 def keywords(text: Column) -> Column:
     """Distinct 2-, 3- and 4-grams of the lower-cased text without all that is
     no word character."""
-    bare = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[^\\w]", ""))
+    bare = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[^\\w]+", ""))
     return F.array_distinct(F.concat(*(grams(bare, n) for n in (2, 3, 4))))
 
 

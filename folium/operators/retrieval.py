@@ -27,13 +27,14 @@ def word_search(entries: DataFrame, text_col: str, words: tuple[str, ...], top_k
     """What gram_search gives, straight from the text: an entry has a gram of
     2 to 4 characters if its bare text contains it.  For a few words, this
     reads the text once and needs no index and no shuffle but the top k's."""
-    bare = F.lower(F.regexp_replace(F.coalesce(text_col, F.lit("")), "(?U)[^\\w]", ""))
+    bare = F.lower(F.regexp_replace(F.coalesce(text_col, F.lit("")), "(?U)[^\\w]+", ""))
     score = F.lit(0)
     for w in dict.fromkeys(w.lower() for w in words):
         if 2 <= len(w) <= 4:
             score = score + F.contains("bare", F.lit(w)).cast("int")
     scored = entries.select(*keys, bare.alias("bare")).select(*keys, score.cast("bigint").alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), *keys).limit(top_k)
+    # what scores 0 goes last, so it can go after the limit; before, the filter would bring the score's text work twice
+    return scored.orderBy(F.desc("score"), *keys).limit(top_k).where("score > 0")
 
 
 def entry_score(query: str, title: Column, summary: Column, characters: Column, events: Column) -> Column:

@@ -93,8 +93,8 @@ def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wiki_search_topk", f"SELECT book, position, score FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, position) AS place FROM ({_entry}) WHERE score > 0) WHERE place <= 5")
 def wiki_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    scored = _wiki(spark, sf_dir).select("book", "position", retrieval.entry_score(QUESTION, c("title"), c("text"), c("names"), c("events")).alias("score")).where("score > 0")
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("book").orderBy(F.desc("score"), "position"))).where("place <= 5").drop("place")
+    scored = _wiki(spark, sf_dir).select("book", "position", retrieval.entry_score(QUESTION, c("title"), c("text"), c("names"), c("events")).alias("score"))
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("book").orderBy(F.desc("score"), "position"))).where("place <= 5 AND score > 0").drop("place")
 
 
 @query(
