@@ -5,10 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from folium.functions.text import bare_name
-from folium.operators.storage import cut_lineage
+from folium.operators.storage import cut_lineage, numbered
 
 # -- building
 
@@ -209,7 +208,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     else:
         label = label.withColumn("label", F.lit(""))
     size = label.groupBy("label").agg(F.count("*").alias("size"), F.min("name").alias("first"))
-    number = size.withColumn("community", F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1)
+    number = numbered(size, F.desc("size"), "first").withColumnRenamed("number", "community")
     return label.join(number.select("label", "community"), "label").select("name", "community")
 
 
@@ -282,10 +281,10 @@ def gexf_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``part, number, xml``: nodes numbered in order of name, edges by these
     numbers; edges of unknown nodes go."""
     escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    ids = nodes.select("name", (F.row_number().over(W.orderBy("name")) - 1).alias("id"))
+    ids = numbered(nodes.select("name"), "name").withColumnRenamed("number", "id")
     node = ids.select(F.lit("node").alias("part"), F.col("id").cast("bigint").alias("number"), F.format_string('<node id="%d" label="%s"/>', "id", escaped("name")).alias("xml"))
     ends = edges.join(ids.select(F.col("name").alias("source"), F.col("id").alias("s")), "source").join(ids.select(F.col("name").alias("target"), F.col("id").alias("t")), "target")
-    ends = ends.withColumn("id", F.row_number().over(W.orderBy("s", "t")) - 1)
+    ends = numbered(ends, "s", "t").withColumnRenamed("number", "id")
     edge = ends.select(F.lit("edge").alias("part"), F.col("id").cast("bigint").alias("number"), F.format_string('<edge id="%d" source="%d" target="%d" weight="%d"/>', "id", "s", "t", "weight").alias("xml"))
     return node.unionByName(edge)
 

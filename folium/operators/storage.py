@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,3 +43,14 @@ def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
 
 def pending(every: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return every.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with their ``number`` from 0 in order.  Ranges of rows are sorted
+    each on its own and start where those before them end, so no task sees
+    all rows; the starts are one row for each range."""
+    cut = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = cut.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return cut.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn("number", F.col("_start") + F.col("_own") - 1).drop("_range", "_own", "_start")

@@ -98,17 +98,7 @@ def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that begin alike are one event, of the first chapter it is in;
     numbers come from ranges that are counted first, not from one task."""
     first = table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 30).alias("event")).agg(F.min("doc_id").alias("first_id"))
-    return numbered(first, ["first_id", "event"]).select("event", "first_id", "number")
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows numbered from 0 in order.  Ranges of rows are sorted each on its
-    own and start where those before them end."""
-    cut = storage.cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    starts = cut.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("start"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return cut.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn("number", F.col("start") + F.col("_own") - 1).drop("_range", "_own", "start")
+    return storage.numbered(first, "first_id", "event").select("event", "first_id", "number")
 
 
 @query("timeline", "SELECT user_id, list_sort(list(event_type || ' ' || event_id ORDER BY ts, event_id)[:10]) AS first_events, count(*) AS n FROM events GROUP BY user_id")
