@@ -69,6 +69,12 @@ class LineStore:
                 for name in old:
                     self.spark.sql(f"DROP TABLE {name}")
 
+    def drop(self) -> None:
+        """Removes the runs' tables."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
     def lines(self, docs: DataFrame) -> DataFrame:
         """``doc_id, h1, h2`` of each document's distinct keys that count."""
         each = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
@@ -123,6 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for batch in by_range(rows, batches):
         part = store.add(batch)
         dropped = part if dropped is None else dropped.unionByName(part)
+    store.drop()  # what documents lose is written by now
     if dropped is None:
         dropped = rows.limit(0).select("doc_id", F.array(F.struct(F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"))).alias("dropped"))
     both = rows.join(dropped, "doc_id", "left")
