@@ -54,3 +54,14 @@ def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     starts = cut.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
     own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return cut.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn("number", F.col("_start") + F.col("_own") - 1).drop("_range", "_own", "_start")
+
+
+def numbered_within(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Rows with their ``number`` from 0 within their group, in order.  A
+    large group spans several ranges, each sorted on its own, and a range
+    starts where those before it end; give it few columns."""
+    cut = cut_lineage(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("n").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = cut.groupBy(group, "_range").agg(F.count("*").alias("n")).select(group, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range", group).orderBy(order))
+    return cut.withColumn("_own", own).join(starts, [group, "_range"]).withColumn("number", F.col("_start") + F.col("_own") - 1).drop("_range", "_own", "_start")

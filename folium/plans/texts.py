@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from folium.functions import text as T
 from folium.functions.profiles import LATIN
-from folium.operators import retrieval, segment
+from folium.operators import retrieval, segment, storage
 from folium.registry import query, table
 
 WORDS = ("The", "eau", "sch", "que", "ión", "the", "wh", "tion", "worthless")
@@ -18,10 +18,11 @@ CHAPTERS = "SELECT source AS book, doc_id, row_number() OVER (PARTITION BY sourc
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the chapters of books: their source, in order of id."""
+    """Documents as the chapters of books: their source, in order of id.  Only
+    source and id are sorted; texts meet their position by id."""
     docs = table(spark, sf_dir, "documents")
-    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    return docs.select(F.col("source").alias("book"), "doc_id", place.cast("bigint").alias("position"), F.split("text", "\n")[0].alias("title"), "text")
+    place = storage.numbered_within(docs.select("source", "doc_id"), "source", "doc_id").select("doc_id", F.col("number").alias("position"))
+    return docs.join(place, "doc_id").select(F.col("source").alias("book"), "doc_id", "position", F.split("text", "\n")[0].alias("title"), "text")
 
 
 _hits = " + ".join(f"contains(t, '{w}')::INT" for w in dict.fromkeys(w.lower() for w in WORDS) if len(w) <= 4)
