@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,15 @@ END_ID = 1
 #: Pieces in a group, and the fill up to which a bin goes to the next round.
 GROUP = 6000
 OPEN_BELOW = 0.97
-#: Words whose ids a task remembers; characters tokenised in one go.
-WORDS = 500_000
-CHARS = 2_000_000
+#: Words whose ids a task remembers.
+WORDS = 600_000
 
 #: The white space of Unicode, which the tokenizer drops.
 _WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WORD = re.compile(f"[^{_WHITE}]+")
+#: Letters that normalising leaves alone but for lower case.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_UNUSUAL = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\\|")
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 
 
@@ -44,50 +47,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Tokens:
-    """Ids of a text by a tokenizer that never joins across white space: each
-    distinct word is handed to the tokenizer once, many at a time, and its ids
-    are remembered as little-endian unsigned 32-bit numbers."""
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable bytes stand for themselves, the others for the characters from
+    256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
 
-    #: A special token that keeps words apart on their way through the tokenizer.
-    APART = "<|endoftext|>"
+class Tokens:
+    """Ids of a text by a byte-level tokenizer that drops white space and never
+    joins across it.  A task remembers the ids of each distinct word, as
+    little-endian unsigned 32-bit numbers.  A word of letters with plain
+    punctuation after it is put together from the ids that the tokenizer's
+    model gives to its parts, which are remembered too; any other word goes
+    through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.apart = self.tokenizer.token_to_id(self.APART)
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        return _WORD.findall(text) if _ODD_SPACES.search(text) else text.split()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain = [w for w in new if "<|" not in w]
-        for k in range(0, len(plain), 20_000):
-            some = plain[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode(self.APART.join(some), add_special_tokens=False).ids, dtype="<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.apart)) if self.apart is not None else []
-            if len(parts) == len(some):
-                self.known.update(zip(some, (p[bool(i) :].tobytes() for i, p in enumerate(parts)), strict=True))
-            else:
-                new += some
-        for w in new:
-            if w not in self.known:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.words(t) for t in texts]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words)
-        self.learn(distinct)
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.known = _Remembered(self._word)
+
+    def _part(self, part: str) -> bytes:
+        if (got := self.parts.get(part)) is None:
+            if len(self.parts) >= WORDS:
+                self.parts.clear()
+            mapped = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            got = self.parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return got
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(".,!?;:|")
+        if core.isalpha() and (word.isascii() or _PLAIN.fullmatch(core)):
+            ids = self._part(core.lower())
+            return ids + self._part(word[len(core) :]) if len(core) < len(word) else ids
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if not _UNUSUAL.search(text):
+            text = text.lower()  # fewer words to tell apart
+        words = _WORD.findall(text) if _ODD_SPACES.search(text) else text.split()
+        return b"".join(map(self.known.__getitem__, words))
+
+
+class _Remembered(dict):
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        value = self[word] = self.make(word)
+        return value
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -97,26 +113,14 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = Tokens(path), np.array([END_ID], dtype="<u4").tobytes()
 
-        def cut(docs: list[tuple]) -> pa.RecordBatch:
+        for batch in batches:
             rows = []
-            for (doc_id, _), ids in zip(docs, tokens.ids([d[1] for d in docs]), strict=True):
-                ids += end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = tokens.ids(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-        docs: list[tuple] = []
-        chars = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append((doc_id, text.as_py() or ""))
-                chars += len(docs[-1][1])
-                if chars >= CHARS:
-                    yield cut(docs)
-                    docs, chars = [], 0
-        if docs:
-            yield cut(docs)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
