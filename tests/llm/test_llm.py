@@ -151,6 +151,33 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert got == [(i + 1, i) for i in range(6)]
 
 
+def test_contaminated_by_edited_copies(spark):
+    """A word changed, put in or left out; parts apart; names at the start of
+    sentences, of one word against two, in lower case."""
+    rng = random.Random(6)
+    fill = lambda n: " ".join(words(rng, n))
+    short, long = words(rng, 15), words(rng, 50)
+    asked = "Alice has 5 apples. Bob gives her 3 more apples. How many apples does Alice have now?"
+    items = [(0, " ".join(short)), (1, " ".join(long)), (2, asked), (3, "The trader met Anna Berg near the old bridge and paid Anna Berg 40 euros for the horse")]
+    values = [
+        " ".join([*short[:7], "changed", *short[8:]]),
+        " ".join([*short[:7], "put", *short[7:]]),
+        " ".join([*long[:25], "put", "in", *long[25:]]),
+        " ".join([*long[:25], *long[26:]]),
+        "Maria has 7 apples. Peter gives her 2 more apples. How many apples does Maria have now?",
+        asked.lower(),
+        "the trader met lena near the old bridge and paid lena 12 euros for the horse",
+        "The trader met Lena near the old bridge and paid Lena 12 euros for the horse",
+        "Maria has 7 apples. Peter gives her 2 more apples. How many apples does Laura have now?",
+        "The trader met Lena near the old bridge and paid Carla 12 euros for the horse",
+        " ".join(long[:25]),
+        " ".join(short[:8]) + " " + fill(8),
+    ]
+    frame = table(spark, [fill(30) + ". " + v + " . " + fill(20) for v in values], range(len(values)))
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 3)]
+
+
 # -- 3
 
 
