@@ -4,10 +4,11 @@ Documents become pieces of at most CAPACITY tokens.  Pieces are dealt out at
 random into groups of a bounded size; each group is packed by best fit, then
 improved by local search: single pieces move, one piece is exchanged for one
 or two for one between underfull bins, whenever that raises the sum of squared
-fills, until bins empty.  The emptiest bins of all groups are taken apart and
-packed together in the next round, in fewer groups, until one group is left:
-what a group wastes is at most about one bin, and the last round leaves one
-such bin for the whole corpus.
+fills, until bins empty or no packing can have fewer.  The emptiest bins of
+each group, a bounded number of pieces, are taken apart and packed together in
+the next round, in half as many groups at most, until one group is left: so
+the rounds end whatever the lengths are, and what remains in nearly full bins
+is used as well.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from folium.llm.common import written
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces in a group, and the fill up to which a bin goes to the next round.
+#: Pieces in a group, and the share of so many that goes to the next round.
 GROUP = 6000
-OPEN_BELOW = 0.97
+REOPENED = 0.05
 #: Words whose ids a task remembers.
 WORDS = 600_000
 
@@ -151,12 +152,27 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can undercut: sums of lengths by dual
+    feasible functions.  One counts pieces that leave less than e of room as
+    full and drops those below e; one counts how many of a kind fit into a
+    bin."""
+    best, half = 0, np.unique(lengths[2 * lengths <= capacity])
+    for e in (0, *half[:: max(1, len(half) // 16)].tolist()):
+        own = np.where(lengths < e, 0, np.where(lengths > capacity - e, capacity, lengths))
+        best = max(best, -(-int(own.sum()) // capacity))
+        for k in range(1, 13):
+            times, rest = np.divmod((k + 1) * own, capacity)
+            best = max(best, -(-int(np.where(rest == 0, k * own, times * capacity).sum()) // (k * capacity)))
+    return best
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empties bins, emptiest first, into underfull ones by moves, exchanges
     of one for one and of two for one that raise the sum of squared fills."""
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    least = least_bins(lengths, capacity)
     live = {b for b in range(len(bins)) if fill[b] < capacity}
     count = len(bins)
     tried: set[int] = set()
@@ -233,20 +249,32 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 _PACKED = _PIECES + ", sequence_id bigint, offset bigint, open boolean"
 
 
-def _pack_group(capacity: int, level: int, last: bool):
+def reopened(bins: list[list[int]], lengths: np.ndarray, capacity: int, most: int) -> list[int]:
+    """The emptiest bins of at most so many pieces together, one bin at least;
+    full ones never."""
+    fill = [int(lengths[b].sum()) for b in bins]
+    out, n = [], 0
+    for k in sorted(range(len(bins)), key=lambda k: fill[k]):
+        n += len(bins[k])
+        if fill[k] == capacity or out and n > most:
+            break
+        out.append(k)
+    return out
+
+
+def _pack_group(capacity: int, level: int, most: int):
     def run(table: pa.Table) -> pa.Table:
         group = table.column("bin_group")[0].as_py()
         table = table.drop_columns(["bin_group"]).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_numpy()
         bins = pack(lengths, capacity)
-        sequence, offset, opened = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.empty(len(lengths), bool)
+        sequence, offset, opened = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.zeros(len(lengths), bool)
         for k, b in enumerate(bins):
             own = lengths[b]
             sequence[b] = (level << 56) + (group << 24) + k
             offset[b] = np.cumsum(own) - own
-            opened[b] = not last and own.sum() < OPEN_BELOW * capacity
-        if not last and not opened.any() and len(bins):
-            opened[bins[min(range(len(bins)), key=lambda k: lengths[bins[k]].sum())]] = True
+        for k in reopened(bins, lengths, capacity, most) if most else ():
+            opened[bins[k]] = True
         return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("open", pa.array(opened))
 
     return run
@@ -266,11 +294,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     todo = written(rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECES), "pieces")
     done: DataFrame | None = None
-    level = 0
+    level, groups = 0, None
     while True:
-        groups = max(1, -(-todo.count() // group))
+        enough = max(1, -(-todo.count() // group))
+        groups = enough if groups is None else max(1, min(enough, groups // 2))
         key = F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("bin_group")
-        packed = written(todo.select(key, "*").groupBy("bin_group").applyInArrow(_pack_group(capacity, level, groups == 1), _PACKED), "packed")
+        packed = written(todo.select(key, "*").groupBy("bin_group").applyInArrow(_pack_group(capacity, level, 0 if groups == 1 else max(1, int(REOPENED * group))), _PACKED), "packed")
         closed = packed.where("NOT open").drop("open")
         done = closed if done is None else done.unionByName(closed)
         if groups == 1:

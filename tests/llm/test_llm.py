@@ -204,6 +204,35 @@ def test_packing(spark):
     assert packing.pack_documents(frame.limit(0)).count() == 0
 
 
+def test_packing_ends_where_bins_cannot_be_filled(spark):
+    """Pieces of over half a sequence, in several groups: one for each."""
+    frame = table(spark, ["a " * 19] * 50)
+    got = packing.pack_documents(frame, capacity=32, group=10).collect()
+    assert len(got) == len({r.sequence_id for r in got}) == 50 and {(r.length, r.offset) for r in got} == {(20, 0)}
+
+
+def test_no_search_below_the_least_number_of_bins():
+    for size, each in ((2100, 1), (1500, 2), (1100, 3)):
+        lengths = np.full(6000, size)
+        assert packing.least_bins(lengths, 4096) == len(packing.pack(lengths, 4096)) == 6000 // each
+
+
+def test_nearly_full_bins_are_reopened():
+    lengths = np.array([99, 100, 98, 50, 45])
+    assert packing.reopened([[0], [1], [2], [3, 4]], lengths, 100, 3) == [3, 2] and packing.reopened([[0], [1], [2], [3, 4]], lengths, 100, 9) == [3, 2, 0]
+    assert packing.reopened([[3, 4]], lengths, 100, 1) == [0] and packing.reopened([[1]], lengths, 100, 1) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7))
+def test_least_bins_is_a_lower_bound(lengths):
+    def fits(left, rooms):
+        return not left or any(rooms[k] >= left[0] and fits(left[1:], [*rooms[:k], rooms[k] - left[0], *rooms[k + 1 :]]) for k in range(len(rooms)))
+
+    fewest = next(n for n in range(len(lengths) + 1) if fits(sorted(lengths, reverse=True), [12] * n))
+    assert packing.least_bins(np.array(lengths, dtype=np.int64), 12) <= fewest
+
+
 ODD = ["it's DON'T we've cáfe ǅ İstanbul ΣΊΣΥΦΟΣ ΟΔΟΣ. x\x1cy a\xa0b \u2028z ｆｕｌｌ ５ 12,5€", "ẞ. é! é! ª º ʰ ⅷ Ⅷ ² a_b", "<|endoftext|> a<|startoftext|>b", "人工 知能。", "x" * 5000, "\x85 \x1f", "a,.!b c?!; :|"]
 
 
