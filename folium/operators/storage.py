@@ -13,24 +13,36 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the cluster's ``spark.checkpoint.dir``; where that is
-    unset, below a temporary folder of this process."""
+    """A new path below the cluster's ``spark.checkpoint.dir``.  Where that is
+    unset, in local mode, below a temporary folder of this process; on a
+    cluster, whose machines share no such folder, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="folium-"))
         base = _own[0]
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, tag: str = "cut", *partition: str) -> DataFrame:
     """The rows from a Parquet table in the shared folder, so that a lost
     executor doesn't bring earlier rounds back."""
-    path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    path = shared_path(df.sparkSession, tag)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``cut_lineage`` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """old with the rows of new in place of those of the same keys."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
