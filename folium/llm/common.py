@@ -1,42 +1,24 @@
-"""Helpers shared by the operators: the shared scratch folder, streaming over
-sorted Arrow batches and connected components."""
+"""Helpers shared by the operators: tables in the shared scratch folder,
+streaming over sorted Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.operators.storage import cut_lineage as written
+from folium.operators.storage import discard
+from folium.operators.storage import shared_path as scratch
+
+__all__ = ["SPACES", "UPPER", "ascii_lower", "connected_components", "discard", "in_runs", "scratch", "shuffle_width", "written"]
+
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACES = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_scratch: list[str] = []
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset
-    (tests in local mode) below a temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_scratch:
-            _own_scratch.append(tempfile.mkdtemp(prefix="folium-"))
-        base = _own_scratch[0]
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, *partition: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: lineage ends
-    there, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -93,7 +75,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "components")
+        old, now = now, written(small, "components")
+        discard(old)
         before, state = state, _state(now)
         if state == before:
             break
