@@ -1,14 +1,15 @@
 """Exact duplicates by content-defined chunk recipes, with DataFrame functions
 only.
 
-A text is cut where its content says: after the first line end that lies at
-least MIN_CHUNK characters on, or after MAX_CHUNK characters without one.  So
-equal texts have equal chunks, and a text shares its chunks with its near
-copies.  A chunk's identifier is a 64-bit hash, its length and a number that
-tells apart chunks that share both; the number comes from comparing the chunks
-themselves, each distinct chunk moved once.  A document is then the ordered
-list of its identifiers, its recipe, and recipes are compared instead of
-texts: a long document isn't moved at all.
+A text is cut where its content says: at least MIN_CHUNK characters on, after
+the first line feed or doubled character; after MAX_CHUNK characters only where
+there is neither.  So equal texts have equal chunks, wherever they begin to
+differ, and a text shares its chunks with its near copies.  A chunk is known by
+a 64-bit hash and its length; a second hash verifies that, chunk by distinct
+chunk.  Where chunks share the first identifier and differ in the second, and
+only there, the chunks themselves are compared and numbered.  A document is
+then the ordered list of its identifiers, its recipe.  Recipes are compared
+instead of texts; texts are read once and never moved.
 """
 
 from __future__ import annotations
@@ -19,27 +20,34 @@ from pyspark.sql import functions as F
 from folium.llm.common import ascii_lower, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: Groups of most copies, whose rows are told by a broadcast table of so many
+#: rows of fixed width.
+HOT = 1000
 
 
 def chunks(text: Column) -> Column:
     """The chunks of a text, in order; joined they are the text."""
-    pattern = f"(?s).{{{MIN_CHUNK - 1},{MAX_CHUNK - 1}}}?\\n|.{{1,{MAX_CHUNK}}}"
+    pattern = f"(?s).{{{MIN_CHUNK - 1},{MAX_CHUNK - 2}}}?(?:\\n|(.)\\1)|.{{1,{MAX_CHUNK}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _identifiers(text: Column) -> Column:
-    """Hash and length of each chunk, in order, as one list."""
-    return F.flatten(F.transform(chunks(text), lambda c: F.array(F.xxhash64(c), F.length(c).cast("bigint"))))
+def _first(c: Column) -> Column:
+    return F.xxhash64(c)
 
 
-def colliding_chunks(texts: DataFrame, text: Column) -> DataFrame:
-    """``chunk_hash, chunk_length, chunk, number`` of the distinct chunks that
-    share hash and length with another one; none as a rule.  Distinct chunks
-    are made in each task before they are moved."""
-    each = texts.select(F.explode(chunks(text)).alias("chunk")).select(F.xxhash64("chunk").alias("chunk_hash"), F.length("chunk").alias("chunk_length"), "chunk")
-    distinct = each.distinct()
-    shared = distinct.groupBy("chunk_hash", "chunk_length").agg(F.count("*").alias("chunks"), F.collect_list("chunk").alias("all")).where("chunks > 1")
-    return shared.select("chunk_hash", "chunk_length", F.posexplode(F.sort_array("all")).alias("number", "chunk"))
+def _second(c: Column) -> Column:
+    return F.xxhash64(F.lit(1), c)
+
+
+def identifiers(text: Column) -> Column:
+    """``first, length, second`` of each chunk, in order."""
+    return F.transform(chunks(text), lambda c: F.struct(_first(c).alias("first"), F.length(c).alias("length"), _second(c).alias("second")))
+
+
+def colliding(recipes: DataFrame) -> DataFrame:
+    """``first, length`` of different chunks that share them; none as a rule."""
+    each = recipes.select(F.explode("recipe").alias("c")).select("c.first", "c.length", "c.second")
+    return each.groupBy("first", "length").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select("first", "length")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,27 +61,41 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     group_size, and one stays only when no other row of its text has an id;
     repeated rows with one id all stay or all go; an empty table gives no
     rows; other columns are not looked at."""
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    colliding = written(colliding_chunks(rows, text), "colliding-chunks")
-    recipes = rows.select("doc_id", F.sha2(text, 256).alias("text_sha256"), _identifiers(text).alias("recipe"))
-    if not colliding.isEmpty():
-        recipes = _numbered(rows, recipes, colliding, text)
-    recipes = recipes.withColumn("recipe_hash", F.xxhash64("recipe"))
-    groups = recipes.groupBy("recipe_hash", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, ["recipe_hash", "recipe"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.expr("size(recipe) div 2").alias("n_chunks")
+    rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    made = rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), identifiers(F.col("text")).alias("recipe"), F.array().cast("array<struct<at:int,number:int>>").alias("numbers"))
+    recipes = written(made, "recipes")
+    shared = written(colliding(recipes), "colliding-chunks")
+    if not shared.isEmpty():
+        recipes = written(_numbered(rows, recipes, shared), "recipes")
+    recipe = ["text_sha256", "recipe", "numbers"]
+    copies = recipes.groupBy(F.xxhash64("recipe", "numbers").alias("recipe_hash"), *recipe).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    key = ["recipe_hash", "text_sha256"]
+    copies = written(copies.select(*key, "keep_id", "group_size"), "copies")
+    hot = copies.orderBy(F.desc("group_size"), *key).limit(HOT)
+    each = recipes.select("doc_id", "text_sha256", F.xxhash64("recipe", "numbers").alias("recipe_hash"), F.size("recipe").alias("n_chunks"))
+    met = each.join(F.broadcast(hot), key, "left")
+    rest = met.where("group_size IS NULL").drop("keep_id", "group_size").join(copies.join(F.broadcast(hot.select(*key)), key, "left_anti"), key, "left")
+    return met.where("group_size IS NOT NULL").unionByName(rest).select(
+        "doc_id",
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "text_sha256",
+        "n_chunks",
     )
 
 
-def _numbered(rows: DataFrame, recipes: DataFrame, colliding: DataFrame, text: Column) -> DataFrame:
-    """Recipes with the numbers of colliding chunks put after them."""
-    at = rows.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.posexplode(chunks(text)).alias("at", "chunk")).withColumn("chunk_hash", F.xxhash64("chunk"))
-    numbers = at.join(colliding, ["chunk_hash", "chunk"]).distinct()
-    numbers = numbers.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("at", "number"))).alias("more"))
-    numbers = numbers.select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s"), F.flatten(F.transform("more", lambda m: F.array(m["at"].cast("bigint"), m["number"].cast("bigint")))).alias("more"))
+def _numbered(rows: DataFrame, recipes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Recipes with the numbers of those chunks that share an identifier with
+    another, told apart by their texts."""
+    each = rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode(chunks(F.col("text"))).alias("at", "chunk"))
+    each = each.select("*", _first(F.col("chunk")).alias("first"), F.length("chunk").alias("length")).join(shared, ["first", "length"])
+    kinds = each.select("first", "length", "chunk").distinct().groupBy("first", "length").agg(F.array_sort(F.collect_list("chunk")).alias("all"))
+    kinds = kinds.select("first", "length", F.posexplode("all").alias("number", "chunk"))
+    numbers = each.join(kinds, ["first", "length", "chunk"]).groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("at", "number"))).alias("told"))
+    numbers = numbers.select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s"), "told")
     both = recipes.join(numbers, recipes.doc_id.eqNullSafe(numbers.d) & (recipes.text_sha256 == numbers.s), "left")
-    return both.select("doc_id", "text_sha256", F.when(F.col("more").isNull(), F.col("recipe")).otherwise(F.concat("recipe", "more")).alias("recipe"))
+    return both.select("doc_id", "text_sha256", "recipe", F.coalesce("told", "numbers").alias("numbers"))
 
 
 def op6_sql() -> str:
