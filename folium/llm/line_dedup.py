@@ -3,10 +3,10 @@
 A LineStore keeps, for each line key seen, the document that holds it first,
 in sorted runs: tables bucketed and sorted by the key's hash.  A new batch of
 documents makes its own keys distinct, merge-anti-joins them with the runs
-(buckets meet without a shuffle of the runs) and adds what is new as a run of
-level 0.  When a level has FANOUT runs, they are merged into one run of the
-next level, so that the number of runs grows with the logarithm of the number
-of batches.
+(buckets meet without a shuffle) and adds what is new as a run of level 0.
+Before a batch meets the runs, levels that have FANOUT runs are merged into one
+run of the next level, so that the number of runs grows with the logarithm of
+the number of batches.
 
 The rule (the smallest id holds a line) is whole when batches come in
 ascending order of id; ``by_range`` cuts a table into such batches.
@@ -19,15 +19,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import SPACES, ascii_lower, shuffle_width, written
+from folium.llm.common import ascii_lower, discard, shuffle_width, written
 
 MIN_CHARS = 10
-FANOUT = 3
+BATCHES, FANOUT = 4, 2
+#: Keys of most lines, told by a broadcast table of so many rows of fixed width.
+HOT = 1000
 _KEY = ["h1", "h2"]
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^[{SPACES}]+|[{SPACES}]+$", ""))
+    return ascii_lower(F.btrim(line, F.lit(_SPACES)))
+
+
+def lines_of(text: str = "text") -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -35,6 +42,11 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
+def text_id(text: str = "text") -> Column:
+    """With the id it names a row; rows that share both are alike."""
+    return F.xxhash64(F.lit(2), F.coalesce(F.col(text), F.lit("")))
+
+
 class LineStore:
     """Levelled sorted runs of line hashes, as bucketed tables in the
     warehouse."""
@@ -46,10 +58,17 @@ class LineStore:
         self.levels: list[list[str]] = []
         self.made = 0
 
-    def _write(self, keys: DataFrame, level: int) -> None:
+    def _write(self, keys: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
         keys.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).format("parquet").saveAsTable(name)
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def _put(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -59,45 +78,51 @@ class LineStore:
 
     def compact(self) -> None:
         """Merges full levels, lowest first."""
-        for level in range(len(self.levels) + 1):
-            if level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+        for level in range(len(self.levels)):
+            if len(self.levels[level]) >= self.fanout:
                 old, self.levels[level] = self.levels[level], []
                 merged = self.spark.table(old[0])
                 for name in old[1:]:
                     merged = merged.unionByName(self.spark.table(name))
-                self._write(merged, level + 1)
-                for name in old:
-                    self.spark.sql(f"DROP TABLE {name}")
+                self._put(self._write(merged), level + 1)
+                self._drop(*old)
 
     def drop(self) -> None:
         """Removes the runs' tables."""
-        for name in self.runs():
-            self.spark.sql(f"DROP TABLE {name}")
+        self._drop(*self.runs())
         self.levels = []
 
     def lines(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, h1, h2`` of each document's distinct keys that count."""
-        each = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-        keyed = each.select("doc_id", line_key(F.col("line")).alias("key")).where(F.length("key") >= self.min_chars)
-        return keyed.select("doc_id", *_hashes(F.col("key"))).distinct()
+        """``doc_id, text_id, at, h1, h2`` of each line whose key counts."""
+        each = docs.select("doc_id", text_id().alias("text_id"), F.posexplode(lines_of()).alias("at", "line"))
+        keyed = each.select("doc_id", "text_id", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= self.min_chars)
+        return keyed.select("doc_id", "text_id", "at", *_hashes(F.col("key")))
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch; ``doc_id, dropped`` of its documents that lose lines,
-        dropped being the list of their keys' hashes.
+        """Adds a batch; ``doc_id, text_id, dropped`` of its rows that lose
+        lines, dropped being their places in order.
         Ids of the batch must be above those of earlier batches."""
-        pairs = written(self.lines(docs.where(F.col("doc_id").isNotNull())), "line-keys")
-        own = pairs.groupBy(*_KEY).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("docs"))
-        new, held = own, []
-        for name in self.runs():
-            held.append(own.join(self.spark.table(name).select(*_KEY, F.col("first_id").alias("old_id")), _KEY).select(*_KEY, F.col("old_id").alias("first_id")))
-            new = new.join(self.spark.table(name), _KEY, "left_anti")
-        holders = new.where("docs > 1").select(*_KEY, "first_id")
-        for x in held:
-            holders = holders.unionByName(x)
-        lost = pairs.join(holders, _KEY).where("doc_id <> first_id")
-        dropped = written(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("dropped")), "dropped-lines")
-        self._write(new.select(*_KEY, "first_id"), 0)
         self.compact()
+        lines = written(self.lines(docs.where(F.col("doc_id").isNotNull())), "line-keys")
+        counted = self._write(lines.groupBy(*_KEY).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")))
+        own = self.spark.table(counted)
+        new, holders = own, []
+        for name in self.runs():
+            run = self.spark.table(name)
+            holders.append(own.select(*_KEY, "n").join(run.select(*_KEY, "first_id"), _KEY))
+            new = new.join(run.select(*_KEY), _KEY, "left_anti")
+        held = new.where("first_id <> last_id").select(*_KEY, "n", "first_id")
+        for x in holders:
+            held = held.unionByName(x)
+        held = written(held, "line-holders")
+        hot = held.orderBy(F.desc("n"), *_KEY).limit(HOT)
+        met = lines.join(F.broadcast(hot.select(*_KEY, "first_id")), _KEY, "left")
+        rest = met.where("first_id IS NULL").drop("first_id").join(held.join(F.broadcast(hot.select(*_KEY)), _KEY, "left_anti").select(*_KEY, "first_id"), _KEY)
+        lost = met.unionByName(rest).where("doc_id <> first_id")
+        dropped = written(lost.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("at")).alias("dropped")), "dropped-lines")
+        self._put(self._write(new.select(*_KEY, "first_id")), 0)
+        self._drop(counted)
+        discard(lines, held)
         return dropped
 
 
@@ -110,7 +135,7 @@ def by_range(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [docs.where((F.col("doc_id") >= low + k * step) & (F.col("doc_id") < low + (k + 1) * step)) for k in range(batches)]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` for each row of docs.
 
     A text is split at line feeds.  A line's key is the line stripped of space
@@ -123,22 +148,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document, and all of them keep or lose a line; a row of null id keeps
     its lines and holds none; an empty table gives no rows; other columns are
     not looked at."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     store = LineStore(docs.sparkSession, min_chars)
-    dropped: DataFrame | None = None
-    for batch in by_range(rows, batches):
+    dropped = docs.sparkSession.createDataFrame([], "doc_id bigint, text_id bigint, dropped array<int>")
+    for k, batch in enumerate(by_range(rows, batches)):
         part = store.add(batch)
-        dropped = part if dropped is None else dropped.unionByName(part)
+        dropped = dropped.unionByName(part) if k else part
     store.drop()  # what documents lose is written by now
-    if dropped is None:
-        dropped = rows.limit(0).select("doc_id", F.array(F.struct(F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"))).alias("dropped"))
-    both = rows.join(dropped, "doc_id", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    both = both.withColumn("lines", F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))))
-    stays = lambda x: (F.length(x["key"]) < min_chars) | ~F.array_contains("dropped", F.struct(*_hashes(x["key"])))
-    both = both.withColumn("stay", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    both = rows.withColumn("text_id", text_id()).join(dropped, ["doc_id", "text_id"], "left").withColumn("lines", lines_of())
+    # what lies between one dropped line and the next stays
+    ends = F.concat(F.array(F.lit(-1)), "dropped", F.array(F.size("lines")))
+    between = lambda i: F.slice("lines", F.element_at("ends", i) + 2, F.element_at("ends", i + 1) - F.element_at("ends", i) - 1)
+    both = both.withColumn("ends", ends)
+    stay = F.flatten(F.transform(F.sequence(F.lit(1), F.size("dropped") + 1), between))
     return both.select(
-        "doc_id", F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("bigint").alias("n_dropped"), F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("kept_text")
+        "doc_id",
+        F.size("lines").cast("bigint").alias("n_lines"),
+        F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("bigint").alias("n_dropped"),
+        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
     )
 
 

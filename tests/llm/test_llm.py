@@ -369,12 +369,30 @@ def test_exact_duplicates(spark):
 
 def test_chunks_that_collide_are_told_apart(spark, monkeypatch):
     """With a hash of few values, only the chunks themselves decide."""
-    real = F.xxhash64
-    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(2)) if c == ("chunk",) else real(*c))
-    monkeypatch.setattr(exact_dedup, "_identifiers", lambda text: F.flatten(F.transform(exact_dedup.chunks(text), lambda c: F.array(F.pmod(real(c), F.lit(2)), F.length(c).cast("bigint")))))
+    monkeypatch.setattr(exact_dedup, "_first", lambda c: F.pmod(F.xxhash64(c), F.lit(2)))
     values = ["aa", "bb", "cc", "aa", "dd", "bb", "ee", "ff"]
-    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_duplicates(table(spark, values)).collect()}
-    assert got == {1: 4, 2: 6, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
+    frame = table(spark, values)
+    assert not exact_dedup.colliding(frame.select(exact_dedup.identifiers(F.col("text")).alias("recipe"))).isEmpty()
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(frame).collect()}
+    assert got == {1: (4, 2), 2: (6, 2), 3: (3, 1), 4: (4, 2), 5: (5, 1), 6: (6, 2), 7: (7, 1), 8: (8, 1)}
+
+
+def test_chunks_are_cut_by_content(spark):
+    """What comes before a long text without line feeds moves no cut but the
+    first ones; joined, chunks are the text."""
+    rng = random.Random(12)
+    long = " ".join(words(rng, 20_000, 900))
+    frame = table(spark, [long, "some other beginning, " * 9 + long, "xy" * 9000, "aa\n" * 900])
+    got = [r.c for r in frame.orderBy("doc_id").select(exact_dedup.chunks(F.col("text")).alias("c")).collect()]
+    assert ["".join(c) for c in got] == [r.text for r in frame.orderBy("doc_id").collect()]
+    assert len(set(got[0]) & set(got[1])) > 0.5 * len(got[0]) > 20 and max(map(len, got[2])) <= exact_dedup.MAX_CHUNK
+
+
+def test_groups_beyond_the_broadcast_ones(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 1)
+    values = ["a"] * 9 + ["b"] * 4 + ["c"] * 2 + ["d"]
+    got = Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(table(spark, values)).collect())
+    assert got == Counter((i + 1, {"a": 9, "b": 13, "c": 15, "d": 16}[t], values.count(t)) for i, t in enumerate(values))
 
 
 # -- 7
@@ -417,6 +435,27 @@ def test_lines(spark, batches):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_of_compacted_runs_are_read(spark, monkeypatch):
+    """The third batch meets what the first two were merged into; very common
+    lines beyond the broadcast ones go by a join."""
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    store = line_dedup.LineStore(spark)
+    frame = table(spark, [f"a line that all have\nanother of the even {k % 2}\nown line of {k}" for k in range(1, 13)])
+    read, lost = [], {}
+    for batch in line_dedup.by_range(frame, 4):
+        store.compact()
+        read.append([len(level) for level in store.levels])
+        lost.update({r.doc_id: r.dropped for r in store.add(batch).collect()})
+    store.drop()
+    assert read == [[], [1], [0, 1], [1, 1]] and lost == {2: [0], **{k: [0, 1] for k in range(3, 13)}}
+
+
+def test_lines_of_a_long_text(spark):
+    rows = [(1, "\n".join(f"line number {k}" for k in range(0, 60_000, 2))), (2, "\n".join(f"line number {k}" for k in range(60_000)))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table(spark, [t for _, t in rows], [k for k, _ in rows])).collect()}
+    assert got[1].kept_text == rows[0][1] and got[2].n_dropped == 30_000 and got[2].kept_text == "\n".join(f"line number {k}" for k in range(1, 60_000, 2))
+
+
 # -- 9
 
 
