@@ -482,6 +482,48 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(frame.limit(0)).count() == 0
 
 
+def test_warc_members_are_passed_over(monkeypatch):
+    """Of an unwanted record only the headers are inflated, from any reader
+    position; members without a length, plain archives and a zlib reader agree."""
+    import gzip
+    import io
+
+    rng = random.Random(3)
+    body = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 5, 70_000, 300_000, 1)]
+    data = [warc.record(k, f"u{k}", b, "response", None) for k, b in enumerate(body)]
+    packed = b"".join(map(warc.member, data))
+    assert gzip.decompress(packed) == b"".join(data)
+    for stream in (lambda: warc.Members(io.BytesIO(packed)), lambda: warc.Members(io.BytesIO(b"".join(map(gzip.compress, data)))), lambda: warc.Plain(io.BytesIO(b"".join(data)))):
+        for wanted in ((), (0, 1, 2, 3, 4), (2,), (0, 4), (1, 3)):
+            got = [(int(h["x-payload-length"]), block().partition(b"\r\n\r\n")[2] if k in wanted else None) for k, (h, block) in enumerate(warc.records(stream()))]
+            assert got == [(len(b), b if k in wanted else None) for k, b in enumerate(body)]
+    inflated = []
+    real = zlib.decompressobj
+
+    class Watched:
+        def __init__(self, bits):
+            self.own = real(bits)
+
+        def decompress(self, data, most):
+            out = self.own.decompress(data, most)
+            inflated.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Watched)
+    assert len(list(warc.records(warc.Members(io.BytesIO(packed))))) == 5 and sum(inflated) < 60_000
+
+
+def test_warc_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST", 1)
+    monkeypatch.setattr(warc, "HOT", 1)
+    frame = spark.createDataFrame([(k, "u", f"page {min(k % 5, 3)}") for k in range(20)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.with_revisits(frame).collect()}
+    assert got == {k: None if k in (15, 16, 17, 19) else 15 + min(k % 5, 3) + (k % 5 >= 3) for k in range(20)}
+
+
 def test_warc_filters_are_pushed():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
