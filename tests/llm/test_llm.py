@@ -410,6 +410,52 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and html_text.extract_main_text(frame.limit(0)).count() == 0
 
 
+def extracted(page):
+    found = html_text.blocks(page)
+    path = html_text.own_path(html_text.scores(found))
+    return [] if path is None else html_text.main_text(found, path).split("\n\n")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>one<svg/><p>two<video src=x><p>three</article>", ["one", "two"]),
+        ("<article><p>one<svg/><p>two<video src=x></video><p>three</article>", ["one", "two", "three"]),
+        ("<div><button>go<p>in it</div><p>text after", ["text after"]),
+        ("<article><p title=it's>one</p><p>two</p><p title='x'>three</p></article>", ["one", "two", "three"]),
+        ("<div id=a><div class=x><p>one words</div><div class=y><p>two words longer than</div><div class=z><p>three</div></div>", ["one words", "two words longer than", "three"]),
+        ("<article><div class=post-header><h1>Head</h1></div><p>text<section class=related-work><p>more</section></article>", ["Head", "text", "more"]),
+        ('<div class="content has-sidebar"><article><p>text</article></div>', ["text"]),
+        ('<div id="header-main-wrapper"><p>text</div>', ["text"]),
+        ('<div class="header"><article><p>text</article></div>', ["text"]),
+        ("<main><h1>T</h1><div class=entry-content><p>one long paragraph of text</div></main>", ["T", "one long paragraph of text"]),
+        ('<article><p>text</article><div class="post-comments"><article><p>a reader said very much more than that</article></div>', ["text"]),
+        ('<body><div class="site-header"><p>Name of the site</div><p>words<p>more words of the text itself</body>', ["words", "more words of the text itself"]),
+        ("<article><p>a < b and c > d<p>x &lt;y&gt;</article>", ["a < b and c > d", "x <y>"]),
+        ("<p hidden>no</p><p>yes <img alt=hidden> it is</p>", ["yes it is"]),
+        ("<ul><li>one<li>two<ul><li>deep</ul><li>three</ul>", ["one", "two", "deep", "three"]),
+        ("<script>if (a<b) '</p>'", []),
+        ("<p>left <a href='x", ["left <a href='x"]),
+    ],
+)
+def test_page_parts(page, want):
+    assert extracted(page) == want
+
+
+def test_pages_of_other_builds(spark, monkeypatch):
+    """A page whose host's path holds a teaser only is read along its own;
+    hosts beyond the broadcast ones meet their path in a join."""
+    text = "a paragraph of the article with quite a few words in it"
+    usual = f"<div class=c><p>{text}</p></div><div class=d><p>tail</p></div>"
+    odd = f"<div class=c><p>teaser</p></div><div class=other><p>{text}</p><p>{text}</p></div>"
+    rows = [*((k, f"http://a.org/{k}", usual) for k in range(5)), (5, "http://a.org/5", odd), (6, "http://b.org/", usual), (7, "http://c.org", f"<article><p>{text * 20_000}</article>")]
+    for limit in (html_text.BROADCAST_CHARS, 1):
+        monkeypatch.setattr(html_text, "BROADCAST_CHARS", limit)
+        monkeypatch.setattr(html_text, "HOT", 1)
+        got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        assert got[0] == got[6] and got[0].startswith(text) and got[5].count(text) == 2 and got[7] == text * 20_000 and len(got) == 8
+
+
 # -- 8
 
 
