@@ -20,18 +20,36 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 NGRAMS = (3, 4, 5)
 FEATURES = 1 << 14
 
-#: Names of the labelled table: hosts and paths to block and to allow.
-BLOCKED_NAMES = ("spam-farm", "casino-bonus", "cheap-pills", "free-prizes", "adult-cams", "link-farm", "payday-loans", "replica-watches", "warez-crack", "xxx-videos")
-BLOCKED_PATHS = ("/en/1?utm_source=feed", "/win-money/", "/buy-pills/cheap.html", "/casino/spin?ref=x")
-ALLOWED_NAMES = ("blog.thern", "www.library", "m.therou", "news.tion", "wiki.thand", "docs.erin", "museum.tha", "school.onre", "city.enth", "science.ouer")
-ALLOWED_PATHS = ("/en/1", "/de/20/", "/fr/300.html", "/es/4000?page=2&ref=x")
-DOMAINS = ("example.com", "example.net", "example.org")
+#: The labelled table of the query: words of unwanted sites and of their
+#: pages, names of ordinary sites and their pages, as anyone may list them.
+#: Nothing of it is taken from the pages that are judged.
+UNWANTED_FIRST = ("cheap", "free", "best", "online", "hot", "fast", "instant", "secret", "adult", "live", "bulk", "discount")
+UNWANTED_SECOND = ("pills", "casino", "loans", "prizes", "cams", "watches", "bets", "crack", "clicks", "followers", "links", "lottery", "pharma", "poker", "spam", "dating")
+#: Unwanted sites have ordinary pages as well.
+UNWANTED_PAGES = ("/buy-now/offer.html", "/win-money/", "/order?aff=77&utm_source=mail", "/promo/bonus?ref=mail", "/go/click.php?id=9")
+ORDINARY = (
+    "library museum school city science garden bridge history weather travel music theatre kitchen hospital journal archive village harbour station market"
+    " atlas physics poetry cycling railway forest mountain island language dictionary chess painting county parish college orchestra observatory botanic geology letters"
+    " zeitung bibliothek gemeinde stadtwerke universite mairie bibliotheque lycee ayuntamiento biblioteca universidad revista periodico montagne wandern biologia"
+).split()
+ORDINARY_PAGES = ("/", "/en/12", "/de/345/", "/about.html", "/2019/05/opening-hours", "/articles/7?page=2", "/fr/notes/31", "/es/temas/4#top", "/index.php?id=3")
+ENDINGS = ("com", "net", "org", "info", "eu", "de", "fr", "es")
+PREFIXES = ("", "www.", "blog.", "m.", "news.")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table of the query: each name with each path and domain."""
-    some = lambda names, paths, label: spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", F.explode(F.array(*map(F.lit, paths))).alias("path")).select("name", "path", F.explode(F.array(*map(F.lit, DOMAINS))).alias("domain")).select(F.concat(F.lit("https://"), "name", F.lit("."), "domain", "path").alias("url"), F.lit(label).alias("label"))
-    return some(BLOCKED_NAMES, BLOCKED_PATHS, 1).unionByName(some(ALLOWED_NAMES, ALLOWED_PATHS, 0))
+    """``url, label`` (1: unwanted): two in three pairs of unwanted words, either
+    first, and ordinary names, with endings, prefixes and pages in turn.  Two pages in
+    three of unwanted sites are ordinary, so that the host tells."""
+    bad = [f"{x}-{y}" if (i + j) % 2 else f"{y}-{x}" for i, x in enumerate(UNWANTED_FIRST) for j, y in enumerate(UNWANTED_SECOND) if (i + j) % 3]
+    good = [*ORDINARY, *(f"{x}{y}" for x, y in zip(ORDINARY, ORDINARY[7:], strict=False))]
+    rows = []
+    for names, pages, label in ((bad, UNWANTED_PAGES, 1), (good, ORDINARY_PAGES, 0)):
+        for k, name in enumerate(names):
+            for t in range(3):
+                page = pages[k % len(pages)] if t == 0 else ORDINARY_PAGES[(k + t) % len(ORDINARY_PAGES)]
+                rows.append((f"https://{PREFIXES[(k + t) % len(PREFIXES)]}{name}.{ENDINGS[(k + 3 * t) % len(ENDINGS)]}{page}", label))
+    return spark.createDataFrame(rows, "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -45,7 +63,8 @@ def path_of(url: Column) -> Column:
 def _grams(text: Column, mark: str) -> list[Column]:
     """All character n-grams of ^text$, marked as of host or path."""
     framed = F.concat(F.lit("^"), text, F.lit("$"))
-    return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n)))) for n in NGRAMS]
+    each = lambda n: F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return [F.transform(F.when(F.length(framed) < n, F.array(framed)).otherwise(each(n)), lambda g: F.concat(F.lit(mark), g)) for n in NGRAMS]
 
 
 def features(urls: DataFrame) -> DataFrame:
@@ -62,7 +81,7 @@ def _hashed(urls: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -> LogisticRegressionModel:
     """The model of a labelled table; rows of null url or label are left out."""
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(label_col).cast("double").alias("label"))
-    return LogisticRegression(featuresCol="gram_vector", labelCol="label", regParam=0.01, maxIter=50).fit(_hashed(features(rows)).coalesce(1))
+    return LogisticRegression(featuresCol="gram_vector", labelCol="label", regParam=0.001, maxIter=100).fit(_hashed(features(rows)).coalesce(1))
 
 
 def judge_urls(pages: DataFrame, model: LogisticRegressionModel, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
