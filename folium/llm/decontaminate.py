@@ -10,7 +10,9 @@ are seeds: those of an item on neighbouring diagonals make a band, in which
 the item is aligned, so words may be changed, put in or left out.  There the
 slots (what the placeholders stand for) must be consistent, each value of the
 item standing for one value of the document.  So a question asked again with
-other numbers or names is found as well as a copy.
+other numbers or names is found as well as a copy.  An item of fewer words than
+a seed, or of placeholders alone, says too little as a template: it is found
+where all its words stand in a row as they are.
 
 The benchmark side of the join is sent to the tasks in blocks of a checked
 size; a larger benchmark takes more passes.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ COVERAGE = 0.6
 SEED = 4
 BESIDE = 64
 #: Characters of benchmark text in one block.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 #: Words whose template a task remembers.
 WORDS = 1_000_000
 
@@ -48,7 +51,6 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(?:st|nd|rd|th)?%?")
 _AMOUNT = re.compile(r"[+-]?\d[\d.,]*([a-zA-Z]+)")
 _STRIP = re.compile(r"^[^\w$€£%+-]+|[^\w$€£%]+$|^[+-]+(?!\d)")
 _NAME, _NUM, _UNIT, _BOTH = (xxhash.xxh64_intdigest(x) >> 2 << 2 for x in ("<name>", "<number>", "<unit>", "<number><unit>"))
-_MULTIPLIERS = [xxhash.xxh64_intdigest(f"window {k}") | 1 for k in range(SEED)]
 _CAPITAL, _STOP = 1, 2
 
 
@@ -104,13 +106,18 @@ def by_names(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, first
 
 
+@lru_cache(maxsize=None)
+def _multiplier(k: int) -> int:
+    return xxhash.xxh64_intdigest(f"window {k}") | 1
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     x = np.full(n, width, np.uint64)
     for k in range(width):
-        x = (x ^ hashes[k : n + k]) * np.uint64(_MULTIPLIERS[k])
+        x = (x ^ hashes[k : n + k]) * np.uint64(_multiplier(k))
         x ^= x >> np.uint64(31)
     return x
 
@@ -168,6 +175,12 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         known = Templates()
         self.forms = [f for item_id, text in items for f in forms(item_id, text, known)]
+        templated = {f.item_id for f in self.forms}
+        self.literal: dict[int, dict[int, list[int]]] = {}  # items found as they are: words, hash, ids
+        for item_id, text in items:
+            if item_id not in templated and (words := template(text, known)[1]):
+                of = self.literal.setdefault(len(words), {})
+                of.setdefault(int(windows(as_they_are(words), len(words))[0]), []).append(item_id)
         own = [(windows(f.hashes, SEED), f.seeds()) for f in self.forms]
         none = np.empty(0, np.int64)
         hashes = np.concatenate([np.empty(0, np.uint64), *(w[at] for w, at in own)])
@@ -185,6 +198,20 @@ def _core(word: str) -> str:
     return _STRIP.sub("", word).lower()
 
 
+def as_they_are(words: list[str]) -> np.ndarray:
+    """Hashes of words in lower case, without the punctuation around them."""
+    return np.fromiter((xxhash.xxh64_intdigest(_core(w)) for w in words), np.uint64, len(words))
+
+
+def literal_matches(words: list[str], index: Index) -> list[tuple[int, int, float, str]]:
+    out = []
+    hashes = as_they_are(words) if index.literal else None
+    for width, of in index.literal.items():
+        for h in set(windows(hashes, width).tolist()) & of.keys():
+            out += [(i, max(1, width - WINDOW + 1), 1.0, "copy") for i in of[h]]
+    return out
+
+
 def align(form: Form, doc: np.ndarray, low: int, width: int) -> list[tuple[int, int]]:
     """Places of item and document that the best local alignment on these
     diagonals pairs: 2 for equal templates, 1 for another word in the place of
@@ -253,12 +280,13 @@ def consistent(form: Form, pairs: list[tuple[int, int]], value_of) -> tuple[list
 def matches(text: str | None, index: Index, known: Templates, coverage: float) -> list[tuple[int, int, float, str]]:
     """``(item_id, windows, coverage, kind)`` of items that a text holds."""
     marked, words = template(text, known)
+    whole = literal_matches(words, index)
     hashes, first = by_names(marked)
     n, readings = len(marked), (by_words(marked), hashes)
     of = windows(np.concatenate(readings), SEED)
     at = np.flatnonzero(index.seen[(of >> np.uint64(42)).astype(np.int64)])
     if not len(at) or not len(index.hashes):
-        return []
+        return sorted(whole)
     k = np.minimum(np.searchsorted(index.hashes, of[at]), len(index.hashes) - 1)
     met = index.hashes[k] == of[at]
     at, k = at[met], k[met]
@@ -292,7 +320,7 @@ def matches(text: str | None, index: Index, known: Templates, coverage: float) -
             if low + width > last:
                 break
             low += step
-    return [(i, *x[2:]) for i, x in sorted(best.items())]
+    return sorted(whole + [(i, *x[2:]) for i, x in best.items()])
 
 
 def _search(index: Index, coverage: float):
@@ -316,9 +344,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words fill.  coverage: share of the item's words.  kind: copy or other
     values.
 
-    Defined results: null and empty texts match nothing; an item of fewer than
-    four words, or of slots alone, can't be matched; a shorter item than the
-    window must be covered whole, others up to one word at least; parts of an
+    Defined results: null and empty texts match nothing, nor do rows of null
+    item id; an item of fewer than four words, or of slots alone, matches where
+    its words stand in a row, slots as they are; a shorter item than the window
+    must be covered whole, others up to one word at least; parts of an
     item with more diagonals between them than half its words, at most BESIDE,
     and four don't add up; repeated rows of documents give repeated rows, items
     of one id count as one; an empty table on either side gives no rows; other

@@ -42,7 +42,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     first, and ordinary names, with endings, prefixes and pages in turn.  Two pages in
     three of unwanted sites are ordinary, so that the host tells."""
     bad = [f"{x}-{y}" if (i + j) % 2 else f"{y}-{x}" for i, x in enumerate(UNWANTED_FIRST) for j, y in enumerate(UNWANTED_SECOND) if (i + j) % 3]
-    good = [*ORDINARY, *(f"{x}{y}" for x, y in zip(ORDINARY, ORDINARY[7:], strict=False))]
+    good = [*ORDINARY, *(f"{x}{y}" for n in (7, 13, 19) for x, y in zip(ORDINARY, ORDINARY[n:], strict=False))]
     rows = []
     for names, pages, label in ((bad, UNWANTED_PAGES, 1), (good, ORDINARY_PAGES, 0)):
         for k, name in enumerate(names):

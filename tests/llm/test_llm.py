@@ -142,6 +142,60 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0 and decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_short_items_and_slots_alone(spark):
+    items = [(0, "What is photosynthesis?"), (1, "Alice met Bob"), (2, "12 34 56 km"), (3, "one"), (4, "Find the sum of 3 and 5."), (5, "?!"), (None, "what is photosynthesis"), (6, "12 34 56 km 7 8 9 10 11 12")]
+    values = ["so, what is Photosynthesis (again)", "then alice met bob there", "Carol met Dave", "from 12 34 56 km", "from 99 34 56 km", "no 1 here", "please Find the sum of 13 and 25 today.", "x. Find the sum of 3 and 5", "what photosynthesis is", "only one", "12 34 56 km 7 8 9 10 11 12"]
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(table(spark, values, range(len(values))), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == [(0, 0, "copy"), (1, 1, "copy"), (3, 2, "copy"), (6, 4, "other values"), (7, 4, "copy"), (9, 3, "copy"), (10, 2, "copy"), (10, 6, "copy")]
+
+
+def plain_matches(item, text):
+    """Whether all windows of an item's template, by words or by names, lie in
+    the text with slots that stand for one value each: for items put in whole."""
+    known = decontaminate.Templates()
+    for reading in (0, 1):
+        sides = []
+        for t in (item, text):
+            marked, words = decontaminate.template(t, known)
+            if reading == 0:
+                sides.append((decontaminate.by_words(marked).tolist(), [decontaminate._core(w) for w in words]))
+            else:
+                hashes, first = decontaminate.by_names(marked)
+                sides.append((hashes.tolist(), [" ".join(decontaminate._core(w) for w in words[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(words)], strict=True)]))
+        (a, x), (b, y) = sides
+        slots = {decontaminate._NAME, decontaminate._NUM, decontaminate._UNIT, decontaminate._BOTH}
+        for at in range(len(b) - len(a) + 1):
+            if b[at : at + len(a)] == a:
+                pairs = {(u, v) for h, u, v in zip(a, x, y[at : at + len(a)], strict=True) if h in slots}
+                if len({u for u, _ in pairs}) == len(pairs):
+                    return True
+    return False
+
+
+def test_items_put_in_whole_are_all_found():
+    """Random items with numbers and names, asked again with others, against a
+    plain scan of every place of every text; texts without an item are left."""
+    rng = random.Random(21)
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin"]
+    fresh = lambda: words(rng, 2, 60) + [rng.choice((*words(rng, 1, 60), str(rng.randrange(90)), rng.choice(names), "kg")) for _ in range(rng.choice((5, 9, 14, 30)))]
+    items = [(i, fresh()) for i in range(60)]
+    index = decontaminate.Index([(i, " ".join(x)) for i, x in items])
+    known = decontaminate.Templates()
+    planted = 0
+    for k in range(240):
+        text = words(rng, 60, 60)
+        if k % 2:
+            i, own = items[rng.randrange(60)]
+            to = {w: str(rng.randrange(100, 900)) for w in own if w.isdigit()} | dict(zip(names, rng.sample(["Maria", "Peter", "Laura", "Paul", "Nina"], 5), strict=True))
+            text[30:30] = [to.get(w, w) for w in own]
+        text = " ".join(text)
+        got = {m[0] for m in decontaminate.matches(text, index, known, decontaminate.COVERAGE)}
+        want = {i for i, x in items if plain_matches(" ".join(x), text)}
+        assert want <= got and (k % 2 or not got), (k, want, got)
+        planted += bool(k % 2)
+    assert planted == 120
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
     rng = random.Random(4)
