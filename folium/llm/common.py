@@ -13,7 +13,7 @@ from folium.operators.storage import cut_lineage as written
 from folium.operators.storage import discard
 from folium.operators.storage import shared_path as scratch
 
-__all__ = ["SPACES", "UPPER", "ascii_lower", "connected_components", "discard", "in_runs", "scratch", "shuffle_width", "written"]
+__all__ = ["SPACES", "UPPER", "ascii_lower", "bucket_count", "connected_components", "discard", "in_runs", "looked_up", "scratch", "shuffle_width", "written"]
 
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACES = "\\x20\\x09-\\x0D"
@@ -24,6 +24,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def bucket_count(docs: DataFrame, text_col: str, most_bytes: int) -> int:
+    """Buckets to deal a corpus into: the session's shuffle width, or more
+    where a bucket would stand for more than so many bytes of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    return max(shuffle_width(docs.sparkSession), -(-size // most_bytes))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], size: str, hot: int = 1000) -> DataFrame:
+    """rows left-joined with a table of unique keys.  The so many rows of the
+    table with the largest size, the number of rows that ask for them, are
+    broadcast, so that no task gets all rows of a hot key; the rest meet in a
+    shuffle.  The size column isn't kept."""
+    most = table.orderBy(F.desc(size), *key).limit(hot).drop(size)
+    both = rows.join(F.broadcast(most.withColumn("_met", F.lit(True))), key, "left")
+    others = table.drop(size).join(F.broadcast(most.select(*key)), key, "left_anti")
+    rest = both.where("_met IS NULL").select(*rows.columns).join(others, key, "left")
+    return both.where("_met").drop("_met").unionByName(rest)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -116,6 +116,54 @@ def test_sketches_bound_the_difference(a, b):
     assert (fold(x) ^ fold(y)).bit_count() <= len(a ^ b)
 
 
+def test_sketches_of_large_sets():
+    """At the level of the larger set: linked pairs pass, halves of a pool
+    don't."""
+    rng = np.random.default_rng(4)
+    for n in (3000, 4090, 4200, 9000, 40_000):
+        pool = rng.integers(0, 1 << 48, 3 * n, dtype=np.uint64)
+        for other, linked in ((np.r_[pool[: int(0.87 * n)], pool[n : n + int(0.12 * n)]], True), (np.r_[pool[: n // 2], pool[n : 3 * n // 2]], False)):
+            sets = [np.unique(pool[:n]), np.unique(other)]
+            level = max(ngram_jaccard.rate(len(s)) for s in sets)
+            parts = []
+            for s in sets:
+                data, k = ngram_jaccard.sketch(s, len(s)), level - ngram_jaccard.rate(len(s))
+                parts.append(int.from_bytes(data[512 * k : 512 * (k + 1)], "little"))
+            na, nb = map(len, sets)
+            allowed = na + nb - 2 * ngram_jaccard._needed(na, nb, 75)
+            assert ((parts[0] ^ parts[1]).bit_count() <= ngram_jaccard.bound(allowed, level)) == linked, (n, linked)
+
+
+def shared_paragraphs(copies=30, paragraphs=400, own=200, width=50):
+    """Documents that each hold a random half of the same paragraphs."""
+    rng = random.Random(8)
+    pool = [" ".join(f"p{k}w{i}" for i in range(width)) for k in range(paragraphs)]
+    return [" ".join(rng.sample(pool, own)) for _ in range(copies)]
+
+
+def test_candidates_among_shared_paragraphs(spark, monkeypatch):
+    """Long documents that share passages but don't link are told apart before
+    they are named as pairs; small parts and blocks change nothing."""
+    named = []
+    real = ngram_jaccard._candidates
+    monkeypatch.setattr(ngram_jaccard, "_candidates", lambda *a: named.append(real(*a)) or named[-1])
+    texts = shared_paragraphs()
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0] + " and more words", texts[1] + " and more words"])]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got == brute_components(rows) and sum(x.count() for x in named) <= 6
+
+
+def test_groups_in_parts_and_by_both_kernels(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 40)
+    monkeypatch.setattr(ngram_jaccard, "PART", 3)
+    base = [f"b{k}" for k in range(200)]
+    tail = ["common", "tail", "of", "words"] * 30
+    rows = [(i, " ".join(base[: 150 + i % 3] + [f"x{i % 7}"] + tail)) for i in range(40)] + [(100 + i, " ".join(base[:30] + [f"y{i}"] * 9)) for i in range(8)]
+    frame = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(frame).collect())
+    assert got == brute_components(rows)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 45), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
