@@ -7,8 +7,7 @@ non-negative unbiased risk (Kiryo et al. 2017)
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 with the class prior estimated from the labelled rows.  Training takes bounded
-samples (SAMPLE rows of each kind, a parameter), chosen by a hash of the text;
-every document is scored, in Arrow batches.
+samples (at most SAMPLE rows of each kind, a parameter), drawn by chance; every document is scored, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -128,7 +127,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("good")], names=["x", "good"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("turn")], names=["x", "turn"])
 
 
 def _scored(network: Network):
@@ -145,10 +144,15 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    """About most rows, or all of fewer, by a hash of the text."""
+def _matrix(rows: DataFrame, most: int) -> np.ndarray:
+    """Statistics of at most so many rows (text, turn), those of the lowest
+    turns among some drawn by chance.  What comes to the driver is of fixed width and number, however
+    long the texts are and however often one row is repeated."""
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    if n > 2 * most:
+        rows = rows.where(F.rand(SEED) < 1.5 * most / n)  # copies each on its own
+    made = rows.mapInArrow(_featurised, "x array<double>, turn bigint").orderBy("turn", "x").limit(most)
+    return np.array(made.toArrow().column("x").to_pylist()).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
@@ -157,18 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n, good = known.agg(F.count("*"), F.sum("quality")).first()
     prior = min(max((good or 0) / n if n else 0.5, 0.05), 0.95)
-    texts = docs.select("doc_id", "text")
-    most = known.where("quality = 1")
-    if (count := good or 0) > sample:
-        most = most.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / count))
-    positive = texts.join(F.broadcast(most.select("doc_id")), "doc_id").select("text", F.lit(True).alias("good"))
-    rows = positive.unionByName(_sampled(texts, sample).select("text", F.lit(False).alias("good")))
-    got = rows.mapInArrow(_featurised, "x array<double>, good boolean").toArrow()
-    x = np.array(got.column("x").to_pylist()).reshape(-1, N_FEATURES)
-    is_good = got.column("good").to_numpy(zero_copy_only=False).astype(bool)
-    if not is_good.any() or is_good.all():
+    texts = docs.select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("turn"))
+    chosen = known.where("quality = 1").select("doc_id").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample)
+    positive = _matrix(texts.join(F.broadcast(chosen), "doc_id").select("text", "turn"), sample)
+    unlabelled = _matrix(texts.select("text", "turn"), sample)
+    if not len(positive) or not len(unlabelled):
         return Network(np.zeros(N_FEATURES), np.ones(N_FEATURES), [np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.array([np.log(prior / (1 - prior))])], prior)
-    return fit(x[is_good], x[~is_good], prior)
+    return fit(positive, unlabelled, prior)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, sample: int = SAMPLE) -> DataFrame:

@@ -2,6 +2,7 @@
 long texts, ties, repeated rows and extra columns, and on empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -392,21 +393,17 @@ def test_model_scores(spark):
 
 
 def test_model_is_a_distribution(spark):
-    """Over all that can follow one context, probabilities add up to 1."""
+    """Where learnt texts are short, all texts of at most three words, the
+    unknown one among them, have nearly all of the mass, and never more."""
     rng = random.Random(3)
-    vocabulary = [f"v{i}" for i in range(12)]
-    learnt = [" ".join(rng.choices(vocabulary, weights=range(1, 13), k=200)) for _ in range(6)]
-    asked = [*(f"{w}" for w in vocabulary), "unknown", ""]
-    frame = table(spark, [*learnt, *asked], range(len(learnt) + len(asked)))
-    got = {r.doc_id: r.score for r in pitman_yor.model_scores(frame, F.col("doc_id") >= len(learnt)).collect()}
-    first = [10 ** got[len(learnt) + i] for i in range(len(asked))]
-    ends = []
-    for w in asked[:-1]:
-        two = table(spark, [*learnt, *(f"{w} {x}" for x in asked)], range(len(learnt) + len(asked)))
-        more = {r.doc_id: r.score for r in pitman_yor.model_scores(two, F.col("doc_id") >= len(learnt)).collect()}
-        ends.append(sum(10 ** more[len(learnt) + i] for i in range(len(asked))))
-        break
-    assert first[-1] < 1 and sum(first) < 1 and ends[0] < 1
+    for longest in (1, 2):
+        vocabulary = ["a", "b", "c"]
+        learnt = [" ".join(rng.choices(vocabulary, weights=(5, 2, 1), k=rng.randint(0, longest))) for _ in range(900)]
+        asked = [" ".join(x) for n in range(4) for x in itertools.product([*vocabulary, "new"], repeat=n)]
+        frame = table(spark, [*learnt, *asked], range(len(learnt) + len(asked)))
+        got = {r.doc_id: r.score for r in pitman_yor.model_scores(frame, F.col("doc_id") >= len(learnt)).collect()}
+        mass = sum(10 ** got[len(learnt) + i] for i in range(len(asked)))
+        assert 0.95 < mass < 1 + 1e-9, mass
 
 
 def test_seats_are_of_the_restaurant():
@@ -450,6 +447,17 @@ def test_quality(spark):
     assert {r.score for r in quality.quality_scores(frame, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_repeated_and_long_rows(spark):
+    """Rows that repeat by the thousand, one id labelled often, and a text of
+    five million characters leave samples bounded and every row scored."""
+    frame, labels = quality_tables(spark)
+    many = frame.where("doc_id <= 2").crossJoin(spark.range(800)).drop("id")
+    whole = frame.unionByName(many).unionByName(table(spark, ["good words here. " * 300_000], [5000]))
+    assert quality._matrix(whole.select("text", F.xxhash64("doc_id", "text").alias("turn")), 50).shape == (50, quality.N_FEATURES)
+    got = quality.quality_scores(whole, labels, sample=60)
+    assert got.count() == whole.count() and got.where("doc_id = 2").select("score").distinct().count() == 1 and got.where("doc_id = 5000 AND score BETWEEN 0 AND 1").count() == 1
+
+
 # -- 6
 
 
