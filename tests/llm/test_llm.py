@@ -761,3 +761,50 @@ def test_pipeline(spark, tmp_path):
     assert len(ids & set(range(5, 151))) > 130 and len(ids & set(range(151, 211))) < 6
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == ids
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    """After the classifier, whose scores are taken as they are: equal texts,
+    links, items and pieces by plain loops.  Nulls, empty and long texts, ties,
+    repeated rows and an extra column."""
+    from tokenizers import Tokenizer
+
+    frame, labels = quality_tables(spark)
+    good = [r.text for r in frame.orderBy("doc_id").collect()][:150]
+    item = " ".join(words(random.Random(77), 20))
+    changed = good[2].split()
+    changed[40] = "changed"
+    more = [good[0], good[1].upper(), " ".join(changed), good[3] + " " + item, item + " " + good[4], None, "", " ".join(good[5:90]), good[7], good[7]]
+    whole = frame.unionByName(table(spark, more, [*range(1001, 1010), 1009])).select("doc_id", "text", "lang", "source", "n_chars", "h1")
+    whole.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    good_ids = {r.doc_id for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good_ids]
+    last = {}
+    for k, t in rows:
+        last[lower(t or "")] = max(k, last.get(lower(t or ""), k))
+    rows = [(k, t) for k, t in rows if last[lower(t or "")] == k]
+    least = {k: c for k, _, c in brute_components(rows)}
+    rows = [(k, t) for k, t in rows if least[k] == k]
+    rows = [(k, t) for k, t in rows if not t or not plain_matches(item, t)]
+    whole_tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter()
+    for k, t in rows:
+        ids = np.array([*whole_tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        for i in range(0, len(ids), 4096):
+            want[k, i // 4096, i, len(ids[i : i + 4096]), zlib.crc32(ids[i : i + 4096].tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want and want
+    kept = {k for k, _ in rows}
+    assert {1, 2, 1004, 1005} & kept == set() and 1009 in kept and 7 + 1 not in kept
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    frame, labels = quality_tables(spark)
+    frame.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
