@@ -1,5 +1,19 @@
 """A training corpus from raw documents: stages that each read what the one
-before kept."""
+before kept.
+
+Each stage takes the documents that its predecessor kept, as a written table,
+and all but the last give back those of them that stay, with all columns of
+documents; the last gives their pieces in sequences.
+
+Defined results: null and empty texts get the classifier's score of an empty
+text, count as equal to each other, link with nothing, hold no benchmark item
+and are packed as an end alone, if they stay.  Ties: of equal texts the largest
+id stays, of near duplicates the smallest.  Rows of one id stay or go together:
+they stay if one of them is to stay, but go if one holds a benchmark item.
+Rows of null id are judged like others.  An empty table gives an
+empty table at every stage; empty labels give every document the prior as its
+score, an empty benchmark takes nothing.  Columns beyond those of documents are
+kept and not looked at."""
 
 from __future__ import annotations
 
