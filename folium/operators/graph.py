@@ -3,11 +3,15 @@ neighbourhoods, PageRank, communities and their exports."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from folium.functions import text as T
 from folium.functions.text import bare_name
-from folium.operators.storage import cut_lineage, numbered
+from folium.operators.storage import cut_lineage, discard, numbered
 
 # -- building
 
@@ -19,21 +23,34 @@ def resolved(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
 
 
 def merge_characters(mentions: DataFrame) -> DataFrame:
-    """``name, role, mention_count, chapter_count, chapters`` from rows of
-    (name, role, chapter, place): the role is the first seen, chapters come in
-    order."""
+    """``name, role, mention_count, chapter_count, first_chapter`` from rows
+    of (name, role, chapter, place): the role is the first seen."""
     return mentions.groupBy("name").agg(
         F.min_by("role", F.struct("chapter", "place", "role")).alias("role"),
         F.count("*").alias("mention_count"),
         F.countDistinct("chapter").alias("chapter_count"),
-        F.array_sort(F.collect_set("chapter")).alias("chapters"),
+        F.min("chapter").alias("first_chapter"),
     )
 
 
 def merge_relationships(seen: DataFrame) -> DataFrame:
-    """``source, target, relation, weight, chapters`` from rows of (source,
+    """``source, target, relation, weight, n_chapters`` from rows of (source,
     target, relation, chapter, place): the relation is the latest."""
-    return seen.groupBy("source", "target").agg(F.max_by("relation", F.struct("chapter", "place", "relation")).alias("relation"), F.count("*").alias("weight"), F.array_sort(F.collect_set("chapter")).alias("chapters"))
+    return seen.groupBy("source", "target").agg(F.max_by("relation", F.struct("chapter", "place", "relation")).alias("relation"), F.count("*").alias("weight"), F.countDistinct("chapter").alias("n_chapters"))
+
+
+def with_descriptions(nodes: DataFrame, described: DataFrame, most: int = 10) -> DataFrame:
+    """``name, role, mention_count, descriptions`` of nodes (duplicate names
+    once, the most mentioned), with their distinct descriptions from rows of
+    (name, description, chapter, place) in the order first seen, at most so
+    many; with fewer than two, a line on the role is added."""
+    first = described.where("description <> ''").groupBy("name", "description").agg(F.min(F.struct("chapter", "place")).alias("at"))
+    ranked = first.withColumn("p", F.row_number().over(W.partitionBy("name").orderBy("at", "description"))).where(F.col("p") <= most)
+    held = ranked.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "description"))), lambda x: x["description"]).alias("held"))
+    once = nodes.groupBy("name").agg(F.max_by(F.struct("role", "mention_count"), F.struct("mention_count", "role")).alias("of")).select("name", "of.role", "of.mention_count")
+    some = F.coalesce("held", F.array().cast("array<string>"))
+    added = F.when(F.size(some) < 2, F.concat(some, F.array(F.concat(F.lit("角色定位："), F.coalesce("role", F.lit("")))))).otherwise(some)
+    return once.join(held, "name", "left").select("name", "role", "mention_count", added.alias("descriptions"))
 
 
 def build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,6 +85,27 @@ def merge_nodes(edges: DataFrame, old: str, new: str, combine: bool = True) -> D
 # -- measures and neighbourhoods
 
 
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that some edge has."""
+    return nodes.join(edges.select(F.explode(F.array("source", "target")).alias("name")).distinct(), "name", "left_semi")
+
+
+def view(nodes: DataFrame, edges: DataFrame, most: int, least_degree: int = 0, role: str | None = None, word: str = "") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph view: nodes of a role, of a degree, with a
+    word in their name; the heaviest edges among them; no isolated nodes."""
+    chosen = nodes.where(F.lit(role is None) | (F.col("role") == F.lit(role))).where(F.contains(F.lower("name"), F.lit(word.lower())))
+    if least_degree:
+        chosen = chosen.join(degrees(edges).where(F.col("degree") >= least_degree), "name", "left_semi")
+    kept = heaviest(induced(edges, chosen), most)
+    return without_isolated(chosen, kept), kept
+
+
+def first_relation(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``name, partner, relation`` of each name's first relation by target."""
+    of = edges.join(names.select(F.col("name").alias("source")), "source", "left_semi")
+    return of.groupBy(F.col("source").alias("name")).agg(F.min(F.struct(F.col("target").alias("partner"), "relation")).alias("x")).select("name", "x.partner", "x.relation")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("source", "target")).alias("name"))
     return ends.groupBy("name").agg(F.count("*").alias("degree"))
@@ -114,6 +152,7 @@ def node_sizes(edges: DataFrame, largest: float = 12.0, smallest: float = 3.0) -
     return d.crossJoin(d.agg(F.max("degree").alias("most"))).select("name", "degree", F.floor(F.greatest(F.lit(smallest), smallest + ratio * largest) + 0.5).cast("int").alias("size"))
 
 
+#: The constants of the layout formulae below.
 def layout(n: Column, e: Column) -> list[Column]:
     """Layout settings as functions of the numbers of nodes and edges."""
     least, most, at_least = F.least, F.greatest, F.greatest(n, F.lit(10))
@@ -137,13 +176,13 @@ def layout(n: Column, e: Column) -> list[Column]:
 # -- PageRank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int | None = None, most: int = 100) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int | None = None) -> DataFrame:
     """``name, rank``: PageRank that starts again at the seeds, each alike.
 
     Rank of nodes without outgoing edges returns to the seeds.  With a number
     of iterations it takes just these, else it stops when ranks change by less
-    than a millionth a node, or after most rounds.  Lineage is cut every few
-    rounds in the shared folder."""
+    than a millionth a node, which they do: the change shrinks by the damping
+    in each round.  Lineage is cut every few rounds in the shared folder."""
     n, k = nodes.count(), seeds.count()
     if not n or not k:
         return nodes.select("name", F.lit(0.0).alias("rank")).limit(0)
@@ -156,7 +195,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
         .select("name", F.coalesce("restart", F.lit(0.0)).alias("restart"), F.coalesce("dangling", F.lit(1.0)).alias("dangling"))
     )
     ranks = base.select("name", F.lit(1.0 / n).alias("rank"))
-    for step in range(iterations or most):
+    for step in range(iterations) if iterations else count():
         loose = ranks.join(base, "name").agg(F.sum(F.col("rank") * F.col("dangling")).alias("loose"))
         got = steps.join(ranks, steps.source == ranks.name).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = base.join(got, base.name == got.target, "left").crossJoin(F.broadcast(loose)).select("name", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("restart")) + (1 - damping) * F.col("restart")).alias("rank"))
@@ -174,44 +213,61 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
 # -- communities
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``name, community``: greedy modularity on the whole graph at once.
-
-    Every node starts alone.  In a round each node looks at the communities of
-    its neighbours for the one of the greatest gain in modularity, ties to the
-    smallest name, and those that gain move, half of them at a time by a hash
-    of their name, so that two don't change places forever.  Stops when no
-    node gains.  Communities are numbered by size, largest 0, ties by their
-    smallest name.  A graph of fewer than three nodes is one community."""
-    both = cut_lineage(edges.where("source <> target").select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("x")).select("x.a", "x.b").groupBy("a", "b").agg(F.count("*").alias("w")))
-    degree = cut_lineage(both.groupBy("a").agg(F.sum("w").alias("d")).select(F.col("a").alias("name"), "d"))
-    twice, n = degree.agg(F.sum("d"), F.count("*")).first()
-    label = degree.select("name", F.col("name").alias("label"))
+def communities(edges: DataFrame) -> DataFrame:
+    """``name, community``: agglomerative greedy modularity, many merges a
+    round.
+
+    Every node starts alone.  In a round half the communities, by a hash of
+    name and round, ask the neighbour that they gain most with, if that is one
+    of the other half; a community takes those that ask in the order of their
+    gain as long as each still gains after those before it.  So modularity
+    rises with every merge.  When a round takes none, pairs that gain most with
+    each other merge; when there is none of these either, no pair gains, and it
+    stops.  Ties go to the smallest names.  Communities are numbered by size,
+    largest 0, ties by their smallest name.  A graph of fewer than three nodes
+    is one community."""
+    ends = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))
+    links = cut_lineage(edges.where("source <> target").select(F.explode(ends).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("w")))
+    held = cut_lineage(links.groupBy("a").agg(F.sum("w").alias("d")))
+    twice, n = held.agg(F.sum("d"), F.count("*")).first()
+    label = held.select(F.col("a").alias("name"), F.col("a").alias("label"))
     if not n:
         return label.select("name", F.lit(0).alias("community"))
-    if n >= 3:
-        for r in range(rounds):
-            held = label.join(degree, "name")
-            weight_of = held.groupBy("label").agg(F.sum("d").alias("held"))
-            to = both.join(label.select(F.col("name").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-            mine = held.select(F.col("name").alias("a"), F.col("label").alias("own"), "d")
-            gain = to.join(mine, "a").join(weight_of, "label").withColumn("gain", F.col("w") - F.col("d") * (F.col("held") - F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(0)) / twice)
-            own_gain = gain.where("label = own").select("a", F.col("gain").alias("own_gain"))
-            best = gain.groupBy("a").agg(F.max(F.struct("gain", F.hash(F.lit(0), "label").alias("h"), "label")).alias("best"), F.max("own").alias("own"))
-            moves = best.join(own_gain, "a", "left").join(mine.select("a", "d"), "a").join(weight_of.select(F.col("label").alias("own"), "held"), "own")
-            stay = F.coalesce("own_gain", -F.col("d") * (F.col("held") - F.col("d")) / twice)
-            moves = moves.where((F.col("best.gain") > stay + 1e-12) & (F.col("best.label") != F.col("own")) & (F.pmod(F.hash("a", F.lit(r // 2)), F.lit(2)) == r % 2)).select(F.col("a").alias("name"), F.col("best.label").alias("moved"))
-            moves = cut_lineage(moves)
-            if moves.isEmpty() and r % 2:
-                break
-            label = cut_lineage(label.join(moves, "name", "left").select("name", F.coalesce("moved", "label").alias("label")))
-    else:
+    if n < 3:
         label = label.withColumn("label", F.lit(""))
+    for r in count() if n >= 3 else ():
+        own, theirs = held.withColumnRenamed("d", "da"), held.select(F.col("a").alias("b"), F.col("d").alias("db"))
+        gain = links.join(own, "a").join(theirs, "b").withColumn("gain", F.col("w") - F.col("da") * F.col("db") / twice).where("gain > 1e-9")
+        best = cut_lineage(gain.groupBy("a").agg(F.min_by(F.struct("b", "gain", "w", "da", "db"), F.struct(-F.col("gain"), F.least("a", "b"), F.greatest("a", "b"))).alias("x")).select("a", "x.*"))
+        if best.isEmpty():
+            break
+        side = lambda c: F.pmod(F.xxhash64(F.lit(r), F.col(c)), F.lit(2))  # noqa: B023, E731
+        before = F.coalesce(F.sum("da").over(W.partitionBy("b").orderBy(F.desc("gain"), "a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        asked = best.where((side("a") == 0) & (side("b") == 1)).withColumn("before", before)
+        moves = cut_lineage(asked.where(F.col("w") - F.col("da") * (F.col("db") + F.col("before")) / twice > 1e-9).select(F.col("a").alias("old"), F.col("b").alias("new")))
+        if moves.isEmpty():
+            pair = best.groupBy(F.least("a", "b").alias("new"), F.greatest("a", "b").alias("old")).agg(F.count("*").alias("k")).where("k = 2")
+            moves = cut_lineage(pair.select("old", "new"))
+        moved = lambda rows, c: rows.join(moves.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
+        old = links, held
+        label = cut_lineage(moved(label, "label"))
+        links = cut_lineage(moved(moved(links, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
+        held = cut_lineage(moved(held, "a").groupBy("a").agg(F.sum("d").alias("d")))
+        discard(*old, best, moves)
     size = label.groupBy("label").agg(F.count("*").alias("size"), F.min("name").alias("first"))
     number = numbered(size, F.desc("size"), "first").withColumnRenamed("number", "community")
     return label.join(number.select("label", "community"), "label").select("name", "community")
 
 
+def community_search(found: DataFrame, query: str, top_k: int = 3) -> DataFrame:
+    """``community, label, score`` of summaries (community, label, members,
+    summary): 5 for each member that the query names and one for each bigram
+    of the query in label and summary; the best, ties by community."""
+    named = F.size(F.filter("members", lambda m: F.contains(F.lit(query.lower()), F.lower(m))))
+    score = 5 * named + T.ngram_hits(query.lower(), F.lower(F.concat_ws(" ", "label", "summary")))
+    return found.select("community", "label", score.cast("bigint").alias("score")).where("score > 0").orderBy(F.desc("score"), "community").limit(top_k)
+
+
 def community_summaries(found: DataFrame, nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``community, label, role, top_relation, member_count, members,
     member_key, summary`` of communities of two or more: the label is the

@@ -1,21 +1,21 @@
-"""Queries over relationship graphs: trade between customers' and suppliers'
-nations, and between suppliers and part brands."""
+"""Queries over relationship graphs: trade between suppliers and customers, and
+between suppliers and part brands."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.operators import graph
+from folium.operators import graph, storage
 from folium.registry import query, table
 
 _mentions = "SELECT s_name AS name, p_brand AS role, l_orderkey AS chapter, l_linenumber AS place FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"
-_seen = """SELECT cn.n_name AS source, sn.n_name AS target, l_returnflag AS relation, o_orderkey AS chapter, l_linenumber AS place
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey
-    JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey"""
-#: Pairs of nations and what goes between them; loops go when a graph is built.
-_merged = f"SELECT source, target, max_by(relation, lpad(chapter::VARCHAR, 12, '0') || lpad(place::VARCHAR, 4, '0') || relation) AS relation, count(*) AS weight FROM ({_seen}) GROUP BY source, target"
-_edges = f"SELECT * FROM ({_merged}) WHERE source <> target AND weight % 3 <> 0"
+#: What is sold goes from supplier to customer, what comes back the other way.
+_seen = """SELECT CASE WHEN l_returnflag = 'R' THEN c_name ELSE s_name END AS source, CASE WHEN l_returnflag = 'R' THEN s_name ELSE c_name END AS target, l_returnflag || l_linestatus AS relation, o_orderkey AS chapter, l_linenumber AS place
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
+_merged = f"SELECT source, target, max_by(relation, lpad(chapter::VARCHAR, 12, '0') || lpad(place::VARCHAR, 4, '0') || relation) AS relation, count(*) AS weight, count(DISTINCT chapter) AS n_chapters FROM ({_seen}) GROUP BY source, target"
+_edges = f"SELECT source, target, relation, weight FROM ({_merged})"
+_of_nation = "SELECT c_name AS name, c_nationkey AS community FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,44 +25,48 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders, customers, suppliers, nations = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
-    of = lambda c: nations.select(F.col("n_nationkey").alias(f"{c}_key"), F.col("n_name").alias(c))
-    buyers = orders.join(customers, orders.o_custkey == customers.c_custkey).join(of("source"), F.col("c_nationkey") == F.col("source_key")).select("o_orderkey", "source")
-    sellers = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).join(of("target"), F.col("s_nationkey") == F.col("target_key"))
-    return sellers.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select("source", "target", F.col("l_returnflag").alias("relation"), F.col("o_orderkey").alias("chapter"), F.col("l_linenumber").alias("place"))
+    lines, orders, customers, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    buyers = orders.join(customers, orders.o_custkey == customers.c_custkey).select("o_orderkey", "c_name")
+    both = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+    back = F.col("l_returnflag") == "R"
+    return both.select(F.when(back, F.col("c_name")).otherwise(F.col("s_name")).alias("source"), F.when(back, F.col("s_name")).otherwise(F.col("c_name")).alias("target"), F.concat("l_returnflag", "l_linestatus").alias("relation"), F.col("o_orderkey").alias("chapter"), F.col("l_linenumber").alias("place"))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse directed graph of nations: edges whose weight three divides
-    are left out, so that there is something to find."""
-    merged = graph.merge_relationships(seen(spark, sf_dir)).drop("chapters")
-    return merged.where("source <> target AND weight % 3 <> 0")
+    """The directed graph of suppliers and customers."""
+    return graph.merge_relationships(seen(spark, sf_dir)).drop("n_chapters")
 
 
-def nation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations, regions, customers = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
-    held = customers.groupBy("c_nationkey").agg(F.count("*").alias("mention_count"))
-    both = nations.join(regions, nations.n_regionkey == regions.r_regionkey).join(held, nations.n_nationkey == held.c_nationkey, "left")
-    return both.select(F.col("n_name").alias("name"), F.col("r_name").alias("role"), F.coalesce("mention_count", F.lit(0)).cast("bigint").alias("mention_count"))
+def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders, suppliers, lines = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier", "lineitem"))
+    bought = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    sold = lines.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    one = customers.join(bought, customers.c_custkey == bought.o_custkey, "left").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"), F.coalesce("n", F.lit(0)).cast("bigint").alias("mention_count"))
+    return one.unionByName(suppliers.join(sold, suppliers.s_suppkey == sold.l_suppkey, "left").select(F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("role"), F.coalesce("n", F.lit(0)).cast("bigint").alias("mention_count")))
 
 
-_nodes = "SELECT n_name AS name, r_name AS role, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS mention_count FROM nation JOIN region ON n_regionkey = r_regionkey"
+def nation_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation of each node, as a given community."""
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return customers.select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("community")).unionByName(suppliers.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("community")))
+
+
+_nodes = "SELECT c_name AS name, c_mktsegment AS role, count(o_orderkey) AS mention_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL UNION ALL SELECT s_name, 'SUPPLIER', count(l_orderkey) FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL"
 
 
 @query("merge_characters", f"SELECT name, min_by(role, lpad(chapter::VARCHAR, 12, '0') || lpad(place::VARCHAR, 4, '0') || role) AS role, count(*) AS mention_count, count(DISTINCT chapter) AS chapter_count, min(chapter) AS first_chapter FROM ({_mentions}) GROUP BY name")
 def merge_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_characters(mentions(spark, sf_dir)).select("name", "role", "mention_count", "chapter_count", F.col("chapters")[0].alias("first_chapter"))
+    return graph.merge_characters(mentions(spark, sf_dir))
 
 
-@query("merge_relationships", f"SELECT *, (SELECT count(DISTINCT chapter) FROM ({_seen}) s WHERE s.source = m.source AND s.target = m.target) AS n_chapters FROM ({_merged}) m")
+@query("merge_relationships", _merged)
 def merge_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_relationships(seen(spark, sf_dir)).select("source", "target", "relation", "weight", F.size("chapters").cast("bigint").alias("n_chapters"))
+    return graph.merge_relationships(seen(spark, sf_dir))
 
 
-@query("build_graph", f"SELECT * FROM ({_merged}) WHERE source <> target AND source IN (SELECT n_name FROM nation WHERE n_regionkey < 3) AND target IN (SELECT n_name FROM nation WHERE n_regionkey < 3)")
+@query("build_graph", f"SELECT * FROM ({_edges}) WHERE source <> target AND source IN (SELECT name FROM ({_of_nation}) WHERE community < 15) AND target IN (SELECT name FROM ({_of_nation}) WHERE community < 15)")
 def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("name"))
-    return graph.build(names, graph.merge_relationships(seen(spark, sf_dir)).drop("chapters"))
+    return graph.build(nation_of(spark, sf_dir).where("community < 15"), trade(spark, sf_dir))
 
 
 @query("alias_resolution", f"SELECT CASE WHEN name = 'Supplier#000000001' THEN 'Supplier#000000002' ELSE name END AS name, count(*) AS n FROM ({_mentions}) GROUP BY 1")
@@ -104,7 +108,7 @@ def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("role_histogram", f"SELECT role, count(*) AS n FROM ({_nodes}) GROUP BY role")
 def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nation_nodes(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"))
+    return nodes_of(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query("min_degree_subgraph", f"WITH d AS ({_degree}) SELECT * FROM ({_edges}) WHERE source IN (SELECT name FROM d WHERE degree >= 30) AND target IN (SELECT name FROM d WHERE degree >= 30)")
@@ -124,67 +128,141 @@ def node_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ego_2hop",
-    f"""WITH e AS (SELECT * FROM ({_edges}) WHERE weight % 5 = 1), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
-    h AS (SELECT 'NATION_8' AS name, 0 AS hop UNION ALL SELECT target, 1 FROM b WHERE source = 'NATION_8' UNION ALL SELECT y.target, 2 FROM b x JOIN b y ON x.target = y.source WHERE x.source = 'NATION_8')
+    f"""WITH e AS ({_edges}), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+    h1 AS (SELECT DISTINCT target AS name FROM b WHERE source = 'Customer#000000008'),
+    h AS (SELECT 'Customer#000000008' AS name, 0 AS hop UNION ALL SELECT name, 1 FROM h1 UNION ALL SELECT DISTINCT target, 2 FROM b JOIN h1 ON source = name)
     SELECT name, min(hop) AS hop FROM h GROUP BY name""",
 )
 def ego_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ego(trade(spark, sf_dir).where("weight % 5 = 1"), "NATION_8")
+    return graph.ego(trade(spark, sf_dir), "Customer#000000008")
 
 
-@query("relations_in_out", f"SELECT 'out' AS direction, target AS partner, relation, weight FROM ({_edges}) WHERE source = 'NATION_18' UNION ALL SELECT 'in', source, relation, weight FROM ({_edges}) WHERE target = 'NATION_18' AND source <> 'NATION_18'")
+@query("relations_in_out", f"SELECT 'out' AS direction, target AS partner, relation, weight FROM ({_edges}) WHERE source = 'Supplier#000000008' UNION ALL SELECT 'in', source, relation, weight FROM ({_edges}) WHERE target = 'Supplier#000000008' AND source <> 'Supplier#000000008'")
 def relations_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.relations_of(trade(spark, sf_dir), "NATION_18")
+    return graph.relations_of(trade(spark, sf_dir), "Supplier#000000008")
+
+
+_with_roles = f"SELECT direction, partner, relation, weight, coalesce(role, '') AS partner_role FROM (SELECT 'out' AS direction, target AS partner, relation, weight FROM ({_edges}) WHERE source = 'Supplier#000000005' UNION ALL SELECT 'in', source, relation, weight FROM ({_edges}) WHERE target = 'Supplier#000000005') LEFT JOIN ({_nodes}) ON partner = name"
+
 
+@query("relations_with_roles", _with_roles)
+def relations_with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of a node with the role of each partner."""
+    roles = nodes_of(spark, sf_dir).select(F.col("name").alias("partner"), F.col("role").alias("partner_role"))
+    found = graph.relations_of(trade(spark, sf_dir), "Supplier#000000005").join(roles, "partner", "left")
+    return found.select("direction", "partner", "relation", "weight", F.coalesce("partner_role", F.lit("")).alias("partner_role"))
 
-@query("graph_search_out", f"SELECT source, target, relation, weight FROM ({_edges}) WHERE contains('what do nation_8 and nation_15 send', lower(source))")
+
+ASKED = "What do Supplier#000000008 and Supplier#000000003 send to Customer#000000011"
+
+
+@query("graph_search_out", f"SELECT source, target, relation, weight FROM ({_edges}) WHERE contains('{ASKED.lower()}', lower(source))")
 def graph_search_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = graph.named_in(nation_nodes(spark, sf_dir), "What do Nation_8 and Nation_15 send").select(F.col("name").alias("source"))
+    matched = graph.named_in(nodes_of(spark, sf_dir), ASKED).select(F.col("name").alias("source"))
     return trade(spark, sf_dir).join(matched, "source", "left_semi").select("source", "target", "relation", "weight")
 
 
-@query("character_search", f"SELECT name, (CASE WHEN starts_with(lower(name), 'nation_1') THEN 10 WHEN contains(lower(name), 'n_2') THEN 5 WHEN contains(lower(role), 'i') THEN 3 END)::INT AS score FROM ({_nodes}) WHERE starts_with(lower(name), 'nation_1') OR contains(lower(name), 'n_2') OR contains(lower(role), 'i')")
-def character_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, role = F.lower("name"), F.lower("role")
-    score = F.when(name.startswith("nation_1"), 10).when(F.contains(name, F.lit("n_2")), 5).when(F.contains(role, F.lit("i")), 3)
-    return nation_nodes(spark, sf_dir).select("name", score.alias("score")).where("score IS NOT NULL")
+@query("graph_entities", f"SELECT name, mention_count FROM ({_nodes}) WHERE length(name) >= 2 AND contains('{ASKED.lower()}', lower(name)) ORDER BY mention_count DESC, name LIMIT 10")
+def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a session: names of the graph that a question holds, the
+    most mentioned first."""
+    return graph.named_in(nodes_of(spark, sf_dir), ASKED).where(F.length("name") >= 2).select("name", "mention_count").orderBy(F.desc("mention_count"), "name").limit(10)
+
+
+@query("first_relations", f"WITH t AS (SELECT name FROM ({_nodes}) ORDER BY mention_count DESC, name LIMIT 10) SELECT source AS name, min(target) AS partner, min_by(relation, target) AS relation FROM ({_edges}) WHERE source IN (SELECT name FROM t) GROUP BY source")
+def first_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = nodes_of(spark, sf_dir).orderBy(F.desc("mention_count"), "name").limit(10)
+    return graph.first_relation(trade(spark, sf_dir), top)
+
+
+_view = f"WITH n AS (SELECT * FROM ({_nodes}) WHERE (role = 'BUILDING' OR role = 'SUPPLIER') AND contains(lower(name), '00000')), e AS (SELECT * FROM ({_edges}) WHERE source IN (SELECT name FROM n) AND target IN (SELECT name FROM n) ORDER BY weight DESC, source, target LIMIT 250)"
+
+
+@query("graph_view", f"{_view} SELECT name, role, mention_count FROM n WHERE name IN (SELECT source FROM e UNION SELECT target FROM e)")
+def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that a view of the heaviest edges shows: none is isolated."""
+    nodes = nodes_of(spark, sf_dir).where("role IN ('BUILDING', 'SUPPLIER')")
+    return graph.view(nodes, trade(spark, sf_dir), 250, word="00000")[0]
+
+
+@query("graph_statistics", f"SELECT (SELECT count(*) FROM ({_nodes})) AS characters, (SELECT count(*) FROM ({_edges})) AS relations, (SELECT count(DISTINCT relation) FROM ({_edges})) AS kinds, (SELECT count(DISTINCT left(text, 30)) FROM documents) AS events")
+def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a graph; each relation once."""
+    edges = trade(spark, sf_dir).agg(F.count("*").alias("relations"), F.countDistinct("relation").alias("kinds"))
+    events = table(spark, sf_dir, "documents").agg(F.countDistinct(F.substring("text", 1, 30)).alias("events"))
+    return nodes_of(spark, sf_dir).agg(F.count("*").alias("characters")).crossJoin(edges).crossJoin(events)
 
 
-_community_tag = f"WITH c AS (SELECT n_name AS name, n_regionkey AS community FROM nation WHERE n_regionkey <> 4) SELECT source, target, CASE WHEN a.community = b.community THEN a.community ELSE -1 END AS community FROM ({_edges}) e LEFT JOIN c a ON source = a.name LEFT JOIN c b ON target = b.name"
+_described = "SELECT s_name AS name, p_type || ' ' || p_name AS description, l_orderkey AS chapter, l_linenumber AS place FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49"
 
 
-@query("edge_community", _community_tag)
+@query(
+    "node_descriptions",
+    f"""WITH f AS (SELECT name, description, min(chapter * 100 + place) AS first_at FROM ({_described}) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY first_at, description) AS p FROM f),
+    h AS (SELECT name, string_agg(description, '|' ORDER BY p) FILTER (p <= 10) AS held, count(*) FILTER (p <= 10) AS n FROM r GROUP BY name)
+    SELECT name, mention_count, CASE WHEN coalesce(n, 0) = 0 THEN '角色定位：' || role WHEN n < 2 THEN held || '|角色定位：' || role ELSE held END AS descriptions FROM ({_nodes}) LEFT JOIN h USING (name)""",
+)
+def node_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, suppliers, parts = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
+    both = lines.where("l_quantity >= 49").join(suppliers, lines.l_suppkey == suppliers.s_suppkey).join(parts, lines.l_partkey == parts.p_partkey)
+    described = both.select(F.col("s_name").alias("name"), F.concat_ws(" ", "p_type", "p_name").alias("description"), F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("place"))
+    return graph.with_descriptions(nodes_of(spark, sf_dir), described).select("name", "mention_count", F.array_join("descriptions", "|").alias("descriptions"))
+
+
+_points = "CASE WHEN starts_with(lower(name), 'supplier#00000001') THEN 10 WHEN contains(lower(name), 'r#00000002') THEN 5 WHEN contains(lower(role), 'mach') THEN 3 END"
+
+
+@query("character_search", f"SELECT name, ({_points})::INT AS score FROM ({_nodes}) WHERE ({_points}) IS NOT NULL ORDER BY score DESC, mention_count DESC, name LIMIT 20")
+def character_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, role = F.lower("name"), F.lower("role")
+    score = F.when(name.startswith("supplier#00000001"), 10).when(F.contains(name, F.lit("r#00000002")), 5).when(F.contains(role, F.lit("mach")), 3)
+    return nodes_of(spark, sf_dir).withColumn("score", score).where("score IS NOT NULL").orderBy(F.desc("score"), F.desc("mention_count"), "name").limit(20).select("name", "score")
+
+
+@query("edge_community", f"WITH c AS (SELECT * FROM ({_of_nation}) WHERE community < 20) SELECT source, target, CASE WHEN a.community = b.community THEN a.community ELSE -1 END AS community FROM ({_edges}) e LEFT JOIN c a ON source = a.name LEFT JOIN c b ON target = b.name")
 def edge_community(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "nation").where("n_regionkey <> 4").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("community"))
+    c = nation_of(spark, sf_dir).where("community < 20")
     both = trade(spark, sf_dir).join(c.select(F.col("name").alias("source"), F.col("community").alias("c1")), "source", "left").join(c.select(F.col("name").alias("target"), F.col("community").alias("c2")), "target", "left")
     return both.select("source", "target", F.when(F.col("c1") == F.col("c2"), F.col("c1")).otherwise(-1).alias("community"))
 
 
+@query("community_colours", f"SELECT community, n, CASE WHEN place <= 10 THEN 'hsl(' || floor(((place - 1) * 1375 % 3600) / 10.0 + 0.5)::INT || ')' END AS colour, place <= 6 AS in_legend FROM (SELECT *, row_number() OVER (ORDER BY n DESC, community) AS place FROM (SELECT community, count(*) AS n FROM ({_of_nation}) GROUP BY community))")
+def community_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hues of the ten largest communities, a golden angle apart."""
+    sizes = nation_of(spark, sf_dir).groupBy("community").agg(F.count("*").alias("n"))
+    place = storage.numbered(sizes, F.desc("n"), "community")
+    hue = F.floor((F.col("number") * 1375 % 3600) / 10 + 0.5).cast("int")
+    return place.select("community", "n", F.when(F.col("number") < 10, F.concat(F.lit("hsl("), hue, F.lit(")"))).alias("colour"), (F.col("number") < 6).alias("in_legend"))
+
+
 _steps = 5
+_seed_names = "'Customer#000000008', 'Supplier#000000003'"
 _ppr = (
-    f"WITH RECURSIVE e AS ({_edges}), s AS (SELECT e.source, target, weight / o.w AS share FROM e JOIN (SELECT source, sum(weight) AS w FROM e GROUP BY source) o ON e.source = o.source), "
-    "b AS (SELECT n_name AS name, CASE WHEN n_name IN ('NATION_8', 'NATION_15') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS restart, CASE WHEN n_name IN (SELECT source FROM e) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dangling FROM nation), "
-    "r0 AS (SELECT name, 1.0::DOUBLE / 25 AS rank FROM b)"
-    + "".join(f", r{i + 1} AS (SELECT b.name, 0.85::DOUBLE * (coalesce((SELECT sum(r{i}.rank * share) FROM s JOIN r{i} ON s.source = r{i}.name WHERE s.target = b.name), 0.0::DOUBLE) + (SELECT sum(rank * dangling) FROM r{i} JOIN b d ON r{i}.name = d.name) * restart) + 0.15::DOUBLE * restart AS rank FROM b)" for i in range(_steps))
-    + f" SELECT name, round(rank, 6) AS rank FROM r{_steps}"
+    f"WITH e AS MATERIALIZED ({_edges}), s AS MATERIALIZED (SELECT e.source, target, weight / o.w AS share FROM e JOIN (SELECT source, sum(weight) AS w FROM e GROUP BY source) o ON e.source = o.source), "
+    f"b AS MATERIALIZED (SELECT name, CASE WHEN name IN ({_seed_names}) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS restart, CASE WHEN name IN (SELECT source FROM e) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dangling FROM ({_nodes})), "
+    "r0 AS MATERIALIZED (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM b) AS rank FROM b)"
+    + "".join(
+        f", g{i} AS (SELECT target, sum(rank * share) AS got FROM s JOIN r{i} ON s.source = r{i}.name GROUP BY target), r{i + 1} AS MATERIALIZED (SELECT b.name, 0.85::DOUBLE * (coalesce(got, 0.0::DOUBLE) + (SELECT sum(rank * dangling) FROM r{i} JOIN b d ON r{i}.name = d.name) * restart) + 0.15::DOUBLE * restart AS rank FROM b LEFT JOIN g{i} ON b.name = target)"
+        for i in range(_steps)
+    )
+    + f" SELECT name, round(rank, 8) AS rank FROM r{_steps}"
 )
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").where("n_name IN ('NATION_8', 'NATION_15')").select(F.col("n_name").alias("name"))
+    return nodes_of(spark, sf_dir).where(f"name IN ({_seed_names})")
 
 
 @query("ppr_fixed", _ppr)
 def ppr_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return graph.pagerank(nodes, trade(spark, sf_dir), _seeds(spark, sf_dir), iterations=_steps).select("name", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(nodes_of(spark, sf_dir), trade(spark, sf_dir), _seeds(spark, sf_dir), iterations=_steps).select("name", F.round("rank", 8).alias("rank"))
 
 
 @query("ppr_converged")
 def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    ranked = graph.pagerank(nodes, trade(spark, sf_dir), _seeds(spark, sf_dir))
-    return ranked.select("name", F.round("rank", 6).alias("rank")).where("rank > 0")
+    ranked = graph.pagerank(nodes_of(spark, sf_dir), trade(spark, sf_dir), _seeds(spark, sf_dir))
+    return ranked.select("name", F.round("rank", 8).alias("rank")).where("rank > 0")
 
 
 @query("communities")
@@ -192,53 +270,58 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(trade(spark, sf_dir))
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("community"))
+_summaries = f"""WITH e AS ({_edges}), n AS ({_nodes}), c AS ({_of_nation}), r AS (SELECT community, relation, count(*) AS k FROM e JOIN c ON source = name GROUP BY ALL), o AS (SELECT community, role, count(*) AS k FROM n JOIN c USING (name) GROUP BY ALL)
+    SELECT community, max_by(name, lpad(mention_count::VARCHAR, 12, '0') || name) AS label, count(*) AS member_count, sha1(string_agg(name, '|' ORDER BY name)) AS member_key, list_sort(list(name))[:20] AS members,
+    (SELECT max_by(role, lpad(k::VARCHAR, 12, '0') || role) FROM o WHERE o.community = c.community) AS role,
+    (SELECT max_by(relation, lpad(k::VARCHAR, 12, '0') || relation) FROM r WHERE r.community = c.community) AS top_relation
+    FROM n JOIN c USING (name) GROUP BY community HAVING count(*) > 1"""
 
 
-@query(
-    "community_summary",
-    f"""WITH e AS ({_edges}), n AS ({_nodes}), c AS (SELECT n_name AS name, n_regionkey AS community FROM nation)
-    SELECT community, max_by(name, lpad(mention_count::VARCHAR, 12, '0') || name) AS label, count(*) AS member_count, sha1(string_agg(name, '|' ORDER BY name)) AS member_key, min(role) AS role,
-    (SELECT max_by(relation, lpad(k::VARCHAR, 12, '0') || relation) FROM (SELECT relation, count(*) AS k FROM e JOIN c x ON source = x.name WHERE x.community = c.community GROUP BY relation)) AS top_relation
-    FROM n JOIN c USING (name) GROUP BY community HAVING count(*) > 1""",
-)
+@query("community_summary", f"SELECT community, label, member_count, member_key, role, top_relation FROM ({_summaries})")
 def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.community_summaries(_regions(spark, sf_dir), nation_nodes(spark, sf_dir), trade(spark, sf_dir)).select("community", "label", "member_count", "member_key", "role", "top_relation")
+    return graph.community_summaries(nation_of(spark, sf_dir), nodes_of(spark, sf_dir), trade(spark, sf_dir)).select("community", "label", "member_count", "member_key", "role", "top_relation")
+
+
+_in_summary = " + ".join(f"contains(s, '{g}')::INT" for g in sorted({g for w in ASKED.lower().split() for g in (w[i : i + 2] for i in range(len(w) - 1))}))
 
 
-@query("community_search", "SELECT n_regionkey AS community, 5 * count(*) FILTER (contains('nation_8 and nation_11', lower(n_name))) AS score FROM nation GROUP BY n_regionkey HAVING count(*) FILTER (contains('nation_8 and nation_11', lower(n_name))) > 0")
+@query("community_search", f"SELECT community, label, score FROM (SELECT community, label, (5 * len(list_filter(members, lambda m: contains('{ASKED.lower()}', lower(m)))) + {_in_summary})::BIGINT AS score FROM (SELECT *, lower(label || ' ' || label || ' (' || member_count || ', mostly ' || coalesce(role, '?') || ')') AS s FROM ({_summaries}))) WHERE score > 0 ORDER BY score DESC, community LIMIT 3")
 def community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.count_if(F.contains(F.lit("nation_8 and nation_11"), F.lower("name")))
-    return _regions(spark, sf_dir).groupBy("community").agg((5 * named).alias("score")).where("score > 0")
+    found = graph.community_summaries(nation_of(spark, sf_dir), nodes_of(spark, sf_dir), trade(spark, sf_dir))
+    return graph.community_search(found, ASKED)
 
 
-@query("edge_delete", f"SELECT count(*) AS n_edges, sum(weight)::BIGINT AS weight FROM ({_edges}) WHERE NOT (source = 'NATION_8' AND target = 'NATION_11')")
+@query("edge_delete", f"SELECT count(*) AS n_edges, sum(weight)::BIGINT AS weight FROM ({_edges}) WHERE NOT (source = 'Supplier#000000008' AND target = 'Customer#000000011')")
 def edge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.delete_edge(trade(spark, sf_dir), "NATION_8", "NATION_11").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
+    return graph.delete_edge(trade(spark, sf_dir), "Supplier#000000008", "Customer#000000011").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
 
 
-@query("edge_update", f"SELECT source, target, CASE WHEN source = 'NATION_15' AND target = 'NATION_11' THEN 'ally' ELSE relation END AS relation, weight FROM ({_edges})")
+@query("edge_update", f"SELECT source, target, CASE WHEN source = 'Supplier#000000005' AND target = 'Customer#000000011' THEN 'ally' ELSE relation END AS relation, weight FROM ({_edges})")
 def edge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.update_relation(trade(spark, sf_dir), "NATION_15", "NATION_11", "ally")
+    return graph.update_relation(trade(spark, sf_dir), "Supplier#000000005", "Customer#000000011", "ally")
 
 
-_put = "CASE WHEN {0} = 'NATION_8' THEN 'NATION_18' ELSE {0} END"
+_put = "CASE WHEN {0} = 'Supplier#000000008' THEN 'Supplier#000000003' ELSE {0} END"
 
 
 @query("node_merge", f"SELECT source, target, sum(weight)::BIGINT AS weight, max_by(relation, lpad(weight::VARCHAR, 12, '0') || relation) AS relation FROM (SELECT {_put.format('source')} AS source, {_put.format('target')} AS target, relation, weight FROM ({_edges})) WHERE source <> target GROUP BY source, target")
 def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_nodes(trade(spark, sf_dir), "NATION_8", "NATION_18")
+    return graph.merge_nodes(trade(spark, sf_dir), "Supplier#000000008", "Supplier#000000003")
 
 
 _L = {
     "node_repulsion": "trunc(least(100000 * pow(greatest(n, 10) / 100, 2), 3000000))::INT",
-    "gravity": "round(greatest(0.003::DOUBLE, least(0.08::DOUBLE, 0.04::DOUBLE * pow(100 / greatest(n, 10), 0.4))), 4)",
+    "gravity": "round_even(greatest(0.003::DOUBLE, least(0.08::DOUBLE, 0.04::DOUBLE * pow(100 / greatest(n, 10), 0.4))), 4)",
     "ideal_edge_length": "trunc(least(100 + sqrt(n) * 6, 300))::INT",
     "iterations": "least(2000 + n * 2, 3000)",
+    "max_node_size": "round_even(greatest(8.0::DOUBLE, least(40.0::DOUBLE, 55 - n * 0.02::DOUBLE)), 1)",
+    "min_node_size": "round_even(greatest(2.0::DOUBLE, least(8.0::DOUBLE, 5 - n * 0.002::DOUBLE)), 1)",
+    "separation": "trunc(least(30 + n * 0.02::DOUBLE, 60))::INT",
+    "label_hide_full": "round_even(greatest(0.05::DOUBLE, 0.15::DOUBLE - n * 0.00008::DOUBLE), 3)",
+    "label_hide_core": "round_even(greatest(0.10::DOUBLE, 0.30::DOUBLE - n * 0.00015::DOUBLE), 3)",
     "edge_limit": "trunc(least(300 + n * 0.3::DOUBLE, 600))::INT",
     "min_degree": "greatest(2, least(5, trunc(n * 0.005::DOUBLE)::INT))",
-    "density": "round(e / greatest(n * (n - 1) / 2, 1), 6)",
+    "density": "round_even(e / greatest(n * (n - 1) / 2, 1), 6)",
 }
 
 
@@ -249,24 +332,24 @@ def layout_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("n", "e", *graph.layout(F.col("n"), F.col("e"))).select("n", "e", *_L)
 
 
-@query("export_gexf", f"WITH i AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS id FROM nation) SELECT 'node' AS part, id AS number, '<node id=\"' || id || '\" label=\"' || name || '\"/>' AS xml FROM i UNION ALL SELECT 'edge', k, '<edge id=\"' || k || '\" source=\"' || s || '\" target=\"' || t || '\" weight=\"' || weight || '\"/>' FROM (SELECT row_number() OVER (ORDER BY a.id, b.id) - 1 AS k, a.id AS s, b.id AS t, weight FROM ({_edges}) e JOIN i a ON source = a.name JOIN i b ON target = b.name)")
+@query("export_gexf", f"WITH i AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (" + _nodes + f")) SELECT 'node' AS part, id AS number, '<node id=\"' || id || '\" label=\"' || name || '\"/>' AS xml FROM i UNION ALL SELECT 'edge', k, '<edge id=\"' || k || '\" source=\"' || s || '\" target=\"' || t || '\" weight=\"' || weight || '\"/>' FROM (SELECT row_number() OVER (ORDER BY a.id, b.id) - 1 AS k, a.id AS s, b.id AS t, weight FROM ({_edges}) e JOIN i a ON source = a.name JOIN i b ON target = b.name)")
 def export_gexf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.gexf_rows(nation_nodes(spark, sf_dir), trade(spark, sf_dir))
+    return graph.gexf_rows(nodes_of(spark, sf_dir), trade(spark, sf_dir))
 
 
 @query("export_cypher", f"SELECT 'MERGE (c:Character {{name: ''' || name || '''}}) SET c.role = ''' || role || ''', c.mentions = ' || mention_count || ';' AS statement FROM ({_nodes}) UNION ALL SELECT 'MATCH (a:Character {{name: ''' || source || '''}}), (b:Character {{name: ''' || target || '''}}) MERGE (a)-[r:RELATES {{type: ''' || relation || '''}}]->(b) SET r.weight = ' || weight || ';' FROM ({_edges})")
 def export_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cypher_rows(nation_nodes(spark, sf_dir), trade(spark, sf_dir))
+    return graph.cypher_rows(nodes_of(spark, sf_dir), trade(spark, sf_dir))
 
 
 @query("export_vault")
 def export_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.vault_pages(nation_nodes(spark, sf_dir), trade(spark, sf_dir))
+    return graph.vault_pages(nodes_of(spark, sf_dir), trade(spark, sf_dir))
 
 
 @query("export_report", f"SELECT 'role' AS section, role AS name, count(*) AS n FROM ({_nodes}) GROUP BY role UNION ALL (SELECT 'top character', name, mention_count FROM ({_nodes}) ORDER BY mention_count DESC, name LIMIT 10) UNION ALL (SELECT 'top relation', source || ' - ' || target, weight FROM ({_edges}) ORDER BY weight DESC, source, target LIMIT 10)")
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = nation_nodes(spark, sf_dir)
+    nodes = nodes_of(spark, sf_dir)
     roles = nodes.groupBy("role").agg(F.count("*").alias("n")).select(F.lit("role").alias("section"), F.col("role").alias("name"), "n")
     top = nodes.orderBy(F.desc("mention_count"), "name").limit(10).select(F.lit("top character").alias("section"), "name", F.col("mention_count").alias("n"))
     edges = graph.heaviest(trade(spark, sf_dir), 10).select(F.lit("top relation").alias("section"), F.concat("source", F.lit(" - "), "target").alias("name"), F.col("weight").alias("n"))

@@ -1,5 +1,7 @@
 import math
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -39,6 +41,41 @@ def test_communities(spark):
     assert {r.community for r in graph.communities(edges(spark, ("a", "b", "r", 1))).collect()} == {0}
 
 
+def modularity(pairs, label):
+    m, d = len(pairs), Counter(x for p in pairs for x in p)
+    held = Counter()
+    for x, n in d.items():
+        held[label[x]] += n
+    return sum(label[a] == label[b] for a, b in pairs) / m - sum((n / (2 * m)) ** 2 for n in held.values())
+
+
+def plain_greedy(pairs):
+    """Merges the two communities that gain most, until none gain."""
+    label = {x: x for p in pairs for x in p}
+    while True:
+        names = sorted(set(label.values()))
+        now = modularity(pairs, label)
+        tries = [(modularity(pairs, {x: a if c == b else c for x, c in label.items()}) - now, a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+        gain, a, b = max(tries, default=(0, "", ""))
+        if gain <= 1e-12:
+            return label
+        label = {x: a if c == b else c for x, c in label.items()}
+
+
+def test_communities_against_plain_greedy(spark):
+    """A star, a ring of cliques and a random graph: modularity near that of
+    the plain pass, and no two communities gain by merging."""
+    rng = random.Random(5)
+    ring = [(f"c{k}n{i}", f"c{k}n{j}") for k in range(5) for i in range(4) for j in range(i)] + [(f"c{k}n0", f"c{(k + 1) % 5}n1") for k in range(5)]
+    star = [("hub", f"leaf{i}") for i in range(30)]
+    some = [(a, b) for a, b in ((f"g{i % 3}v{i}", f"g{j % 3}v{j}") for i in range(18) for j in range(i)) if rng.random() < (0.6 if a[1] == b[1] else 0.08)]
+    for pairs in (ring, star, some):
+        label = {r.name: r.community for r in graph.communities(edges(spark, *((a, b, "r", 1) for a, b in pairs))).collect()}
+        assert modularity(pairs, label) >= modularity(pairs, plain_greedy(pairs)) - 0.08
+        names, now = sorted(set(label.values())), modularity(pairs, label)
+        assert all(modularity(pairs, {x: a if c == b else c for x, c in label.items()}) <= now + 1e-9 for a in names for b in names if a < b)
+
+
 def test_summary_cache(spark):
     found = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "name string, community int")
     nodes = spark.createDataFrame([("a", "x", 3), ("b", "y", 5), ("c", "x", 1)], "name string, role string, mention_count int")
@@ -94,8 +131,6 @@ def test_simhash_value():
 
 
 def test_simhash_pairs_are_all_pairs(spark):
-    import random
-
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(8)]
     values = base + [b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(4)]
