@@ -1,12 +1,17 @@
 """Scalar text functions, as columns: all of them stay inside code that Spark
-generates or in its array functions; none is a Python UDF."""
+generates or in its array functions, but for the first JSON object in a text,
+which takes a parser."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.profiles import CONNECTIVES, LATIN, ZH, ZH_DIGITS, ZH_FALLBACK_NAMES, ZH_PUNCTUATION, ZH_TITLE_PREFIX, Profile
+from folium.functions.profiles import CONNECTIVES, LATIN, ZH, ZH_CLI, ZH_DIGITS, ZH_FALLBACK_NAMES, ZH_PUNCTUATION, ZH_TITLE_PREFIX, Profile
 
 _empty = lambda: F.array().cast("array<string>")
 
@@ -171,6 +176,9 @@ RELATION_TYPES = (("师徒", "师"), ("夫妻", "夫|妻"), ("手足", "兄弟|
 EVENT_TYPES = (("战斗", "战|杀|攻|守|败|胜|围"), ("人事", "封|任|升|贬|罢"), ("情感", "婚|嫁|娶"), ("谋略", "谋|计|策|议"), ("政令", "诏|旨|令|政"))
 STEP_ROUTES = (("dialogue", "讨论|之前|上次|历史|对话"), ("community", "社区|社群|群体|派系|阵营"), ("vector", "向量|语义|全文"), ("wiki", "wiki|章节|摘要"), ("graph", "图谱|关系|人物"), ("original", "原文|细节|段落"))
 PORTRAIT_ROLES = (("protagonist", "主角|主人公|男主|女主"), ("antagonist", "反派|反角|敌人"))
+GLOBAL_QUESTION = "全书|整本|所有章节|全部内容|总结全书|讲了什么"
+FALLBACK_MARKERS = "（回退模式）|【系统提示】当前 LLM API|API 密钥未配置"
+SLANG = {"YYDS": "永远的神", "yyds": "永远的神", "LOL": "大笑", "lol": "大笑", "OMG": "天啊", "omg": "天啊", "666": "厉害", "233": "大笑", "2333": "大笑", "hhh": "哈哈", "hhhh": "哈哈哈", "Orz": "跪了", "orz": "跪了"}
 ROLE_LEVELS = (("admin", 100), ("editor", 50), ("viewer", 10), ("api", 5))
 
 
@@ -210,9 +218,142 @@ def dynamic_top_k(query: Column, everything: int, default: int = 5) -> Column:
     )
 
 
+def portrait_role(role: Column) -> Column:
+    return first_rule(F.lower(F.coalesce(role, F.lit(""))), PORTRAIT_ROLES, "supporting")
+
+
+def is_global_question(query: Column) -> Column:
+    return query.rlike(GLOBAL_QUESTION)
+
+
+def is_fallback(text: Column) -> Column:
+    """A message that stands in for an answer."""
+    return text.rlike(FALLBACK_MARKERS)
+
+
+def has_content(*lists: Column) -> Column:
+    """Whether any of the lists extracted from a chapter has an element."""
+    out = F.lit(False)
+    for x in lists:
+        out = out | (F.coalesce(F.size(x), F.lit(0)) > 0)
+    return out
+
+
+def is_path_name(name: Column) -> Column:
+    """A name that may become part of a path: 1 to 200 characters, no
+    separators, no parent folder, no NUL."""
+    return F.coalesce(F.length(name).between(1, 200) & ~name.rlike("\\.\\.|[/\\\\\\x00]"), F.lit(False))
+
+
+def upload_error(name: Column, size: Column, most: int = 50 << 20, extensions: str = "txt|docx|pdf|md") -> Column:
+    """Why an upload is refused, or null."""
+    return F.when(~F.lower(name).rlike(f"\\.({extensions})$"), "type").when(name.rlike("\\.\\.|[/\\\\]"), "name").when(size > most, "size")
+
+
+def chapter_sort_key(title: Column) -> Column:
+    """The first number in a title; 999 without one."""
+    n = chinese_to_int(F.nullif(F.regexp_extract(title, "([一二两三四五六七八九十百千零\\d]+)", 1), F.lit("")))
+    return F.when(n > 0, n).otherwise(999)
+
+
+def is_chapter_source(title: Column) -> Column:
+    """A title that names one chapter: not a range, not the whole book."""
+    return ~title.rlike("第\\d+[-～~]\\d+[章回]") & ~F.contains(title, F.lit("全书")) & title.rlike("第[一-鿿\\d]+[章回节]|\\d+[章回节]")
+
+
 # -- output
 
 
+def safe_truncate(text: Column, most: int = 3000) -> Column:
+    """The text up to most characters: to the end of a paragraph if that lies
+    past 0.7 of them, else to the end of a sentence past half, else cut."""
+    head = F.substring(text, 1, most)
+    paragraph = F.length(F.regexp_extract(head, "(?s)^(.*)\\n\\s*\\n", 0))
+    sentence = F.length(F.regexp_extract(head, "(?s)^.*[。！？\n]", 0))
+    return F.when(F.length(text) <= most, text).when(paragraph > 0.7 * most, F.substring(text, F.lit(1), paragraph)).when(sentence - 1 > 0.5 * most, F.substring(text, F.lit(1), sentence)).otherwise(head)
+
+
+def plain_words(text: Column, meanings: dict[str, str]) -> Column:
+    """The text with slang in plain words, longest first."""
+    for said in sorted(meanings, key=lambda w: (-len(w), w)):
+        text = F.replace(text, F.lit(said), F.lit(meanings[said]))
+    return text
+
+
+def score_of(said: Column) -> Column:
+    """A score from 0 to 1; a fraction's bar reads as a point."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.replace(said, F.lit("/"), F.lit(".")).try_cast("double"), F.lit(0.0))))
+
+
+def etag(name: Column, modified: Column, size: Column) -> Column:
+    return F.md5(F.concat_ws("-", name, modified.cast("string"), size.cast("string")))
+
+
+def window_around(text: Column, term: str, before: int = 80, after: int = 250) -> Column:
+    """The text around a term whose place is taken from the text without white
+    space."""
+    at = F.instr(F.regexp_replace(text, "(?U)\\s+", ""), term) - 1
+    start = F.greatest(at - before, F.lit(0))
+    return F.when(at >= 0, F.substring(text, start + 1, at + after - start))
+
+
+def _first_json(said: str | None) -> str | None:
+    for m in re.finditer(r"[{\[]", said or ""):
+        try:
+            return said[m.start() : json.JSONDecoder().raw_decode(said, m.start())[1]]
+        except json.JSONDecodeError:
+            continue
+    return None
+
+
+def first_json(text: Column) -> Column:
+    """The first balanced JSON object or array in a text, or null.  Braces in
+    strings don't count; only a parser can tell."""
+
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_json)
+
+    return F.pandas_udf(found, "string")(text)
+
+
+def filled_reviews(rows: DataFrame, json_col: str) -> DataFrame:
+    """rows with the fields of a review, defaults for those left out."""
+    got = F.from_json(json_col, "passed boolean, score double, failure_type string, feedback string, suggestions array<string>")
+    filled = rows.withColumn("_r", got).withColumn("passed", F.coalesce("_r.passed", F.lit(True)))
+    said = F.coalesce("_r.failure_type", F.lit(""))
+    return (
+        filled.withColumn("score", F.coalesce("_r.score", F.lit(8.0)))
+        .withColumn("failure_type", F.when(F.col("passed"), "").when(said == "", "other").otherwise(said))
+        .withColumn("feedback", F.coalesce("_r.feedback", F.lit("审核通过")))
+        .withColumn("suggestions", F.coalesce("_r.suggestions", F.array().cast("array<string>")))
+        .drop("_r")
+    )
+
+
+CITATION = "「[^」]*(?:引自|出自)[^」]*」|（[^（）]*(?:引自|出自)[^（）]*）|\\([^()]*(?:引自|出自)[^()]*\\)"
+
+
+def citations(text: Column) -> Column:
+    """What citations in brackets of three kinds say."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CITATION), F.lit(0)), lambda c: F.substring(c, F.lit(2), F.length(c) - 2))
+
+
+def cited_name(said: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(said), "^(?:引自|出自)\\s*", ""))
+
+
+def checked_citations(text: Column, sources: Column) -> Column:
+    """The text with citations of a source (an array of titles: the same
+    title, or the same chapter number) in the one kind of brackets, and all
+    others taken out."""
+    bare = lambda t: F.lower(F.regexp_replace(t, "[\\s　（）()\"'《》,，。、\\-]", ""))
+    numbers, names = F.filter(F.transform(sources, chapter_number), lambda n: n.isNotNull()), F.transform(sources, bare)
+    backed = lambda c: F.array_contains(names, bare(cited_name(c))) | F.coalesce(F.array_contains(numbers, chapter_number(cited_name(c))), F.lit(False))
+    marks = F.transform(citations(text), lambda c: F.when(backed(c), F.concat(F.lit("「"), F.trim(c), F.lit("」"))).otherwise(""))
+    parts = F.split(text, CITATION)
+    return F.array_join(F.transform(F.arrays_zip(parts.alias("part"), marks.alias("mark")), lambda x: F.concat(F.coalesce(x["part"], F.lit("")), F.coalesce(x["mark"], F.lit("")))), "")
+
+
 def safe_filename(name: Column) -> Column:
     return F.regexp_replace(name, '[\\\\/:*?"<>|]', "_")
 

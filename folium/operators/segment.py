@@ -87,7 +87,7 @@ def _tail(text: str, n: int) -> str:
 def chunk_text(text: str, size: int = 512, overlap: int = 64, least: int = 64, ends: str = LATIN.sentence_end) -> list[str]:
     """Chunks of about size tokens that begin with the end of the one before;
     a last one below least joins its neighbour where that has room, else
-    goes."""
+    stands alone."""
     if token_estimate(text) <= size:
         return [text] if text.strip() else []
     back, done, now = int(overlap * 1.3), [], ""
@@ -100,10 +100,10 @@ def chunk_text(text: str, size: int = 512, overlap: int = 64, least: int = 64, e
             now = _tail(now, back)
         now = f"{now}\n{piece}" if now else piece
     if now:
-        if token_estimate(now) >= least:
-            done.append(now)
-        elif done and token_estimate(done[-1]) + token_estimate(now) <= 1.2 * size:
+        if token_estimate(now) < least and done and token_estimate(done[-1]) + token_estimate(now) <= 1.2 * size:
             done[-1] = f"{done[-1]}\n{now}"
+        else:
+            done.append(now)
     return done
 
 
@@ -124,16 +124,24 @@ def chunks(docs: DataFrame, key: str, text_col: str = "text", size: int = 512, o
     return docs.select(F.col(key).cast("bigint").alias(key), text_col).mapInArrow(run, f"{key} bigint, position int, chunk string, n_chars bigint, n_tokens bigint")
 
 
+def capped(blocks: Column, most: int = 8) -> Column:
+    """At most so many blocks: the last is all the rest, joined."""
+    rest = F.array_join(F.slice(blocks, F.lit(most), F.greatest(F.size(blocks) - most + 1, F.lit(1))), "\n\n")
+    return F.when(F.size(blocks) <= most, blocks).otherwise(F.concat(F.slice(blocks, 1, most - 1), F.array(rest)))
+
+
 def natural_volumes(chapters: DataFrame, pattern: str) -> DataFrame:
     """``book, volume, title, first_position, last_position``: runs of chapters
     between titles that name a volume; only books with two volumes or more
-    that hold half their chapters.  Columns: book, position, title."""
+    that hold half their chapters.  Columns: book, position, title, positions
+    from 0 without gaps.  Only chapters whose title names a volume are put in
+    order."""
     of_book = W.partitionBy("book").orderBy("position")
-    named = F.nullif(F.regexp_extract("title", pattern, 1), F.lit(""))
-    run = chapters.withColumn("volume_title", F.last(named, ignorenulls=True).over(of_book.rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("opens", F.coalesce((F.col("volume_title") != F.lag("volume_title").over(of_book)), F.col("volume_title").isNotNull()))
-    run = run.withColumn("volume", F.sum(F.col("opens").cast("bigint")).over(of_book.rowsBetween(W.unboundedPreceding, 0)))
-    made = run.where("volume > 0").groupBy("book", "volume").agg(F.min("volume_title").alias("title"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.count("*").alias("n"))
-    whole = chapters.groupBy("book").agg(F.count("*").alias("all_chapters"))
-    fit = made.groupBy("book").agg(F.count("*").alias("volumes"), F.sum("n").alias("held")).join(whole, "book").where("volumes >= 2 AND held * 2 >= all_chapters")
-    return made.join(fit.select("book"), "book", "left_semi").drop("n")
+    named = chapters.select("book", "position", F.nullif(F.regexp_extract("title", pattern, 1), F.lit("")).alias("title")).where("title IS NOT NULL")
+    opens = named.withColumn("before", F.lag("title").over(of_book)).where("before IS NULL OR before <> title")
+    whole = chapters.groupBy("book").agg(F.count("*").alias("all_chapters"), F.max("position").alias("end"))
+    made = opens.withColumn("volume", F.row_number().over(of_book).cast("bigint")).withColumn("next", F.lead("position").over(of_book)).join(whole, "book")
+    made = made.select("book", "volume", "title", F.col("position").alias("first_position"), F.coalesce(F.col("next") - 1, "end").alias("last_position"), "all_chapters")
+    held = F.sum(F.col("last_position") - F.col("first_position") + 1)
+    fit = made.groupBy("book", "all_chapters").agg(F.count("*").alias("volumes"), held.alias("held")).where("volumes >= 2 AND held * 2 >= all_chapters")
+    return made.drop("all_chapters").join(fit.select("book"), "book", "left_semi")

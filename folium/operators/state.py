@@ -3,7 +3,8 @@ The batch forms; ``folium.streaming`` has the same over streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,3 +94,17 @@ def cited(citations: DataFrame, sources: DataFrame) -> DataFrame:
     numbers = sources.where("number IS NOT NULL").select(F.col("number").alias("n")).distinct().withColumn("by_number", F.lit(True))
     both = citations.join(titles, F.lower(F.trim(citations["title"])) == titles["t"], "left").join(numbers, citations["number"] == numbers["n"], "left")
     return both.select(*citations.columns, (F.coalesce("by_title", F.lit(False)) | F.coalesce("by_number", F.lit(False))).alias("backed"))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric: the score of a row, and the aggregate over scores."""
+
+    score: Callable[[], Column]
+    aggregate: Callable[[Column], Column] = F.avg
+
+
+def evaluated(rows: DataFrame, metrics: dict[str, Metric], *group: str) -> DataFrame:
+    """``group, metric, value`` of all metrics, in one pass over the rows."""
+    wide = rows.groupBy(*group).agg(*(F.round(m.aggregate(m.score()), 6).alias(name) for name, m in metrics.items()))
+    return wide.unpivot(list(group), list(metrics), "metric", "value")

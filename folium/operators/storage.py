@@ -77,3 +77,27 @@ def numbered_within(rows: DataFrame, group: str, order: str) -> DataFrame:
     starts = cut.groupBy(group, "_range").agg(F.count("*").alias("n")).select(group, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
     own = F.row_number().over(W.partitionBy("_range", group).orderBy(order))
     return cut.withColumn("_own", own).join(starts, [group, "_range"]).withColumn("number", F.col("_start") + F.col("_own") - 1).drop("_range", "_own", "_start")
+
+
+def running_within(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Rows with ``before``, the sum of a value over the rows before them in
+    their group.  As ``numbered_within``: ranges that start where those before
+    end."""
+    cut = cut_lineage(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()))
+    earlier = F.sum("n").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = cut.groupBy(group, "_range").agg(F.sum(value).alias("n")).select(group, "_range", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    own = F.sum(value).over(W.partitionBy("_range", group).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return cut.withColumn("_own", F.coalesce(own, F.lit(0))).join(starts, [group, "_range"]).withColumn("before", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
+def missing_parts(wholes: DataFrame, done: DataFrame, key: str, total: str, part: str) -> DataFrame:
+    """``key, part``: the parts 0 to total - 1 of each whole that aren't done;
+    a part that failed and was put in empty is done."""
+    every = wholes.where(F.col(total) > 0).select(key, F.explode(F.sequence(F.lit(0), F.col(total) - 1)).alias(part))
+    return every.join(done.select(key, part).distinct(), [key, part], "left_anti")
+
+
+def quarantined(log: DataFrame, key: str, *order: Column, failed: Column) -> DataFrame:
+    """The latest row of each key whose latest row is a failure: a retry that
+    succeeds takes it out, one that fails replaces it."""
+    return latest(log.withColumn("_failed", failed), [key], *order).where("_failed").drop("_failed")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "graphs", "vectors", "states")
+FAMILIES = ("texts", "graphs", "vectors", "states", "functions", "building", "research")
 
 
 def load() -> None:

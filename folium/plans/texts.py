@@ -173,8 +173,8 @@ def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = table(spark, sf_dir, "documents").select("source", "doc_id", F.expr("length(text) div 2").alias("cost"))
-    before = F.coalesce(F.sum("cost").over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cost.withColumn("before", before).where("before < 40000").groupBy("source").agg(F.count("*").alias("n_built"), F.sum("cost").alias("spent"))
+    built = storage.running_within(cost, "source", "doc_id", "cost").where("before < 40000")
+    return built.groupBy("source").agg(F.count("*").alias("n_built"), F.sum("cost").alias("spent"))
 
 
 _impure = "length(line) < 120 AND regexp_matches(line, '(?i)www\\.[^ ]+\\.(?:com|net|org)|https?://|copyright|license|all rights|subscribe|password=|@mail[0-9]')"
@@ -232,7 +232,10 @@ def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = every.select("doc_id", "book", "position")
     paragraph = segment.chunks(every, "doc_id").withColumnRenamed("position", "place").join(of, "doc_id").select("book", F.lit("paragraph").alias("level"), "position", "place", F.col("chunk").alias("text"))
     level = F.when(F.col("level") == "book", 0).when(F.col("level") == "volume", 1).when(F.col("level") == "chapter", 2).otherwise(3)
-    made = book.unionByName(volume).unionByName(chapter).unionByName(paragraph).withColumn("number", F.row_number().over(W.partitionBy("book").orderBy(level, "position", "place")) - 1)
+    made = storage.cut_lineage(book.unionByName(volume).unionByName(chapter).unionByName(paragraph))
+    key = ["book", "level", "position", "place"]
+    place = storage.numbered_within(made.select(*key, F.struct(level.alias("l"), "position", "place").alias("at")), "book", "at").drop("at")
+    made = made.join(place, key)
     return made.select(F.concat("book", F.lit("_"), F.substring("level", 1, 1), F.lit("_"), F.lpad(F.col("number").cast("string"), 5, "0")).alias("chunk_id"), "book", "level", "position", "place", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
