@@ -3,9 +3,12 @@ between suppliers and part brands."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.functions.profiles import ZH_PUNCTUATION
 from folium.operators import graph, storage
 from folium.registry import query, table
 
@@ -238,23 +241,27 @@ def community_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _steps = 5
 _seed_names = "'Customer#000000008', 'Supplier#000000003'"
-_ppr = (
-    f"WITH e AS MATERIALIZED ({_edges}), s AS MATERIALIZED (SELECT e.source, target, weight / o.w AS share FROM e JOIN (SELECT source, sum(weight) AS w FROM e GROUP BY source) o ON e.source = o.source), "
-    f"b AS MATERIALIZED (SELECT name, CASE WHEN name IN ({_seed_names}) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS restart, CASE WHEN name IN (SELECT source FROM e) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dangling FROM ({_nodes})), "
-    "r0 AS MATERIALIZED (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM b) AS rank FROM b)"
-    + "".join(
+
+
+def ppr_sql(asked: str | None = None) -> str:
+    """PageRank from fixed seeds, or from the nodes that a question names."""
+    seeds = f"SELECT name FROM ({_nodes}) WHERE " + (f"name IN ({_seed_names})" if asked is None else f"contains('{asked.lower()}', lower(name))")
+    step = "".join(
         f", g{i} AS (SELECT target, sum(rank * share) AS got FROM s JOIN r{i} ON s.source = r{i}.name GROUP BY target), r{i + 1} AS MATERIALIZED (SELECT b.name, 0.85::DOUBLE * (coalesce(got, 0.0::DOUBLE) + (SELECT sum(rank * dangling) FROM r{i} JOIN b d ON r{i}.name = d.name) * restart) + 0.15::DOUBLE * restart AS rank FROM b LEFT JOIN g{i} ON b.name = target)"
         for i in range(_steps)
     )
-    + f" SELECT name, round(rank, 8) AS rank FROM r{_steps}"
-)
+    return (
+        f"WITH e AS MATERIALIZED ({_edges}), k AS MATERIALIZED ({seeds}), s AS MATERIALIZED (SELECT e.source, target, weight / o.w AS share FROM e JOIN (SELECT source, sum(weight) AS w FROM e GROUP BY source) o ON e.source = o.source), "
+        f"b AS MATERIALIZED (SELECT name, CASE WHEN name IN (SELECT name FROM k) THEN 1.0::DOUBLE / (SELECT count(*) FROM k) ELSE 0.0::DOUBLE END AS restart, CASE WHEN name IN (SELECT source FROM e) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dangling FROM ({_nodes})), "
+        f"r0 AS MATERIALIZED (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM b) AS rank FROM b){step} SELECT name, round(rank, 8) AS rank FROM r{_steps}"
+    )
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes_of(spark, sf_dir).where(f"name IN ({_seed_names})")
 
 
-@query("ppr_fixed", _ppr)
+@query("ppr_fixed", ppr_sql())
 def ppr_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(nodes_of(spark, sf_dir), trade(spark, sf_dir), _seeds(spark, sf_dir), iterations=_steps).select("name", F.round("rank", 8).alias("rank"))
 
@@ -282,10 +289,14 @@ def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.community_summaries(nation_of(spark, sf_dir), nodes_of(spark, sf_dir), trade(spark, sf_dir)).select("community", "label", "member_count", "member_key", "role", "top_relation")
 
 
-_in_summary = " + ".join(f"contains(s, '{g}')::INT" for g in sorted({g for w in ASKED.lower().split() for g in (w[i : i + 2] for i in range(len(w) - 1))}))
+def community_sql(asked: str) -> str:
+    q = asked.lower()
+    grams = sorted({w[i : i + 2] for w in re.split(ZH_PUNCTUATION, q) if w for i in range(max(1, len(w) - 1))})
+    hits = " + ".join(f"contains(s, '{g}')::INT" for g in grams)
+    return f"SELECT community, label, score FROM (SELECT community, label, (5 * len(list_filter(members, lambda m: contains('{q}', lower(m)))) + {hits})::BIGINT AS score FROM (SELECT *, lower(label || ' ' || label || ' (' || member_count || ', mostly ' || coalesce(role, '?') || ')') AS s FROM ({_summaries}))) WHERE score > 0 ORDER BY score DESC, community LIMIT 3"
 
 
-@query("community_search", f"SELECT community, label, score FROM (SELECT community, label, (5 * len(list_filter(members, lambda m: contains('{ASKED.lower()}', lower(m)))) + {_in_summary})::BIGINT AS score FROM (SELECT *, lower(label || ' ' || label || ' (' || member_count || ', mostly ' || coalesce(role, '?') || ')') AS s FROM ({_summaries}))) WHERE score > 0 ORDER BY score DESC, community LIMIT 3")
+@query("community_search", community_sql(ASKED))
 def community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.community_summaries(nation_of(spark, sf_dir), nodes_of(spark, sf_dir), trade(spark, sf_dir))
     return graph.community_search(found, ASKED)
