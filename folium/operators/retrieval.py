@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folium.functions import text as T
+from folium.operators.storage import cut_lineage
 
 
 def postings(entries: DataFrame, text_col: str, *keys: str) -> DataFrame:
@@ -63,12 +64,22 @@ def tool_score(query: str, title: Column, summary: Column, characters: Column, e
 
 def lookup(chapters: DataFrame, number: int, needle: str) -> DataFrame:
     """Chapters of each book by the first strategy that finds any: their
-    number, at most 3 titles, at most 5 bodies, else the first 3.  Columns:
-    book, position, title, text."""
-    rank = F.when(F.col("position") == number - 1, 1).when(F.contains(F.lower("title"), F.lit(needle)), 2).when(F.contains(F.lower("text"), F.lit(needle)), 3).when(F.col("position") < 3, 4)
-    found = chapters.select("book", "position", "title", rank.alias("strategy")).where("strategy IS NOT NULL")
-    best = W.partitionBy("book")
-    found = found.withColumn("best", F.min("strategy").over(best)).where("strategy = best")
-    kept = found.withColumn("place", F.row_number().over(W.partitionBy("book").orderBy("position")))
-    most = F.when(F.col("strategy") == 2, 3).when(F.col("strategy") == 3, 5).otherwise(3)
-    return kept.where(F.col("place") <= most).select("book", "position", "title", F.element_at(F.array(*map(F.lit, ("number", "title", "body", "first"))), F.col("strategy")).alias("match_type"))
+    number, at most 3 titles, at most 5 bodies, a part of the needle among the
+    first 10 titles, else the first 3.  Columns: book, position, title, text."""
+    title = F.lower(F.coalesce("title", F.lit("")))
+    parts = [p for p in dict.fromkeys(needle.lower().split()) if len(p) >= 2]
+    in_parts = F.lit(False)
+    for p in parts:
+        in_parts = in_parts | F.contains(title, F.lit(p))
+    rank = (
+        F.when(F.col("position") == number - 1, 1)
+        .when(F.contains(title, F.lit(needle.lower())), 2)
+        .when(F.contains(F.lower("text"), F.lit(needle.lower())), 3)
+        .when((F.col("position") < 10) & in_parts, 4)
+        .when(F.col("position") < 3, 5)
+    )
+    found = cut_lineage(chapters.select("book", "position", "title", rank.alias("strategy")).where("strategy IS NOT NULL"))
+    best = found.groupBy("book").agg(F.min("strategy").alias("best"))
+    kept = found.join(best, "book").where("strategy = best")
+    kept = kept.withColumn("place", F.row_number().over(W.partitionBy("book").orderBy("position"))).where("place <= 5")
+    return kept.where(F.col("place") <= F.when(F.col("strategy") == 3, 5).otherwise(3)).select("book", "position", "title", F.element_at(F.array(*map(F.lit, ("number", "title", "body", "parts", "first"))), F.col("strategy")).alias("match_type"))

@@ -93,12 +93,12 @@ def latest_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.latest(_events(spark, sf_dir), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).where("value >= 0.5").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
-@query("event_dedup", "SELECT left(text, 30) AS event, min(doc_id) AS first_id, row_number() OVER (ORDER BY min(doc_id), left(text, 30)) - 1 AS number FROM documents GROUP BY 1")
+@query("event_dedup", "SELECT left(text, 30) AS event, min(doc_id) AS first_id, row_number() OVER (ORDER BY min(doc_id), left(text, 30)) - 1 AS number, '情节' AS kind FROM documents GROUP BY 1")
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that begin alike are one event, of the first chapter it is in;
     numbers come from ranges that are counted first, not from one task."""
     first = table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 30).alias("event")).agg(F.min("doc_id").alias("first_id"))
-    return storage.numbered(first, "first_id", "event").select("event", "first_id", "number")
+    return storage.numbered(first, "first_id", "event").select("event", "first_id", "number", T.event_type(F.col("event")).alias("kind"))
 
 
 @query("timeline", "SELECT user_id, list_sort(list(event_type || ' ' || event_id ORDER BY ts, event_id)[:10]) AS first_events, count(*) AS n FROM events GROUP BY user_id")

@@ -87,15 +87,28 @@ _entry = f"""SELECT *, (CASE WHEN length(title) > 0 AND contains('{_q}', lower(t
     FROM (SELECT book, position, title, text, regexp_extract_all(text, '([A-ZÀ-Þ][a-zà-ÿ]+)', 1) AS names, string_split(text, chr(10))[2:3] AS events FROM ({CHAPTERS}))"""
 
 
-def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chapters(spark, sf_dir).withColumn("names", F.regexp_extract_all("text", F.lit(f"({LATIN.name})"), F.lit(1))).withColumn("events", F.slice(F.split("text", "\n"), 2, 2))
+def _scored_entries(spark: SparkSession, sf_dir: str, score) -> DataFrame:
+    """``book, doc_id, score``, from one scan of the texts."""
+    c = F.col
+    docs = table(spark, sf_dir, "documents")
+    names, lines = F.regexp_extract_all("text", F.lit(f"({LATIN.name})"), F.lit(1)), F.split("text", "\n")
+    return docs.select(F.col("source").alias("book"), "doc_id", score(lines[0], c("text"), names, F.slice(lines, 2, 2)).alias("score"))
+
+
+def _placed(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """A few rows (doc_id) with their position in their book."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
+    place = storage.numbered_within(docs, "source", "doc_id").select("doc_id", F.col("number").alias("position"))
+    return found.join(place, "doc_id")
 
 
 @query("wiki_search_topk", f"SELECT book, position, score FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, position) AS place FROM ({_entry}) WHERE score > 0) WHERE place <= 5")
 def wiki_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    scored = _wiki(spark, sf_dir).select("book", "position", retrieval.entry_score(QUESTION, c("title"), c("text"), c("names"), c("events")).alias("score"))
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("book").orderBy(F.desc("score"), "position"))).where("place <= 5 AND score > 0").drop("place")
+    """The best of each book.  Ids are in the order of positions, so only what
+    is found is given its position."""
+    scored = _scored_entries(spark, sf_dir, lambda *x: retrieval.entry_score(QUESTION, *x))
+    best = scored.withColumn("place", F.row_number().over(W.partitionBy("book").orderBy(F.desc("score"), "doc_id"))).where("place <= 5").where("score > 0")
+    return _placed(spark, sf_dir, best).select("book", "position", "score")
 
 
 @query(
@@ -105,18 +118,25 @@ def wiki_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_entry}) ORDER BY score DESC, book, position LIMIT 50""",
 )
 def tool_wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return _wiki(spark, sf_dir).select("book", "position", retrieval.tool_score("the", c("title"), c("text"), c("names"), c("events")).alias("score")).orderBy(F.desc("score"), "book", "position").limit(50)
+    best = _scored_entries(spark, sf_dir, lambda *x: retrieval.tool_score("the", *x)).orderBy(F.desc("score"), "book", "doc_id").limit(50)
+    return _placed(spark, sf_dir, best).select("book", "position", "score")
 
 
 @query(
     "chapter_lookup",
-    f"""WITH r AS (SELECT book, position, title, CASE WHEN position = 10999 THEN 1 WHEN contains(lower(title), 'eaupa') THEN 2 WHEN contains(lower(text), 'eaupa') THEN 3 WHEN position < 3 THEN 4 END AS strategy FROM ({CHAPTERS})),
+    f"""WITH r AS (SELECT book, position, title, CASE WHEN position = 10999 THEN 1 WHEN contains(lower(title), 'eaupa whwh') THEN 2 WHEN contains(lower(text), 'eaupa whwh') THEN 3 WHEN position < 10 AND (contains(lower(title), 'eaupa') OR contains(lower(title), 'whwh')) THEN 4 WHEN position < 3 THEN 5 END AS strategy FROM ({CHAPTERS})),
     b AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY position) AS place FROM (SELECT *, min(strategy) OVER (PARTITION BY book) AS best FROM r WHERE strategy IS NOT NULL) WHERE strategy = best)
-    SELECT book, position, title, ['number', 'title', 'body', 'first'][strategy] AS match_type FROM b WHERE place <= CASE strategy WHEN 2 THEN 3 WHEN 3 THEN 5 ELSE 3 END""",
+    SELECT book, position, title, ['number', 'title', 'body', 'parts', 'first'][strategy] AS match_type FROM b WHERE place <= CASE strategy WHEN 3 THEN 5 ELSE 3 END""",
 )
 def chapter_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.lookup(chapters(spark, sf_dir), 11000, "eaupa")
+    return retrieval.lookup(chapters(spark, sf_dir), 11000, "eaupa whwh")
+
+
+@query("chapter_by_body", f"""WITH r AS (SELECT book, position, title, CASE WHEN contains(lower(title), 'tionwh') THEN 2 WHEN contains(lower(text), 'tionwh') THEN 3 WHEN position < 10 AND contains(lower(title), 'tionwh') THEN 4 WHEN position < 3 THEN 5 END AS strategy FROM ({CHAPTERS})),
+    b AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY position) AS place FROM (SELECT *, min(strategy) OVER (PARTITION BY book) AS best FROM r WHERE strategy IS NOT NULL) WHERE strategy = best)
+    SELECT book, position, title, ['number', 'title', 'body', 'parts', 'first'][strategy] AS match_type FROM b WHERE place <= CASE strategy WHEN 3 THEN 5 ELSE 3 END""")
+def chapter_by_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.lookup(chapters(spark, sf_dir), 0, "tionwh")
 
 
 @query("token_estimate", "SELECT doc_id, ceil(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / 1.3 + length(regexp_replace(text, '[一-鿿]', '', 'g')) / 4.0)::BIGINT AS n_tokens FROM documents")
@@ -274,10 +294,23 @@ def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.chapters(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_chapters"), F.sum(F.length("text")).alias("n_chars"))
 
 
+_named_often = "SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, name) AS p FROM (SELECT book, name, count(*) AS n, min(doc_id) AS first_id FROM (SELECT DISTINCT source AS book, doc_id, unnest(regexp_extract_all(text, '[A-ZÀ-Þ][a-zà-ÿ]{3,}')) AS name FROM documents) GROUP BY book, name)"
+
+
 @query("golden_set", f"""SELECT * FROM (SELECT book, 'book_summary' AS kind, count(*)::VARCHAR || ' chapters' AS answer FROM ({CHAPTERS}) GROUP BY book
-    UNION ALL SELECT book, 'volume_summary', 'volume ' || (position // 50 + 1) || ': ' || count(*) FROM ({CHAPTERS}) WHERE position < 500 GROUP BY book, position // 50)""")
+    UNION ALL SELECT book, 'volume_summary', 'volume ' || (position // 50 + 1) || ': ' || count(*) FROM ({CHAPTERS}) WHERE position < 500 GROUP BY book, position // 50
+    UNION ALL SELECT book, 'main_characters', string_agg(name, '、' ORDER BY p) FROM ({_named_often}) WHERE p <= 5 GROUP BY book
+    UNION ALL SELECT book, 'first_chapter', name || ': ' || first_id FROM ({_named_often}) WHERE p <= 10)""")
 def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = chapters(spark, sf_dir)
+    """Questions on books, volumes, main characters and where each of these
+    comes first."""
+    every = storage.cut_lineage(chapters(spark, sf_dir).select("book", "doc_id", "position"))
     book = every.groupBy("book").agg(F.concat(F.count("*").cast("string"), F.lit(" chapters")).alias("answer")).select("book", F.lit("book_summary").alias("kind"), "answer")
     volume = every.where("position < 500").groupBy("book", F.expr("position div 50").alias("v")).agg(F.count("*").alias("n"))
-    return book.unionByName(volume.select("book", F.lit("volume_summary").alias("kind"), F.concat(F.lit("volume "), F.col("v") + 1, F.lit(": "), "n").alias("answer")))
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-ZÀ-Þ][a-zà-ÿ]{3,}"), F.lit(0)))).alias("name"))
+    counted = names.groupBy("book", "name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    top = storage.cut_lineage(counted.withColumn("p", F.row_number().over(W.partitionBy("book").orderBy(F.desc("n"), "name"))).where("p <= 10"))
+    main = top.where("p <= 5").groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda x: x["name"]), "、").alias("answer"))
+    first = top.select("book", F.lit("first_chapter").alias("kind"), F.concat_ws(": ", "name", F.col("first_id").cast("string")).alias("answer"))
+    made = book.unionByName(volume.select("book", F.lit("volume_summary").alias("kind"), F.concat(F.lit("volume "), F.col("v") + 1, F.lit(": "), "n").alias("answer")))
+    return made.unionByName(main.select("book", F.lit("main_characters").alias("kind"), "answer")).unionByName(first)

@@ -125,3 +125,43 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("g"))
     each = raw.select(F.posexplode("g.edges").alias("place", "e")).select("place", "e.*").where("source <> target")
     return each.groupBy("source", "target").agg(F.max_by("relation", "place").alias("relation"), F.max_by("weight", "place").alias("weight"))
+
+
+_DIALOGUE = "entries array<struct<id: string, topic: string, conclusion: string, entities: array<string>, evidence_chapters: array<string>, created_at: string>>"
+_GOLDEN = "array<struct<question: string, answer: string, kind: string, entities: array<string>>>"
+_COMMUNITIES = "summaries array<struct<community_id: int, label: string, summary: string, member_count: int, characters: array<string>>>, node_to_community map<string, int>"
+
+
+def _whole(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("x"))
+
+
+def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of dialogue files."""
+    return _whole(spark, path, _DIALOGUE).select(F.inline("x.entries"))
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of golden sets: a list in a file."""
+    return _whole(spark, path, _GOLDEN).select(F.inline("x"))
+
+
+def read_communities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Summaries, and (name, community), of graph files with communities."""
+    raw = _whole(spark, path, _COMMUNITIES)
+    return raw.select(F.inline("x.summaries")), raw.select(F.explode("x.node_to_community").alias("name", "community"))
+
+
+_HIERARCHY = "book struct<title: string, summary: string>, volumes array<struct<volume_index: int, title: string, summary: string, chapter_range: array<int>>>"
+
+
+def read_hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The book's own entry and its volumes, as a resumed build reads them."""
+    raw = _whole(spark, path, _HIERARCHY)
+    return raw.where("x.book IS NOT NULL").select("x.book.*"), raw.select(F.inline("x.volumes"))
+
+
+def raw_text_of(files: DataFrame, core: str) -> DataFrame:
+    """The files (path) of a book's text: its name in theirs, no chunks."""
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    return files.where(F.contains(name, F.lit(core)) & ~name.endswith("_chunks.json"))

@@ -56,3 +56,72 @@ def book_html(chapters: DataFrame) -> DataFrame:
     part = F.concat(F.lit("<h2>"), escaped("title"), F.lit("</h2><p>"), F.replace(escaped("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("part")))), lambda x: x["part"]), "\n")
     return chapters.groupBy("book").agg(F.concat(F.lit("<!DOCTYPE html><meta charset='utf-8'>\n"), joined).alias("html"))
+
+
+def write_book(book: DataFrame, path: str) -> None:
+    """An EPUB's pages as HTML files, one for each book of (book, html)."""
+    book.select("book", F.col("html").alias("value")).write.mode("overwrite").partitionBy("book").text(path)
+
+
+# -- what a build keeps: each a table of its own, so that one is written
+# without touching the others
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines below one folder."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def write_communities(found: DataFrame, summaries: DataFrame, path: str) -> None:
+    """Communities beside a graph that stays as it is."""
+    found.write.mode("overwrite").json(f"{path}/communities")
+    summaries.write.mode("overwrite").json(f"{path}/summaries")
+
+
+def write_index(postings: DataFrame, path: str, parts: int = 64) -> None:
+    """Postings of an inverted index by the hash of their gram, so that a
+    search reads the parts of its words only."""
+    part = F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int")
+    postings.withColumn("part", part).repartition("part").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, words: list[str], parts: int = 64) -> DataFrame:
+    """Postings of these words, from their parts."""
+    grams = spark.createDataFrame([(w,) for w in words], "gram string")
+    wanted = [r.part for r in grams.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int").alias("part")).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("part").isin(wanted) & F.col("gram").isin(words)).drop("part")
+
+
+def write_cache(entries: DataFrame, root: str, version: int) -> str:
+    """A semantic cache as the next version; readers keep the one they have."""
+    return write_version(entries, root, version, keep=2)
+
+
+def append_turns(turns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Sessions (session, n_turns, entities, last_turn) with new turns
+    (session, turn, entities) put in: counted, entities united."""
+    new = turns.groupBy("session").agg(F.count("*").alias("more"), F.array_distinct(F.flatten(F.collect_list("entities"))).alias("named"), F.max("turn").alias("latest"))
+    both = sessions.join(new, "session", "full")
+    none = F.array().cast("array<string>")
+    return both.select(
+        "session",
+        (F.coalesce("n_turns", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_turns"),
+        F.array_sort(F.array_union(F.coalesce("entities", none), F.coalesce("named", none))).alias("entities"),
+        F.greatest("last_turn", "latest").alias("last_turn"),
+    )
+
+
+def write_preferences(pairs: DataFrame, path: str) -> None:
+    """Pairs of answers as JSON lines: prompt, chosen, rejected."""
+    pairs.where("chosen <> rejected").select("prompt", "chosen", "rejected").write.mode("overwrite").json(path)
+
+
+def write_aliases(aliases: DataFrame, path: str) -> None:
+    aliases.select("alias", "canonical").write.mode("overwrite").json(path)
+
+
+def write_processed(files: DataFrame, chapters: DataFrame, path: str) -> None:
+    """What an upload becomes: cleaned texts and chapters, by book."""
+    files.where("text IS NOT NULL").select("title", F.col("text").alias("value")).write.mode("overwrite").partitionBy("title").text(f"{path}/clean")
+    chapters.write.mode("overwrite").parquet(f"{path}/chapters")
