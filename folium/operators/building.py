@@ -13,8 +13,6 @@ from folium.functions import text as T
 from folium.operators import graph, sketches
 from folium.operators.storage import cut_lineage, numbered_within
 
-_FIRST = W.partitionBy("chapter", "name").orderBy("block", "place")
-
 
 def merged_characters(rows: DataFrame) -> DataFrame:
     """``chapter, name, role, aliases`` of (chapter, block, place, name, role,
@@ -23,7 +21,7 @@ def merged_characters(rows: DataFrame) -> DataFrame:
     named = rows.where("name <> ''")
     every = named.select("chapter", "name", F.explode_outer("aliases").alias("alias"))
     aliases = every.groupBy("chapter", "name").agg(F.array_sort(F.collect_set("alias")).alias("all"))
-    first = named.withColumn("_p", F.row_number().over(_FIRST)).where("_p = 1").where(T.is_entity(F.col("name")))
+    first = named.withColumn("_p", F.row_number().over(W.partitionBy("chapter", "name").orderBy("block", "place"))).where("_p = 1").where(T.is_entity(F.col("name")))
     times = named.groupBy("chapter", "name").agg(F.count("*").alias("times"))
     both = first.join(aliases, ["chapter", "name"]).join(times, ["chapter", "name"])
     return both.select("chapter", "name", "role", F.when(F.col("times") > 1, F.col("all")).otherwise(F.col("aliases")).alias("aliases"), "block", "place")
@@ -93,10 +91,15 @@ def routed(docs: DataFrame, first: int = 10) -> DataFrame:
     low = F.get("s", F.greatest(F.lit(0), F.floor(0.3 * n).cast("int") - 1))
     bounds = s.select("book", high.alias("high"), low.alias("low"))
     hashes = cut_lineage(sketches.simhashes(scored, "doc_id", "head"))
-    pairs = sketches.simhash_pairs(hashes, "doc_id").select("a", "b").unionByName(sketches.of_classes(hashes, "simhash", "doc_id", 0, "distance").select("a", "b"))
-    of = scored.select("doc_id", "book", "position")
-    inside = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("book").alias("book_a")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("book").alias("book_b")), "b").where("book_a = book_b")
-    kept = sketches.first_kept(scored.select("doc_id"), inside.select("a", "b"), "doc_id")
+    # hashes are paired over all books, then stand for their first chapter in each
+    of = hashes.join(scored.select("doc_id", "book"), "doc_id")
+    first_of = cut_lineage(of.groupBy("book", "simhash").agg(F.min("doc_id").alias("first_id")))
+    hash_of = lambda c: hashes.select(F.col("doc_id").alias(c), F.col("simhash").alias(f"hash_{c}"))
+    alike = sketches.simhash_pairs(hashes, "doc_id").join(hash_of("a"), "a").join(hash_of("b"), "b").select("hash_a", "hash_b")
+    one = first_of.select("book", F.col("simhash").alias("hash_a"), F.col("first_id").alias("a"))
+    two = first_of.select("book", F.col("simhash").alias("hash_b"), F.col("first_id").alias("b"))
+    inside = alike.join(one, "hash_a").join(two, ["book", "hash_b"]).select("a", "b")
+    kept = sketches.first_kept_in_classes(of.join(first_of, ["book", "simhash"]).select("doc_id", "first_id"), inside, "doc_id")
     both = scored.join(bounds, "book").join(kept, "doc_id")
     tier = F.when(F.col("score") >= F.col("high"), "pro").when(F.col("score") <= F.col("low"), "skip").otherwise("light")
     both = both.withColumn("own", tier).withColumn("is_duplicate", ~F.col("kept"))

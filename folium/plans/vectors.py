@@ -190,12 +190,13 @@ def text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hashes = cut_lineage(sketches.simhashes(docs, "doc_id"))
     first = hashes.groupBy("simhash").agg(F.min("doc_id").alias("first_id"))
-    same = hashes.join(first, "simhash").where("doc_id <> first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-    far = sketches.simhash_pairs(hashes, "doc_id").select("a", "b")
-    by_simhash = sketches.first_kept(docs, far.unionByName(same), "doc_id")
+    members = hashes.join(first, "simhash").select("doc_id", "first_id")
+    by_simhash = sketches.first_kept_in_classes(members, sketches.simhash_pairs(hashes, "doc_id").select("a", "b"), "doc_id")
     rest = docs.join(by_simhash.where("kept").select("doc_id"), "doc_id", "left_semi")
-    near = sketches.minhash_pairs(sketches.minhash_signatures(rest, "doc_id"), "doc_id").select("a", "b")
-    by_minhash = sketches.first_kept(rest, near, "doc_id")
+    made = cut_lineage(sketches.minhash_signatures(rest, "doc_id"))
+    first = made.groupBy("signature").agg(F.min("doc_id").alias("first_id"))
+    members = made.join(first, "signature").select("doc_id", "first_id")
+    by_minhash = sketches.first_kept_in_classes(members, sketches.minhash_pairs(made, "doc_id").select("a", "b"), "doc_id")
     return by_simhash.join(by_minhash.withColumnRenamed("kept", "also"), "doc_id", "left").select("doc_id", (F.col("kept") & F.coalesce("also", F.lit(True))).alias("kept"), F.when(~F.col("kept"), "simhash").when(~F.col("also"), "minhash").alias("reason"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folium.operators.state import refill
-from folium.operators.storage import upsert
+from folium.operators.storage import latest, upsert
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -56,16 +56,22 @@ def limited_calls(calls: DataFrame, rate: float, burst: float, idle_ms: int = 3_
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def upsert_batches(stream: DataFrame, table_path: str, checkpoint: str, *keys: str):
+def upsert_batches(stream: DataFrame, table_path: str, checkpoint: str, *keys: str, order: str | None = None, keep: int = 3):
     """Keeps a Parquet table up to date with a stream.  Each micro-batch makes
-    a new version from the one before; a batch that runs again makes the same
-    version again."""
+    a new version from the one before, of a key the row that comes last in
+    order (ties, and all without an order, by the largest of the other
+    columns), so a batch that runs again makes the same version again.
+    Versions older than the last few go."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(list(keys))
+        others = [c for c in batch.columns if c not in keys]
+        first = [order] if order else []
+        newest = latest(batch, list(keys), *(F.desc_nulls_last(c) for c in (*first, *(c for c in others if c != order))))
         if number:
-            latest = upsert(spark.read.parquet(f"{table_path}/version={number - 1}"), latest, *keys)
-        latest.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+            newest = upsert(spark.read.parquet(f"{table_path}/version={number - 1}"), newest, *keys)
+        newest.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/version={number - keep}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folium.functions.profiles import ZH
-from folium.operators import graph, segment, sketches, state, vectors
+from folium.operators import building, graph, research, segment, sketches, state, storage, vectors
 from folium.sources import files, sinks
 from folium.streaming import streams
 
@@ -184,6 +184,26 @@ def test_streams(spark, tmp_path):
     assert q.awaitTermination(120) and spark.read.parquet(str(tmp_path / "table" / "version=0")).count() == 3
 
 
+def test_streams_of_sessions_texts_and_versions(spark, tmp_path):
+    """Two files, two micro-batches: sessions end once the watermark is past
+    them, a text comes once, the last row of a key in order stays."""
+    made = lambda rows: spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, text string").withColumn("ts", F.to_timestamp("ts"))
+    made([(1, 1, "2024-01-01 00:00:00", "a"), (2, 1, "2024-01-01 03:00:00", "b"), (3, 1, "2024-01-01 20:00:00", "a"), (4, 2, "2024-01-01 21:00:00", "c")]).coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
+    made([(5, 1, "2024-01-09 00:00:00", "d"), (6, 2, "2024-01-09 00:00:01", "d"), (7, 2, "2024-01-09 00:00:01", "e")]).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
+    read = lambda: spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+        return spark.table(name).collect()
+
+    assert sorted((r.user_id, r.n) for r in run(streams.sessions(read()), "own_sessions")) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted(r.text for r in run(streams.distinct_texts(read()), "own_texts")) == ["a", "b", "c", "d", "e"]
+    q = streams.upsert_batches(read(), str(tmp_path / "table"), str(tmp_path / "c"), "user_id", order="ts", keep=1)
+    assert q.awaitTermination(180) and {r.user_id: r.event_id for r in spark.read.parquet(str(tmp_path / "table" / "version=1")).collect()} == {1: 5, 2: 7}
+    assert not (tmp_path / "table" / "version=0").exists()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("第一章 甲\n正文".encode("gbk"))
     (tmp_path / "b.md").write_text("# Chapter One\nbody", encoding="utf-8")
@@ -221,3 +241,101 @@ def test_sinks(spark, tmp_path):
 def test_layout(spark, n):
     got = spark.range(1).select(*graph.layout(F.lit(n), F.lit(10))).first()
     assert got.ideal_edge_length == int(min(100 + math.sqrt(n) * 6, 300)) and got.iterations == min(2000 + 2 * n, 3000)
+
+
+def test_build_tables_round_trip(spark, tmp_path):
+    path = str(tmp_path / "g")
+    nodes = spark.createDataFrame([("a", "lead", 3), ("b", "side", 1)], "name string, role string, mention_count int")
+    sinks.write_graph(nodes, edges(spark, ("a", "b", "ally", 2)), path)
+    sinks.write_communities(spark.createDataFrame([("a", 0), ("b", 0)], "name string, community int"), spark.createDataFrame([(0, "a (2)")], "community int, summary string"), path)
+    assert spark.read.json(f"{path}/nodes").count() == 2 and spark.read.json(f"{path}/communities").count() == 2
+    index = spark.createDataFrame([(f"d{k}", g) for k in range(9) for g in ("ab", "cd", f"e{k}")], "doc string, gram string")
+    sinks.write_index(index, str(tmp_path / "i"), 8)
+    assert Counter(tuple(r) for r in sinks.read_index(spark, str(tmp_path / "i"), ["ab", "e3"], 8).select("doc", "gram").collect()) == Counter([*((f"d{k}", "ab") for k in range(9)), ("d3", "e3")])
+    for v in range(4):
+        sinks.write_cache(spark.range(v), str(tmp_path / "cache"), v)
+    assert sinks.read_latest(spark, str(tmp_path / "cache")).count() == 3 and len(sinks.versions(spark, str(tmp_path / "cache"))) == 2
+    old = spark.createDataFrame([("s", 1, ["x"], 0)], "session string, n_turns bigint, entities array<string>, last_turn int")
+    turns = spark.createDataFrame([("s", 1, ["y", "x"]), ("s", 2, None), ("t", 0, ["z"])], "session string, turn int, entities array<string>")
+    assert {tuple(r) for r in sinks.append_turns(turns.na.fill(0), old).select("session", "n_turns", "last_turn").collect()} == {("s", 3, 2), ("t", 1, 0)}
+    sinks.write_preferences(spark.createDataFrame([("p", "good", "bad"), ("q", "same", "same")], "prompt string, chosen string, rejected string"), str(tmp_path / "dpo"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "dpo")).select("prompt", "chosen", "rejected").collect()] == [("p", "good", "bad")]
+
+
+def test_kept_json(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"entries": [{"id": "1", "topic": "t", "conclusion": "c", "entities": ["a", "b"]}, {"id": "2"}]}')
+    (tmp_path / "s.json").write_text('[{"question": "q", "answer": "a", "kind": "book", "entities": ["x"]}]')
+    (tmp_path / "c.json").write_text('{"nodes": [], "summaries": [{"community_id": 0, "label": "l", "characters": ["a"]}], "node_to_community": {"a": 0, "b": 0}}')
+    (tmp_path / "h.json").write_text('{"book": {"title": "whole", "summary": "s"}, "volumes": [{"volume_index": 1, "title": "v", "chapter_range": [1, 50]}]}')
+    assert [(r.id, r.topic) for r in files.read_dialogues(spark, str(tmp_path / "d.json")).collect()] == [("1", "t"), ("2", None)]
+    assert files.read_golden(spark, str(tmp_path / "s.json")).first().entities == ["x"]
+    summaries, names = files.read_communities(spark, str(tmp_path / "c.json"))
+    assert summaries.first().label == "l" and {tuple(r) for r in names.collect()} == {("a", 0), ("b", 0)}
+    book, volumes = files.read_hierarchy(spark, str(tmp_path / "h.json"))
+    assert book.first().summary == "s" and volumes.first().chapter_range == [1, 50]
+    paths = spark.createDataFrame([("/x/book one.txt",), ("/x/book one_chunks.json",), ("/x/two.txt",)], "path string")
+    assert [r.path for r in files.raw_text_of(paths, "book one").collect()] == ["/x/book one.txt"]
+
+
+def test_merges_keep_the_first_valid_mention(spark):
+    rows = [(1, 0, 0, "Ann", "lead", ["A"]), (1, 1, 0, "Ann", "other", ["B", "A"]), (1, 0, 1, "12", "x", []), (1, 1, 1, "12", "x", ["n"]), (2, 0, 0, "Ann", "late", ["C", "B"]), (2, 1, 0, "", "none", []), (2, 2, 0, "Bob", None, None)]
+    frame = spark.createDataFrame(rows, "chapter int, block int, place int, name string, role string, aliases array<string>")
+    got = {(r.chapter, r.name): (r.role, r.aliases) for r in building.merged_characters(frame).collect()}
+    assert got == {(1, "Ann"): ("lead", ["A", "B"]), (2, "Ann"): ("late", ["C", "B"]), (2, "Bob"): (None, None)}
+    relations = spark.createDataFrame([(1, 0, 0, "a", "b", "x"), (1, 0, 1, "b", "c", "friends"), (1, 1, 0, "a", "b", "friends"), (1, 1, 1, "a", "", "friends")], "chapter int, block int, place int, source string, target string, relation string")
+    assert [(r.source, r.target, r.relation) for r in building.merged_relations(relations).collect()] == [("b", "c", "friends")]  # the pair (a, b) is first seen with a relation that is none
+
+
+def test_whole_build(spark):
+    """Two books; names are read off capitals, neighbours in a line know each
+    other; a chapter that is done isn't extracted again."""
+    docs = spark.createDataFrame([("x", 1, "Anna Berta\nAnna Carl"), ("x", 2, "Carl Anna"), ("y", 3, "Dora Emil"), ("y", 4, "done Already")], "book string, doc_id int, text string")
+    asked = []
+
+    def extract(chapters):
+        asked.append({r.chapter for r in chapters.select("chapter").collect()})
+        lines = chapters.select("chapter", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+        names = lines.select("chapter", "block", F.posexplode(F.split("line", " ")).alias("place", "name"))
+        two = F.split("line", " ")
+        return {
+            "characters": names.select("*", F.lit("side").alias("role"), F.array().cast("array<string>").alias("aliases")),
+            "events": lines.select("chapter", "block", F.lit(0).alias("place"), F.col("line").alias("event")),
+            "relations": lines.select("chapter", "block", F.lit(0).alias("place"), two[0].alias("source"), two[1].alias("target"), F.lit("knows").alias("relation")),
+            "summaries": lines.select("chapter", "block", F.col("line").alias("summary")),
+        }
+
+    made = building.build(docs, extract, spark.createDataFrame([("y", 4)], "book string, doc_id int"))
+    assert asked == [{1, 2, 3}]
+    assert {(r.name, r.mention_count) for r in made["nodes"].collect()} == {("Anna", 2), ("Berta", 1), ("Carl", 2), ("Dora", 1), ("Emil", 1)}
+    assert {(r.source, r.target): r.weight for r in made["edges"].collect()} == {("Anna", "Berta"): 1, ("Anna", "Carl"): 1, ("Carl", "Anna"): 1, ("Dora", "Emil"): 1}
+    of = {r.name: r.community for r in made["communities"].collect()}
+    assert of["Anna"] == of["Carl"] and of["Dora"] == of["Emil"] != of["Anna"]
+    assert {(r.book, r.volume, r.source) for r in made["volumes"].where("book = 'x'").collect()} == {("x", 1, ": Anna Berta Anna Carl\n: Carl Anna")}
+
+
+def test_citations_by_a_plain_version(spark):
+    from folium.functions import text as T
+
+    sources = ["第三章 明道宫", "第12章 天理"]
+    said = ["甲（引自第三章 别名）乙(出自 第12章 天理)丙「引自第八十章」丁", "无", "（引自）空", "「引自第三章，明道宫」", "(x)（y）"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    got = [r.c for r in rows.select(T.checked_citations(F.col("t"), F.array(*map(F.lit, sources))).alias("c")).collect()]
+    assert got == ["甲「引自第三章 别名」乙「出自 第12章 天理」丙丁", "无", "空", "「引自第三章，明道宫」", "(x)（y）"]
+
+
+def test_unified_and_claims_on_edge_cases(spark):
+    chapters = spark.createDataFrame([("b", 0, "One", "a text，with words"), ("b", 1, None, None), ("c", 0, "One", "another")], "book string, position int, title string, text string")
+    claims = spark.createDataFrame([(1, " One ", "a text with", "x"), (2, "One", "another", "x"), (3, "none", "", "zz words"), (4, None, None, None), (5, "One", "", "x")], "claim int, chapter_title string, snippet string, said string")
+    got = {r.claim: (r.verified, r.reason) for r in research.verified_claims(claims, chapters).collect()}
+    assert got == {1: (True, "snippet"), 2: (False, "other text"), 3: (True, "word"), 4: (False, "none"), 5: (True, "snippet")}
+    legs = {"x": spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 3.0)], "id int, score double"), "y": spark.createDataFrame([], "id int, score double")}
+    assert [(r.leg, r.id, r.place) for r in research.unified(legs).orderBy("place").collect()] == [("x", "2", 1), ("x", "3", 2), ("x", "1", 3)]
+
+
+def test_running_sums_and_missing_parts(spark):
+    rows = spark.createDataFrame([("a" if k % 3 else "b", k, k + 1) for k in range(40)], "g string, k int, v int")
+    got = {r.k: r.before for r in storage.running_within(rows, "g", "k", "v").collect()}
+    assert got == {k: sum(j + 1 for j in range(k) if bool(j % 3) == bool(k % 3)) for k in range(40)}
+    wholes = spark.createDataFrame([(1, 3), (2, 0), (3, 2)], "chapter int, total int")
+    done = spark.createDataFrame([(1, 0), (1, 2), (3, 0), (3, 1)], "chapter int, part int")
+    assert [tuple(r) for r in storage.missing_parts(wholes, done, "chapter", "total", "part").collect()] == [(1, 1)]
