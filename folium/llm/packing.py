@@ -30,6 +30,8 @@ END_ID = 1
 #: Pieces in a group, and the share of so many that goes to the next round.
 GROUP = 6000
 REOPENED = 0.05
+#: Pairs of bins that the local search looks at, for each piece of a group.
+EFFORT = 30
 #: Words whose ids a task remembers.
 WORDS = 600_000
 
@@ -169,14 +171,17 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empties bins, emptiest first, into underfull ones by moves, exchanges
-    of one for one and of two for one that raise the sum of squared fills."""
+    of one for one and of two for one that raise the sum of squared fills,
+    until none does or EFFORT is used up: where no lengths add up, each further
+    bin would take a look at all pairs of bins."""
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     least = least_bins(lengths, capacity)
     live = {b for b in range(len(bins)) if fill[b] < capacity}
     count = len(bins)
     tried: set[int] = set()
-    while count > least:
+    effort = EFFORT * len(size)
+    while count > least and effort > 0:
         source = min((b for b in live - tried if bins[b]), key=lambda b: fill[b], default=None)
         if source is None:
             break
@@ -184,6 +189,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
             break
         changed = False
         for b in sorted((b for b in live if b != source), key=lambda b: fill[b], reverse=True):
+            effort -= 1
+            if effort <= 0:
+                break
             while bins[source] and fill[b] < capacity and (step := _step(bins[source], bins[b], size, fill[source], fill[b], capacity)):
                 give, take = step
                 for i in give:
