@@ -353,7 +353,7 @@ def export_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cypher_rows(nodes_of(spark, sf_dir), trade(spark, sf_dir))
 
 
-@query("export_vault")
+@query("export_vault", f"SELECT regexp_replace(name, '[\\\\/:*?\"<>|]', '_', 'g') AS page, '# ' || name || chr(10) || 'role: ' || role || chr(10) || 'mentions: ' || mention_count || coalesce(chr(10) || links, '') AS body FROM ({_nodes}) LEFT JOIN (SELECT source AS name, string_agg('- [[' || target || ']]: ' || relation || ' (' || weight || ')', chr(10) ORDER BY weight DESC, target) AS links FROM ({_edges}) GROUP BY source) USING (name)")
 def export_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.vault_pages(nodes_of(spark, sf_dir), trade(spark, sf_dir))
 

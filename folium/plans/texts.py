@@ -287,7 +287,16 @@ def natural_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.natural_volumes(chapters(spark, sf_dir).select("book", "position", "title"), "^(The|Le|Der|La) ")
 
 
-@query("markdown_pages")
+_md_lines = _lines.replace("coalesce(text, '')", "regexp_replace(coalesce(text, ''), '(^|\\n)#+\\s+', '\\1', 'g')")
+
+
+@query(
+    "markdown_pages",
+    f"""WITH l AS (SELECT *, {_title} AS is_title FROM ({_md_lines})), k AS (SELECT * FROM l WHERE is_title OR NOT ({_impure})),
+    c AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS chapter FROM k),
+    g AS (SELECT doc_id, chapter, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_title), '') AS body FROM c GROUP BY doc_id, chapter)
+    SELECT doc_id, count(*) AS n_chapters, sum(length(body))::BIGINT AS n_chars FROM g WHERE chapter > 0 OR trim(body, chr(10) || ' ') <> '' GROUP BY doc_id""",
+)
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as Markdown: heading marks go, then chapters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "(?m)^#+\\s+", "").alias("text"))
