@@ -179,21 +179,27 @@ def _identities(data: bytes) -> np.ndarray:
 def _repeat(table: pa.Table) -> tuple[np.ndarray, ...]:
     """The classes of packed rows, in order; hash, place among the classes and
     size of each entry, and the rows' extra."""
-    hashes, ids, sizes, counts, more = [], [], [], [], []
-    for row in table.to_pylist():
-        hashes.append(_unpack(row["hashes"]))
-        ids.append(_identities(row["class_ids"]))
-        sizes.append(_unzip(row["sizes"]))
-        counts.append(_unzip(row["counts"]))
-        if row.get("found_in"):
-            more.append(_unzip(row["found_in"]))
-    each, n = np.concatenate(ids), np.concatenate(counts)
+    read = lambda name: [x.as_buffer() for x in table.column(name)]
+    counts = [_unzip(x) for x in read("counts")]
+    n = np.concatenate(counts)
+    hashes, more = np.empty(n.sum(), np.uint64), np.empty(0, np.int32)
+    ends = np.cumsum([c.sum() for c in counts])
+    for x, end in zip(read("hashes"), ends, strict=True):
+        part = _unpack(x)
+        hashes[end - len(part) : end] = part
+    if "found_in" in table.column_names:
+        more = np.empty(len(hashes), np.int32)
+        for x, end in zip(read("found_in"), ends, strict=True):
+            part = _unzip(x)
+            more[end - len(part) : end] = part
+    each = np.concatenate([_identities(x) for x in read("class_ids")])
+    sizes = np.concatenate([_unzip(x) for x in read("sizes")])
     order = np.lexsort((each[:, 1], each[:, 0]))
     new = np.ones(len(order), bool)
     new[1:] = (each[order[1:]] != each[order[:-1]]).any(axis=1)
     at = np.empty(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
-    return each[order[new]], np.concatenate(hashes), np.repeat(at, n), np.repeat(np.concatenate(sizes), n), np.concatenate(more) if more else np.empty(0, np.int32)
+    return each[order[new]], hashes, np.repeat(at.astype(np.int32), n), np.repeat(sizes, n), more
 
 
 _COUNTED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("class_ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("found_in", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
