@@ -515,3 +515,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = looked_up(some, written(chosen, "class-components"), identity, "docs")
     out = found.unionByName(all_docs.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("class_a").alias("class_id"))
+
+
+def op1_sql() -> str:
+    return """
+    WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM c JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS reached FROM t UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT node AS doc_id, min(reached) AS component_id FROM r GROUP BY node) LEFT JOIN n USING (doc_id)
+    """

@@ -13,7 +13,7 @@ from folium.llm.decontaminate import contaminated
 from folium.llm.exact_dedup import exact_duplicates, op6_sql
 from folium.llm.html_text import extract_main_text
 from folium.llm.line_dedup import dedup_lines, op8_sql
-from folium.llm.ngram_jaccard import jaccard_components
+from folium.llm.ngram_jaccard import jaccard_components, op1_sql
 from folium.llm.packing import pack_documents
 from folium.llm.pitman_yor import model_scores
 from folium.llm.quality import quality_scores, remainder
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": op6_sql(), "op8_line_dedup": op8_sql(), "op9_warc": op9_sql()}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": op1_sql(), "op6_exact_dedup": op6_sql(), "op8_line_dedup": op8_sql(), "op9_warc": op9_sql()}
