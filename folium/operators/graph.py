@@ -293,11 +293,13 @@ def alias_candidates(names: DataFrame, rare: int = 1, often: int = 50) -> DataFr
     name contains the other, or both begin alike, one is rare, the other
     frequent.  The canonical comes first by (chapters descending, name).
 
-    Pairs meet by a shared first or inner bigram before containment is looked
-    at, so there is no product of all names."""
+    Pairs meet by the short name's first four characters (fewer of a shorter
+    one), which the long one must hold, before containment is looked at, so
+    there is no product of all names."""
     n = names.select("name", "role", "chapters").where(F.length("name") >= 2)
-    grams = n.select("*", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit("(?s)(?=(.{2}))"), F.lit(1)))).alias("gram"))
-    first = n.select(*(F.col(c).alias(f"short_{c}") for c in n.columns), F.substring("name", 1, 2).alias("gram"))
+    inner = F.array_distinct(F.concat(*(T.grams(F.col("name"), k) for k in (2, 3, 4))))
+    grams = n.select("*", F.explode(inner).alias("gram"))
+    first = n.select(*(F.col(c).alias(f"short_{c}") for c in n.columns), F.substring("name", 1, 4).alias("gram"))
     inside = first.join(grams, "gram").where((F.length("short_name") < F.length("name")) & F.contains("name", F.col("short_name")))
     before = (F.col("chapters") > F.col("short_chapters")) | ((F.col("chapters") == F.col("short_chapters")) & (F.col("name") < F.col("short_name")))
     contained = inside.select(F.when(before, F.col("short_name")).otherwise(F.col("name")).alias("alias"), F.when(before, F.col("name")).otherwise(F.col("short_name")).alias("canonical"), F.lit("contains").alias("rule"))
