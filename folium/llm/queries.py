@@ -9,10 +9,13 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.llm.chat_format import format_conversations, op11_sql
+from folium.llm.conversation_repair import op12_sql, repair_conversations
 from folium.llm.decontaminate import contaminated
 from folium.llm.exact_dedup import exact_duplicates, op6_sql
 from folium.llm.html_text import extract_main_text
 from folium.llm.line_dedup import dedup_lines, op8_sql
+from folium.llm.merkle import op13_sql, verified_manifest
 from folium.llm.ngram_jaccard import jaccard_components, op1_sql
 from folium.llm.packing import pack_documents
 from folium.llm.pitman_yor import model_scores
@@ -65,6 +68,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,7 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_warc,
         op10_url_filters,
+        op11_chat_formatting,
+        op12_conversation_repair,
+        op13_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": op1_sql(), "op6_exact_dedup": op6_sql(), "op8_line_dedup": op8_sql(), "op9_warc": op9_sql()}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": op1_sql(), "op6_exact_dedup": op6_sql(), "op8_line_dedup": op8_sql(), "op9_warc": op9_sql(), "op11_chat_formatting": op11_sql(), "op12_conversation_repair": op12_sql(), "op13_merkle_manifest": op13_sql()}
