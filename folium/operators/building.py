@@ -116,7 +116,7 @@ def build(docs: DataFrame, extract: Extract, done: DataFrame | None = None) -> d
     and their blocks merged; volumes, aliases, the graph and its communities
     follow.
 
-    docs has (book, doc_id, text).  extract gives for chapters (chapter, text)
+    docs has (book, doc_id, text), and title if entries are to have one.  extract gives for chapters (chapter, text)
     the tables characters, events, relations and summaries of their blocks, as
     the merges above take them.  What a step reads more than once is written
     to the shared folder, so a lost executor repeats one step at most."""
@@ -125,7 +125,8 @@ def build(docs: DataFrame, extract: Extract, done: DataFrame | None = None) -> d
     blocks = extract(todo.select(F.col("doc_id").alias("chapter"), "text"))
     characters, relations = cut_lineage(merged_characters(blocks["characters"])), cut_lineage(merged_relations(blocks["relations"]))
     summaries = cut_lineage(merged_summaries(blocks["summaries"]))
-    entries = place.join(summaries, place.doc_id == summaries.chapter, "left").select("book", "position", "doc_id", F.lit("").alias("title"), "summary")
+    titled = docs.select("book", "doc_id", (F.coalesce("title", F.lit("")) if "title" in docs.columns else F.lit("")).alias("title"))
+    entries = place.join(titled, ["book", "doc_id"]).join(summaries, F.col("doc_id") == summaries.chapter, "left").select("book", "position", "doc_id", "title", "summary")
     seen = characters.groupBy("name").agg(F.min_by("role", F.struct("chapter", "block", "place")).alias("role"), F.countDistinct("chapter").alias("chapters"))
     aliases = cut_lineage(graph.alias_map(seen))
     of = lambda c: graph.resolved(relations, c, aliases)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "graphs", "vectors", "states", "functions", "building", "research")
+FAMILIES = ("texts", "graphs", "vectors", "states", "functions", "building", "research", "streams")
 
 
 def load() -> None:

@@ -289,7 +289,7 @@ def test_merges_keep_the_first_valid_mention(spark):
 def test_whole_build(spark):
     """Two books; names are read off capitals, neighbours in a line know each
     other; a chapter that is done isn't extracted again."""
-    docs = spark.createDataFrame([("x", 1, "Anna Berta\nAnna Carl"), ("x", 2, "Carl Anna"), ("y", 3, "Dora Emil"), ("y", 4, "done Already")], "book string, doc_id int, text string")
+    docs = spark.createDataFrame([("x", 1, "Anna Berta\nAnna Carl", "One"), ("x", 2, "Carl Anna", None), ("y", 3, "Dora Emil", "Three"), ("y", 4, "done Already", "Four")], "book string, doc_id int, text string, title string")
     asked = []
 
     def extract(chapters):
@@ -310,7 +310,8 @@ def test_whole_build(spark):
     assert {(r.source, r.target): r.weight for r in made["edges"].collect()} == {("Anna", "Berta"): 1, ("Anna", "Carl"): 1, ("Carl", "Anna"): 1, ("Dora", "Emil"): 1}
     of = {r.name: r.community for r in made["communities"].collect()}
     assert of["Anna"] == of["Carl"] and of["Dora"] == of["Emil"] != of["Anna"]
-    assert {(r.book, r.volume, r.source) for r in made["volumes"].where("book = 'x'").collect()} == {("x", 1, ": Anna Berta Anna Carl\n: Carl Anna")}
+    assert {(r.book, r.volume, r.source) for r in made["volumes"].where("book = 'x'").collect()} == {("x", 1, "One: Anna Berta Anna Carl\n: Carl Anna")}
+    assert {(r.doc_id, r.title) for r in made["entries"].collect()} == {(1, "One"), (2, ""), (3, "Three"), (4, "Four")}
 
 
 def test_citations_by_a_plain_version(spark):

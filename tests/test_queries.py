@@ -184,7 +184,22 @@ def check_ranks(got):
     assert abs(got["rank"].sum() - 1) < 1e-4 and (got["rank"] > 0).all()
 
 
+def check_stream_dedup(got):
+    from test_stateful import plain_dedup
+
+    assert {r.doc_id: (r.kept, r.reason) for r in got.itertuples()} == plain_dedup(texts().items())
+
+
+def check_stream_cache(got):
+    from test_stateful import plain_cache
+
+    rows = [(label, k, k, np.array(v)) for k, label, v in CON.execute("SELECT vec_id, label, embedding::DOUBLE[] FROM embeddings").fetchall()]
+    assert {r.ask_id: (r.book, r.entry, r.is_hit, r.hits, r.misses, r.entries) for r in got.itertuples()} == plain_cache(rows, 0.85, 30)
+
+
 PLAIN = {
+    "stream_dedup": check_stream_dedup,
+    "stream_cache": check_stream_cache,
     "semantic_split": check_split,
     "chapter_chunks": check_chunk_cover,
     "routing_pipeline": check_routes,
