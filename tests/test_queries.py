@@ -209,6 +209,7 @@ PLAIN = {
     "communities": lambda got: None if got.name.is_unique and got.community.min() == 0 else pytest.fail("no partition"),
     "cache_upsert": check_entries,
     "lsh_knn": check_lsh,
+    "ivf_knn": check_lsh,
     "minhash_candidates": check_minhash,
     "text_dedup": check_dedup,
     "token_bucket": check_bucket,
