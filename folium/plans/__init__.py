@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "graphs", "vectors", "states", "functions", "building", "research", "streams")
+FAMILIES = ("texts", "graphs", "vectors", "states", "functions", "building", "research", "sources", "streams")
 
 
 def load() -> None:
