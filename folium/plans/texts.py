@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from folium.functions import text as T
 from folium.functions.profiles import LATIN
+from folium.functions.tables import register_tables
 from folium.operators import retrieval, segment, storage
 from folium.registry import query, table
 
@@ -220,17 +221,25 @@ def donation_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(joined).alias("text_md5"))
 
 
-@query(
-    "chapter_segments",
-    f"""WITH l AS (SELECT *, {_title} AS is_title FROM ({_lines})), k AS (SELECT * FROM l WHERE is_title OR NOT ({_impure})),
+_segments = f"""WITH l AS (SELECT *, {_title} AS is_title FROM ({_lines})), k AS (SELECT * FROM l WHERE is_title OR NOT ({_impure})),
     c AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS chapter FROM k)
     SELECT doc_id, chapter, max(line) FILTER (is_title) AS title, md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_title), '')) AS text_md5 FROM c
-    GROUP BY doc_id, chapter HAVING chapter > 0 OR trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_title), ''), chr(10) || ' ') <> ''""",
-)
+    GROUP BY doc_id, chapter HAVING chapter > 0 OR trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_title), ''), chr(10) || ' ') <> ''"""
+
+
+@query("chapter_segments", _segments)
 def chapter_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.chapters(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "chapter", "title", F.md5("text").alias("text_md5"))
 
 
+@query("chapter_segments_sql", _segments)
+def chapter_segments_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters by the table function."""
+    register_tables(spark)
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return spark.sql("SELECT doc_id, chapter, title, md5(text) AS text_md5 FROM chapter_segments(TABLE({lines}), 'doc_id')", lines=lines)
+
+
 @query("semantic_split")
 def semantic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.semantic_blocks(F.col("text"))).alias("block", "text"))
@@ -242,6 +251,14 @@ def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.chunks(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "position", "n_chars", "n_tokens", F.md5("chunk").alias("chunk_md5"))
 
 
+@query("chapter_chunks_sql")
+def chapter_chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the table function."""
+    register_tables(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, position, n_chars, n_tokens, md5(chunk) AS chunk_md5 FROM chapter_chunks(TABLE({docs}), 'doc_id')", docs=docs)
+
+
 @query("hierarchical_chunks")
 def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Book, volume, chapter and paragraph chunks under one running number."""

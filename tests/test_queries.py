@@ -202,6 +202,7 @@ PLAIN = {
     "stream_cache": check_stream_cache,
     "semantic_split": check_split,
     "chapter_chunks": check_chunk_cover,
+    "chapter_chunks_sql": check_chunk_cover,
     "routing_pipeline": check_routes,
     "hierarchical_chunks": check_hierarchy,
     "alias_greedy": lambda got: None if not set(got.alias) & set(got.canonical) and got.alias.is_unique else pytest.fail("an alias is a canonical"),
