@@ -7,9 +7,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from folium.functions.profiles import ZH_PUNCTUATION
-from folium.operators import graph, research, storage, vectors
+from folium.operators import concurrent, graph, research, storage, vectors
 from folium.plans import graphs
 from folium.plans.texts import CHAPTERS, chapters
 from folium.plans.vectors import Q, _cos, _q, _v
@@ -199,32 +200,67 @@ _dialogue_leg = f"SELECT 'dialogue', dialogue::VARCHAR, score::DOUBLE FROM ({dia
 _unified = f"SELECT *, row_number() OVER (PARTITION BY leg ORDER BY score DESC, id) AS place FROM ({' UNION ALL '.join((_wiki_leg, _node_leg, _relation_leg, _ppr_leg, _vector_leg, _community_leg, _dialogue_leg))})"
 
 
+def _legs(spark: SparkSession, sf_dir: str) -> dict[str, concurrent.Leg]:
+    """The searches for the question; what several read is made once."""
+    edges = concurrent.Shared(lambda: storage.cut_lineage(graphs.trade(spark, sf_dir)))
+    nodes = concurrent.Shared(lambda: storage.cut_lineage(graphs.nodes_of(spark, sf_dir)))
+    named = concurrent.Shared(lambda: storage.cut_lineage(graph.named_in(nodes(), ASKED)))
+
+    def relations() -> DataFrame:
+        rows = graph.heaviest(edges().join(named().select(F.col("name").alias("source")), "source", "left_semi"), 10)
+        return rows.select(F.concat_ws(" - ", "source", "target").alias("id"), F.col("weight").alias("score"))
+
+    def communities() -> DataFrame:
+        found = graph.community_summaries(graphs.nation_of(spark, sf_dir), nodes(), edges())
+        return graph.community_search(found, ASKED).select(F.col("community").alias("id"), "score")
+
+    def ranks() -> DataFrame:
+        return graph.pagerank(nodes(), edges(), named(), iterations=graphs._steps).select(F.col("name").alias("id"), F.round("rank", 8).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+
+    def wiki() -> DataFrame:
+        rows = research.level_search(entries(spark, sf_dir), ASKED, 3).orderBy(F.desc("score"), "book", "level", "position").limit(3)
+        return rows.select(F.concat_ws("/", "book", "level", "position").alias("id"), "score")
+
+    return {
+        "ppr": ranks,
+        "wiki": wiki,
+        "relation": relations,
+        "community": communities,
+        "graph": lambda: named().select(F.col("name").alias("id"), F.col("mention_count").alias("score")),
+        "vector": lambda: vectors.nearest(table(spark, sf_dir, "embeddings"), Q, 3).select(F.col("vec_id").alias("id"), F.round(1 - F.col("distance"), 9).alias("score")),
+        "dialogue": lambda: research.dialogue_search(dialogues(spark, sf_dir), ASKED, 3).select(F.col("dialogue").alias("id"), "score"),
+    }
+
+
 def _all_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = storage.cut_lineage(graphs.trade(spark, sf_dir)), storage.cut_lineage(graphs.nodes_of(spark, sf_dir))
-    named = storage.cut_lineage(graph.named_in(nodes, ASKED))
-    wiki = research.level_search(entries(spark, sf_dir), ASKED, 3).orderBy(F.desc("score"), "book", "level", "position").limit(3)
-    relations = graph.heaviest(edges.join(named.select(F.col("name").alias("source")), "source", "left_semi"), 10)
-    ranks = graph.pagerank(nodes, edges, named, iterations=graphs._steps).select(F.col("name").alias("id"), F.round("rank", 8).alias("score")).orderBy(F.desc("score"), "id").limit(10)
-    found = graph.community_summaries(graphs.nation_of(spark, sf_dir), nodes, edges)
-    return research.unified(
-        {
-            "wiki": wiki.select(F.concat_ws("/", "book", "level", "position").alias("id"), "score"),
-            "graph": named.select(F.col("name").alias("id"), F.col("mention_count").alias("score")),
-            "relation": relations.select(F.concat_ws(" - ", "source", "target").alias("id"), F.col("weight").alias("score")),
-            "ppr": ranks,
-            "vector": vectors.nearest(table(spark, sf_dir, "embeddings"), Q, 3).select(F.col("vec_id").alias("id"), F.round(1 - F.col("distance"), 9).alias("score")),
-            "community": graph.community_search(found, ASKED).select(F.col("community").alias("id"), "score"),
-            "dialogue": research.dialogue_search(dialogues(spark, sf_dir), ASKED, 3).select(F.col("dialogue").alias("id"), "score"),
-        }
-    )
+    found = concurrent.run_legs(spark, _legs(spark, sf_dir), width=7)
+    failed = [flag for flag in found.flags if flag[1] in (concurrent.FAILED, concurrent.LATE)]
+    if failed:  # a whole answer or none
+        raise RuntimeError(f"searches without result: {failed}")
+    return found.rows.withColumn("place", F.row_number().over(W.partitionBy("leg").orderBy(F.desc("score"), "id")))
 
 
 @query("unified_search", _unified)
 def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every search for one question, leg by leg."""
+    """Every search for one question, its legs as concurrent jobs."""
     return _all_legs(spark, sf_dir)
 
 
 @query("unified_summary", f"SELECT leg, count(*) AS n, string_agg(id, '、' ORDER BY place) FILTER (place <= 5) AS first FROM ({_unified}) GROUP BY leg")
 def unified_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.summed_up(_all_legs(spark, sf_dir))
+
+
+@query(
+    "search_flags",
+    f"""SELECT leg, CASE WHEN n > 0 THEN 'found' WHEN leg = 'broken' THEN 'failed' ELSE 'nothing' END AS status, coalesce(n, 0) AS n, strategy FROM (VALUES ('graph', 1), ('relation', 0), ('vector', 1), ('broken', -1), ('none', -1)) v(leg, strategy)
+    LEFT JOIN (SELECT leg, count(*) AS n FROM ({_unified}) WHERE leg IN ('graph', 'relation', 'vector') GROUP BY leg) USING (leg)""",
+)
+def search_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of legs of which some find nothing at first and are asked
+    in another way, one fails and one finds nothing."""
+    legs = _legs(spark, sf_dir)
+    nothing = lambda: table(spark, sf_dir, "region").where("r_name = ''").select(F.col("r_name").alias("id"), F.lit(0.0).alias("score"))
+    broken = lambda: table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), F.raise_error(F.lit("no such search")).cast("double").alias("score"))
+    asked = {"graph": (nothing, legs["graph"]), "relation": legs["relation"], "vector": (nothing, legs["vector"]), "broken": broken, "none": (nothing, nothing)}
+    return concurrent.run_legs(spark, asked).flag_rows().select("leg", "status", "n", F.coalesce("strategy", F.lit(-1)).alias("strategy"))
