@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folium.functions import text as T
-from folium.operators import state, storage
+from folium.operators import rollups, state, storage
+from folium.operators.storage import shared_path
 from folium.registry import query, table
 
 
@@ -154,3 +155,26 @@ def rollup_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("approx_distinct")
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("middle"))
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> str:
+    """Days written one after another: all, then the last ten once more."""
+    events, path = table(spark, sf_dir, "events"), shared_path(spark, "days")
+    rollups.write_days(events, path)
+    rollups.write_days(events.where("ts >= DATE '2024-01-20'"), path)
+    return path
+
+
+@query("sketch_rollup")
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, medians and most frequent users of each week and kind of event,
+    from the sketches of its days."""
+    rows = rollups.rolled_up(spark, _sketched(spark, sf_dir), F.date_trunc("week", "day").cast("date"))
+    return rows.select("period", F.col("kind").alias("event_type"), "n", "users", "median", F.transform("often", lambda x: x["item"]).alias("often"), F.transform("often", lambda x: x["count"]).alias("often_n"))
+
+
+@query("sketch_frequencies")
+def sketch_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each user is in each kind of event, from the counters."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("who"))
+    return rollups.frequencies(spark, _sketched(spark, sf_dir), users).select(F.col("who").alias("user_id"), F.col("kind").alias("event_type"), "n")

@@ -197,7 +197,27 @@ def check_stream_cache(got):
     assert {r.ask_id: (r.book, r.entry, r.is_hit, r.hits, r.misses, r.entries) for r in got.itertuples()} == plain_cache(rows, 0.85, 30)
 
 
+def check_rollup(got):
+    """Within the bounds of the sketches; few users are counted exactly."""
+    want = {(r[0], r[1]): r[2:] for r in CON.execute("SELECT date_trunc('week', ts)::DATE, event_type, count(*), count(DISTINCT user_id), list(value ORDER BY value) FROM events GROUP BY ALL").fetchall()}
+    users = {(r[0], r[1], r[2]): r[3] for r in CON.execute("SELECT date_trunc('week', ts)::DATE, event_type, user_id, count(*) FROM events GROUP BY ALL").fetchall()}
+    assert len(got) == len(want)
+    for r in got.itertuples():
+        n, distinct, values = want[r.period, r.event_type]
+        assert r.n == n and abs(r.users - distinct) <= max(1, 0.065 * distinct)
+        assert abs(sum(v <= r.median for v in values) / n - 0.5) <= 0.033 + 1 / n
+        assert all(users[r.period, r.event_type, u] == k for u, k in zip(r.often, r.often_n, strict=True)) and len(r.often) == min(5, distinct)
+
+
+def check_frequencies(got):
+    want = {(r[0], r[1]): r[2] for r in CON.execute("SELECT user_id, event_type, count(*) FROM events GROUP BY ALL").fetchall()}
+    made = {(r.user_id, r.event_type): r.n for r in got.itertuples()}
+    assert all(made[k] >= n for k, n in want.items()) and sum(n > want.get(k, 0) + 3 for k, n in made.items()) <= 0.01 * len(made)
+
+
 PLAIN = {
+    "sketch_rollup": check_rollup,
+    "sketch_frequencies": check_frequencies,
     "stream_dedup": check_stream_dedup,
     "stream_cache": check_stream_cache,
     "semantic_split": check_split,
