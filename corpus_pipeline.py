@@ -10,7 +10,8 @@ text, count as equal to each other, link with nothing, hold no benchmark item
 and are packed as an end alone, if they stay.  Ties: of equal texts the largest
 id stays, of near duplicates the smallest.  Rows of one id stay or go together:
 they stay if one of them is to stay, but go if one holds a benchmark item.
-Rows of null id are judged like others.  An empty table gives an
+Rows of null id are judged like others: the benchmark is held against each of
+their texts, else they stay if one of them is to stay.  An empty table gives an
 empty table at every stage; empty labels give every document the prior as its
 score, an empty benchmark takes nothing.  Columns beyond those of documents are
 kept and not looked at."""
@@ -34,7 +35,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of these ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"))
+    wanted = ids.select(F.col("doc_id").alias("_wanted")).distinct()
+    return rows.join(wanted, F.col("_key").eqNullSafe(F.col("_wanted")), "left_semi").select("_row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
