@@ -49,6 +49,8 @@ PERHAPS = frozenset("banner promotion nav menu header masthead footer sidebar as
 BESIDE = frozenset("site page top bottom left right main global primary secondary box bar block list item items links link posts articles stories section area container wrap inner outer row col column buttons button icons icon group panel widget widgets text body title form the of and".split())
 ONLY_HAS = frozenset("has with no without is not hide show".split())
 KEEPS = frozenset("wrapper content article post entry story".split())
+#: Parts that an article has of its own and that are wanted.
+OWN = frozenset("header masthead banner".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 _ENDS_P = CONTAINERS | BLOCKS
 _INLINE_BAD = UNWANTED_TAGS - CONTAINERS
@@ -62,17 +64,27 @@ def _words(name: str) -> list[str]:
 
 
 def marked(names: list[str]) -> int:
-    """2 if a class, id or role says surely that a part is unwanted, 1 if
-    perhaps, 0 if none does."""
+    """What a class, id or role says of a part: 3 that it is surely unwanted,
+    as its words are all of those that say so or go with them; 2 that it is
+    unless it holds the page, as other words stand beside; 1 that it perhaps
+    is; 0 nothing.  A name that begins with or says before that it has, hides
+    or does without such a part isn't one.  Of names with KEEPS words only the
+    last word counts, so that a post's navigation is one and a comment's post
+    or a post's header isn't."""
     most = 0
     for name in names:
         words = _words(name)
-        if not words or words[0] in ONLY_HAS or KEEPS.intersection(words) and not {"comment", "comments"}.intersection(words):
+        told = [k for k, w in enumerate(words) if w in SURELY or w in PERHAPS]
+        if not told or not ONLY_HAS.isdisjoint(words[: told[-1]]):
             continue
-        if SURELY.intersection(words):
-            return 2
-        if PERHAPS.intersection(words) and all(w in PERHAPS or w in BESIDE for w in words):
-            most = 1
+        if KEEPS.intersection(words) and not {"comment", "comments"}.intersection(words):
+            if told[-1] < len(words) - 1 or words[-1] in OWN:
+                continue
+            most = max(most, 2 if words[-1] in SURELY else 1)
+        elif SURELY.intersection(words):
+            most = max(most, 3 if all(w in SURELY or w in PERHAPS or w in BESIDE or w in KEEPS for w in words) else 2)
+        elif all(w in PERHAPS or w in BESIDE for w in words):
+            most = max(most, 1)
     return most
 
 
@@ -84,6 +96,8 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     text: list[str] = []
     linked, in_link, parts = 0, 0, 0
     main_in: set[int] = set()  # parts that hold an article or main
+    head_in: set[int] = set()  # parts that hold a first heading
+    mixed: set[int] = set()  # parts that other words than unwanted ones name too
 
     def flush() -> None:
         nonlocal linked
@@ -140,10 +154,14 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
                 main_in.update(p for _, _, _, p in stack if p)
             elif tag not in ("html", "body"):
                 mark = marked([w for a, v in said for w in (v.split() if a == "class" else [v])])
-                bad = bad or mark == 2
-                if not bad and (mark == 1 or tag == "header" and not inside):
+                bad = bad or mark == 3
+                if not bad and (mark or tag == "header" and not inside):
                     parts += 1
                     part = parts
+                    if mark == 2:
+                        mixed.add(part)
+            if tag == "h1":
+                head_in.update(p for _, _, _, p in stack if p)
             name = ".".join([tag, *sorted({re.sub(r"\d+", "0", w) for a, v in said if a == "class" for w in v.lower().split()})])
             stack.append((tag, name, bad, part))
     text.append(page[at:])
@@ -153,7 +171,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         for part in inside:
             held[part] = held.get(part, 0) + (0 if bad else len(said) - linked)
     whole = sum(len(said) - linked for _, said, linked, bad, _ in out if not bad)
-    kept = main_in | {part for part, n in held.items() if 2 * n > whole}
+    kept = main_in - mixed | {part for part, n in held.items() if (10 * n > 9 * whole or part in head_in and 2 * n > whole if part in mixed else 2 * n > whole)}
     return [(path, said, linked, bad or any(part not in kept for part in inside)) for path, said, linked, bad, inside in out]
 
 
@@ -186,8 +204,10 @@ def own_path(points: dict[str, float]) -> str | None:
 
 
 def main_text(found: list[tuple[str, str, int, bool]], path: str) -> str:
-    """The wanted blocks at or below a path, joined by an empty line."""
-    return "\n\n".join(said for at, said, _, bad in found if not bad and (at == path or at.startswith(path + "/")))
+    """The wanted blocks, joined by an empty line: all at or below a path, and
+    those elsewhere that aren't mostly links, as headlines and parts of an
+    article stand beside its main container too."""
+    return "\n\n".join(said for at, said, linked, bad in found if not bad and (at == path or at.startswith(path + "/") or 2 * linked < len(said)))
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -546,6 +546,17 @@ def extracted(page):
         ("<ul><li>one<li>two<ul><li>deep</ul><li>three</ul>", ["one", "two", "deep", "three"]),
         ("<script>if (a<b) '</p>'", []),
         ("<p>left <a href='x", ["left <a href='x"]),
+        ('<div id="page" class="category-cookies"><h1>Head</h1><p>text of it</p></div>', ["Head", "text of it"]),
+        ('<div class="opinion-comment"><p>text of it</p></div>', ["text of it"]),
+        ('<div class="opinion-comment"><h1>Head</h1><p>the column itself</p></div><p>by a writer</p>', ["Head", "the column itself", "by a writer"]),
+        ('<div class="top-block"><h1>Headline</h1><p>lede</p></div><div class="body-copy"><p>a very much longer text than both of these together, so that it wins</p></div>', ["Headline", "lede", "a very much longer text than both of these together, so that it wins"]),
+        ("before<div><p>the only container of the page with most of its text</p></div>after", ["before", "the only container of the page with most of its text", "after"]),
+        ("<article><p>two thirds of the text stand here in it</p></article><section class=part2><p>and one third here</p></section>", ["two thirds of the text stand here in it", "and one third here"]),
+        ('<article><p>text of the article</p><div class="article-sidebar"><p>box</p></div><div class="post-navigation"><p>older newer</p></div><div class="entry-footer"><p>tags</p></div></article>', ["text of the article"]),
+        ('<article><div class="entry-header"><h1>Head</h1></div><p>text</p></article><div class="comment-content"><p>said a reader</p></div>', ["Head", "text"]),
+        ('<div class="user-comments"><p>readers said much more than the writer did here</p></div><div class=text><h1>Head</h1><p>text</p></div>', ["Head", "text"]),
+        ("<main><p>text of it</p></main><div class=x><a href=a>one</a> <a href=b>two</a></div>", ["text of it"]),
+        ('<div class="newsletter"><p>all there is on this page</p></div>', []),
     ],
 )
 def test_page_parts(page, want):
@@ -802,6 +813,22 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     assert {1, 2, 1004, 1005} & kept == set() and 1009 in kept and 7 + 1 not in kept
 
 
+def test_stages_on_null_ids_and_clashing_columns(spark, tmp_path):
+    """Of rows of null id those that hold an item go and the others stay;
+    columns of any name come through."""
+    item = " ".join(words(random.Random(77), 20))
+    clean = [" ".join(words(random.Random(k), 60)) for k in range(6)]
+    rows = [(1, clean[0]), (2, clean[1] + " " + item), (None, clean[2] + " " + item), (None, clean[3]), (None, None), (3, clean[4]), (3, item + " " + clean[5])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id int, _key int, _row int, _bad int, _text int, _null int, item_id int"
+    docs = spark.createDataFrame([(*r, "en", "s", 1, *[5] * 7) for r in rows], schema)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, clean[0]), (None, clean[3]), (None, None)], key=repr)
+    for stage in (corpus_pipeline.distinct_texts, corpus_pipeline.distinct_near_texts):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == len(rows)
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     frame, labels = quality_tables(spark)
     frame.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
