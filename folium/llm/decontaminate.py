@@ -365,6 +365,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **columns_of) -> DataFrame:
-    """The documents that hold no benchmark item, all columns."""
-    bad = contaminated(docs, benchmark, **columns_of).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[columns_of.get("id_col", "doc_id")] == bad["_bad"], "left_anti")
+    """The documents that hold no benchmark item, all columns.  Rows of one id
+    go together; rows of null id are judged by their texts."""
+    key, text = columns_of.get("id_col", "doc_id"), columns_of.get("text_col", "text")
+    told = docs.select(F.struct("*").alias("_row"), F.col(key).isNull().alias("_null"), F.coalesce(F.col(key).cast("bigint"), F.xxhash64(text)).alias("_key"), F.col(text).alias("_text"))
+    how = columns_of | {"id_col": "_key", "text_col": "_text"}
+    bad = [contaminated(told.where(F.col("_null") == F.lit(null)), benchmark, **how).select(F.lit(null).alias("_null"), F.col("doc_id").alias("_key")) for null in (False, True)]
+    return told.join(bad[0].unionByName(bad[1]).distinct(), ["_null", "_key"], "left_anti").select("_row.*")
