@@ -18,8 +18,8 @@ from folium.operators.storage import cut_lineage, discard, numbered
 
 def resolved(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """rows with names replaced by what they are an alias of."""
-    known = aliases.select(F.col("alias").alias("_alias"), "canonical")
-    return rows.join(known, F.col(name) == F.col("_alias"), "left").withColumn(name, F.coalesce("canonical", name)).drop("_alias", "canonical")
+    known = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    return rows.join(known, F.col(name) == F.col("_alias"), "left").withColumn(name, F.coalesce("_canonical", name)).drop("_alias", "_canonical")
 
 
 def merge_characters(mentions: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
 # -- communities
 
 
-def communities(edges: DataFrame) -> DataFrame:
+def communities(edges: DataFrame, known: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
     """``name, community``: agglomerative greedy modularity, many merges a
     round.
 
@@ -225,7 +225,12 @@ def communities(edges: DataFrame) -> DataFrame:
     each other merge; when there is none of these either, no pair gains, and it
     stops.  Ties go to the smallest names.  Communities are numbered by size,
     largest 0, ties by their smallest name.  A graph of fewer than three nodes
-    is one community."""
+    is one community.
+
+    known (name, community) are those before an edit, and changed (name) the
+    ends of edited edges: communities without any of these stay together and
+    start as one, their members are not looked at again; nodes of the others,
+    and those that known doesn't have, start alone."""
     ends = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))
     links = cut_lineage(edges.where("source <> target").select(F.explode(ends).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("w")))
     held = cut_lineage(links.groupBy("a").agg(F.sum("w").alias("d")))
@@ -235,6 +240,11 @@ def communities(edges: DataFrame) -> DataFrame:
         return label.select("name", F.lit(0).alias("community"))
     if n < 3:
         label = label.withColumn("label", F.lit(""))
+    if known is not None and n >= 3:
+        whole = known.join(known.join(changed.select("name").distinct(), "name", "left_semi").select("community").distinct(), "community", "left_anti").join(label.select("name"), "name", "left_semi")
+        first = whole.groupBy("community").agg(F.min("name").alias("new"))
+        moves = cut_lineage(whole.join(first, "community").where("name <> new").select(F.col("name").alias("old"), "new"))
+        label, links, held = merged_labels(label, links, held, moves)
     for r in count() if n >= 3 else ():
         own, theirs = held.withColumnRenamed("d", "da"), held.select(F.col("a").alias("b"), F.col("d").alias("db"))
         gain = links.join(own, "a").join(theirs, "b").withColumn("gain", F.col("w") - F.col("da") * F.col("db") / twice).where("gain > 1e-9")
@@ -248,17 +258,24 @@ def communities(edges: DataFrame) -> DataFrame:
         if moves.isEmpty():
             pair = best.groupBy(F.least("a", "b").alias("new"), F.greatest("a", "b").alias("old")).agg(F.count("*").alias("k")).where("k = 2")
             moves = cut_lineage(pair.select("old", "new"))
-        moved = lambda rows, c: rows.join(moves.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
         old = links, held
-        label = cut_lineage(moved(label, "label"))
-        links = cut_lineage(moved(moved(links, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
-        held = cut_lineage(moved(held, "a").groupBy("a").agg(F.sum("d").alias("d")))
+        label, links, held = merged_labels(label, links, held, moves)
         discard(*old, best, moves)
     size = label.groupBy("label").agg(F.count("*").alias("size"), F.min("name").alias("first"))
     number = numbered(size, F.desc("size"), "first").withColumnRenamed("number", "community")
     return label.join(number.select("label", "community"), "label").select("name", "community")
 
 
+def merged_labels(label: DataFrame, links: DataFrame, held: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, links and degrees after communities (old) became others (new)."""
+    moved = lambda rows, c: rows.join(moves.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+    return (
+        cut_lineage(moved(label, "label")),
+        cut_lineage(moved(moved(links, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))),
+        cut_lineage(moved(held, "a").groupBy("a").agg(F.sum("d").alias("d"))),
+    )
+
+
 def community_search(found: DataFrame, query: str, top_k: int = 3) -> DataFrame:
     """``community, label, score`` of summaries (community, label, members,
     summary): 5 for each member that the query names and one for each bigram

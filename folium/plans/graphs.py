@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions.profiles import ZH_PUNCTUATION
-from folium.operators import graph, storage
+from folium.operators import graph, storage, upkeep
 from folium.registry import query, table
 
 _mentions = "SELECT s_name AS name, p_brand AS role, l_orderkey AS chapter, l_linenumber AS place FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"
@@ -277,6 +277,34 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(trade(spark, sf_dir))
 
 
+def heaviest_sales(spark: SparkSession, sf_dir: str) -> tuple[upkeep.Graph, upkeep.Edit]:
+    """The trade graph, and the edit that turns the heaviest edge of each
+    supplier of the first eight nations round."""
+    g = upkeep.Graph(nodes_of(spark, sf_dir).select("name"), trade(spark, sf_dir), _seeds(spark, sf_dir))
+    sellers = table(spark, sf_dir, "supplier").where("s_nationkey < 8").select(F.col("s_name").alias("source"))
+    most = g.edges.join(sellers, "source", "left_semi").groupBy("source").agg(F.max(F.struct("weight", "target", "relation")).alias("x"))
+    turned = most.select(F.col("x.target").alias("source"), F.col("source").alias("target"), "x.relation", "x.weight")
+    nobody = g.nodes.limit(0)
+    return g, upkeep.Edit(most.select("source", F.col("x.target").alias("target")), turned, nobody, nobody)
+
+
+@query("rank_upkeep")
+def rank_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks carried over an edit, and how often each was pushed for it."""
+    g, edit = heaviest_sales(spark, sf_dir)
+    g = g._replace(edges=storage.cut_lineage(g.edges, "trade"))
+    state, touched = upkeep.kept_up(upkeep.ranked(g), g, edit)
+    return upkeep.ranks(state).join(touched, "name", "left").select("name", F.round("rank", 8).alias("rank"), F.coalesce("pushes", F.lit(0)).alias("pushes"))
+
+
+@query("community_upkeep")
+def community_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities after the edit, worked out again where it meets them."""
+    g, edit = heaviest_sales(spark, sf_dir)
+    ends = edit.added.select(F.explode(F.array("source", "target")).alias("name"))
+    return graph.communities(upkeep.edited(g, edit).edges, graph.communities(g.edges), ends)
+
+
 _summaries = f"""WITH e AS ({_edges}), n AS ({_nodes}), c AS ({_of_nation}), r AS (SELECT community, relation, count(*) AS k FROM e JOIN c ON source = name GROUP BY ALL), o AS (SELECT community, role, count(*) AS k FROM n JOIN c USING (name) GROUP BY ALL)
     SELECT community, max_by(name, lpad(mention_count::VARCHAR, 12, '0') || name) AS label, count(*) AS member_count, sha1(string_agg(name, '|' ORDER BY name)) AS member_key, list_sort(list(name))[:20] AS members,
     (SELECT max_by(role, lpad(k::VARCHAR, 12, '0') || role) FROM o WHERE o.community = c.community) AS role,

@@ -215,7 +215,44 @@ def check_frequencies(got):
     assert all(made[k] >= n for k, n in want.items()) and sum(n > want.get(k, 0) + 3 for k, n in made.items()) <= 0.01 * len(made)
 
 
+def trade_edges():
+    """Edges of the trade graph, heaviest sales of the first eight nations turned round."""
+    from folium.plans.graphs import _edges
+
+    rows = CON.execute(_edges).fetchall()
+    sellers = {r[0] for r in CON.execute("SELECT s_name FROM supplier WHERE s_nationkey < 8").fetchall()}
+    most = {}
+    for a, b, r, w in rows:
+        if a in sellers:
+            most[a] = max(most.get(a, (0, "", "")), (w, b, r))
+    gone = {(a, b) for a, (_, b, _) in most.items()}
+    return [r for r in rows if r[:2] not in gone] + [(b, a, r, w) for a, (w, b, r) in most.items()]
+
+
+def check_rank_upkeep(got):
+    from test_upkeep import plain_ranks
+
+    names = {r[0] for r in CON.execute("SELECT c_name FROM customer UNION SELECT s_name FROM supplier").fetchall()}
+    want = plain_ranks(set(got.name) | names, trade_edges(), ["Customer#000000008", "Supplier#000000003"], 0.85)
+    assert set(got.name) == want.keys() and got.name.is_unique
+    assert (got["rank"] - got.name.map(want)).abs().max() <= 1e-6 and 0 < (got.pushes > 0).sum()
+
+
+def check_community_upkeep(got):
+    """No two communities gain by merging."""
+    label, links = dict(zip(got.name, got.community)), Counter()
+    pairs = [(a, b) for a, b, _, _ in trade_edges() if a != b]
+    held = Counter(label[x] for p in pairs for x in p)
+    for a, b in pairs:
+        if label[a] != label[b]:
+            links[frozenset((label[a], label[b]))] += 1
+    assert got.name.is_unique and set(label) == {x for p in pairs for x in p}
+    assert all(n <= held[a] * held[b] / (2 * len(pairs)) + 1e-6 for (a, b), n in ((tuple(k), n) for k, n in links.items()))
+
+
 PLAIN = {
+    "rank_upkeep": check_rank_upkeep,
+    "community_upkeep": check_community_upkeep,
     "sketch_rollup": check_rollup,
     "sketch_frequencies": check_frequencies,
     "stream_dedup": check_stream_dedup,
