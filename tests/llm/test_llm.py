@@ -487,6 +487,21 @@ def test_chunks_that_collide_are_told_apart(spark, monkeypatch):
     assert got == {1: (4, 2), 2: (6, 2), 3: (3, 1), 4: (4, 2), 5: (5, 1), 6: (6, 2), 7: (7, 1), 8: (8, 1)}
 
 
+@pytest.mark.parametrize("twins", [False, True])
+def test_recipes_alone_decide(spark, monkeypatch, twins):
+    """With one digest for all texts, and with one pair of hashes for all
+    lists, groups are the same; rows of one id and of null id are told apart."""
+    monkeypatch.setattr(exact_dedup, "_digest", lambda text: F.when(text.isNotNull(), "same"))
+    if twins:
+        monkeypatch.setattr(exact_dedup, "_list_hashes", lambda: [F.size("ids").cast("bigint").alias("h1"), F.lit(7).cast("bigint").alias("h2")])
+    long = "\n".join(f"line {k}" for k in range(900))
+    values = ["a", "A", "b", "", None, long, long.upper(), long + "x", "c", "d", "b"]
+    ids = [1, 2, 3, 4, 5, 6, 7, 8, 9, 9, None]
+    got = Counter(tuple(r)[:4] for r in exact_dedup.exact_duplicates(table(spark, values, ids)).collect())
+    want = Counter([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, True), (None, 3, 2, False), (4, 5, 2, False), (5, 5, 2, True), (6, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True), (9, 9, 1, True), (9, 9, 1, True)])
+    assert got == want
+
+
 def test_chunks_are_cut_by_content(spark):
     """What comes before a long text without line feeds moves no cut but the
     first ones; joined, chunks are the text."""
