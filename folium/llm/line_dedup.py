@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import ascii_lower, discard, shuffle_width, written
+from folium.llm.common import ascii_lower, discard, scratch, shuffle_width, written
 
 MIN_CHARS = 10
 BATCHES, FANOUT = 4, 2
@@ -48,25 +48,37 @@ def text_id(text: str = "text") -> Column:
 
 
 class LineStore:
-    """Levelled sorted runs of line hashes, as bucketed tables in the
-    warehouse."""
+    """Levelled sorted runs of line hashes, as bucketed tables whose files lie
+    in the shared folder.  Used in a ``with``, it leaves none behind."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> None:
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
         self.buckets = shuffle_width(spark)
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
         self.levels: list[list[str]] = []
-        self.made = 0
+        self.made: list[str] = []
+        self.number = 0
+
+    def __enter__(self) -> LineStore:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
 
     def _write(self, keys: DataFrame) -> str:
-        name = f"{self.name}_{self.made}"
-        self.made += 1
-        keys.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).format("parquet").saveAsTable(name)
+        name = f"{self.name}_{self.number}"
+        self.number += 1
+        self.made.append(name)
+        sorted_run = keys.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
+        sorted_run.format("parquet").option("path", scratch(self.spark, "line-run")).saveAsTable(name)
         return name
 
     def _drop(self, *names: str) -> None:
         for name in names:
-            self.spark.sql(f"DROP TABLE {name}")
+            if self.spark.catalog.tableExists(name):
+                discard(self.spark.table(name))  # the table doesn't own its files
+                self.spark.sql(f"DROP TABLE {name}")
+            self.made.remove(name)
 
     def _put(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
@@ -88,8 +100,8 @@ class LineStore:
                 self._drop(*old)
 
     def drop(self) -> None:
-        """Removes the runs' tables."""
-        self._drop(*self.runs())
+        """Removes all tables."""
+        self._drop(*self.made)
         self.levels = []
 
     def lines(self, docs: DataFrame) -> DataFrame:
@@ -149,12 +161,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its lines and holds none; an empty table gives no rows; other columns are
     not looked at."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    store = LineStore(docs.sparkSession, min_chars)
     dropped = docs.sparkSession.createDataFrame([], "doc_id bigint, text_id bigint, dropped array<int>")
-    for k, batch in enumerate(by_range(rows, batches)):
-        part = store.add(batch)
-        dropped = dropped.unionByName(part) if k else part
-    store.drop()  # what documents lose is written by now
+    with LineStore(docs.sparkSession, min_chars) as store:
+        for k, batch in enumerate(by_range(rows, batches)):
+            part = store.add(batch)  # what documents lose is written then
+            dropped = dropped.unionByName(part) if k else part
     both = rows.withColumn("text_id", text_id()).join(dropped, ["doc_id", "text_id"], "left").withColumn("lines", lines_of())
     # what lies between one dropped line and the next stays
     ends = F.concat(F.array(F.lit(-1)), "dropped", F.array(F.size("lines")))

@@ -1,6 +1,8 @@
 """The operators against plain versions on small tables with nulls, empty and
 long texts, ties, repeated rows and extra columns, and on empty tables."""
 
+import os
+import glob
 import hashlib
 import itertools
 import random
@@ -632,6 +634,22 @@ def test_lines_of_compacted_runs_are_read(spark, monkeypatch):
     assert read == [[], [1], [0, 1], [1, 1]] and lost == {2: [0], **{k: [0, 1] for k in range(3, 13)}}
 
 
+def test_runs_lie_in_the_shared_folder_and_go(spark, monkeypatch, tmp_path):
+    """Also where a batch fails."""
+    monkeypatch.setattr(line_dedup, "scratch", lambda s, tag, k=itertools.count(): f"{tmp_path}/{tag}-{next(k)}")
+    frame = table(spark, ["a line that all have\nown line"] * 4)
+    seen = []
+    drop = line_dedup.LineStore.drop
+    monkeypatch.setattr(line_dedup.LineStore, "drop", lambda self: (seen.append((len(self.runs()), os.listdir(tmp_path))), drop(self)))
+    assert line_dedup.dedup_lines(frame, batches=2).where("n_dropped > 0").count() == 3
+    assert seen[0][0] == 2 and any(x.startswith("line-run") for x in seen[0][1])
+    fail = lambda *_: 1 / 0
+    monkeypatch.setattr(line_dedup.LineStore, "_put", fail)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.dedup_lines(frame, batches=2)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")] and not [x for x in os.listdir(tmp_path) if glob.glob(f"{tmp_path}/{x}/*.parquet")]
+
+
 def test_lines_of_a_long_text(spark):
     rows = [(1, "\n".join(f"line number {k}" for k in range(0, 60_000, 2))), (2, "\n".join(f"line number {k}" for k in range(60_000)))]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(table(spark, [t for _, t in rows], [k for k, _ in rows])).collect()}
