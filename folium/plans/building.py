@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from folium.functions import text as T
 from folium.operators import building, segment, state, storage
+from folium.plans.functions import in_han, in_han_sql
 from folium.plans.texts import CHAPTERS, chapters
 from folium.registry import query, table
 
@@ -112,13 +113,16 @@ def pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), F.col("event_id").alias("step"))
 
 
-@query("pending_steps", "SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'graph' WHEN 1 THEN 'wiki' WHEN 2 THEN 'original' ELSE 'all' END AS route FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1 AND d.role = 'assistant')")
+_route = in_han_sql("string_split_regex(c.text, '\\s+')[1]")
+
+
+@query("pending_steps", f"SELECT conv_id, turn, CASE {' '.join(f"WHEN regexp_matches({_route}, '{pattern}') THEN '{name}'" for name, pattern in T.STEP_ROUTES)} ELSE 'all' END AS route FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1 AND d.role = 'assistant')")
 def pending_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of plans without a result yet, and the search each goes to."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    """Steps of plans without a result yet, and the search that the first word
+    of each, in Han characters, sends it to."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", in_han(F.split("text", "\\s+")[0]).alias("said"))
     done = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
-    said = F.get(F.array(*map(F.lit, ("查人物关系", "看章节摘要", "找原文细节", "x"))), (F.col("conv_id") % 4).cast("int"))
-    return storage.pending(turns.where("role = 'user'"), done, "conv_id", "turn").select("conv_id", "turn", T.step_route(said).alias("route"))
+    return storage.pending(turns.where("role = 'user'"), done, "conv_id", "turn").select("conv_id", "turn", T.step_route(F.col("said")).alias("route"))
 
 
 @query("routing_pipeline")
@@ -151,19 +155,25 @@ def feedback_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'click' AND user_id < 100").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(100)
 
 
-@query("permission_matrix", "SELECT role, action, level >= needed AS may FROM (VALUES ('admin', 100), ('editor', 50), ('viewer', 10), ('api', 5), ('none', 0)) r(role, level), (SELECT event_type AS action, CASE event_type WHEN 'purchase' THEN 50 WHEN 'error' THEN 100 WHEN 'view' THEN 5 ELSE 10 END AS needed FROM events GROUP BY ALL)")
+_role = "SELECT user_id, CASE min_by(event_type, event_id) WHEN 'purchase' THEN 'editor' WHEN 'view' THEN 'viewer' WHEN 'signup' THEN 'admin' WHEN 'click' THEN 'api' ELSE 'none' END AS role FROM events GROUP BY user_id"
+
+
+@query("permission_matrix", f"SELECT event_id, role, CASE role WHEN 'admin' THEN 100 WHEN 'editor' THEN 50 WHEN 'viewer' THEN 10 WHEN 'api' THEN 5 ELSE 0 END >= CASE event_type WHEN 'purchase' THEN 50 WHEN 'error' THEN 100 WHEN 'view' THEN 5 ELSE 10 END AS may FROM events JOIN ({_role}) USING (user_id)")
 def permission_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which role may do what."""
-    kind = F.col("action")
-    actions = table(spark, sf_dir, "events").select(F.col("event_type").alias("action")).distinct().withColumn("needed", F.when(kind == "purchase", 50).when(kind == "error", 100).when(kind == "view", 5).otherwise(10))
-    roles = actions.select("action", "needed", F.explode(F.array(*map(F.lit, ("admin", "editor", "viewer", "api", "none")))).alias("role"))
-    return roles.select("role", "action", (T.role_level(F.col("role")) >= F.col("needed")).alias("may"))
+    """Whether the role of a user, which their first event gives them, lets
+    them do what each of their events does."""
+    events, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    role = F.when(F.col("first") == "purchase", "editor").when(F.col("first") == "view", "viewer").when(F.col("first") == "signup", "admin").when(F.col("first") == "click", "api").otherwise("none")
+    roles = events.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first")).select("user_id", role.alias("role"))
+    needed = F.when(kind == "purchase", 50).when(kind == "error", 100).when(kind == "view", 5).otherwise(10)
+    return events.select("event_id", "user_id", "event_type").join(roles, "user_id").select("event_id", "role", (T.role_level(F.col("role")) >= needed).alias("may"))
 
 
-@query("chapter_range", f"SELECT book, position, title FROM ({CHAPTERS}) WHERE position BETWEEN 4 AND 9 AND NOT (position = 0 AND title = '前言')")
+@query("chapter_range", f"SELECT book, position, title FROM ({CHAPTERS}) WHERE position BETWEEN 0 AND 9 AND NOT (position = 0 AND length(title) < 30)")
 def chapter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters 5 to 10 of each book, without its front matter."""
-    return chapters(spark, sf_dir).where("position BETWEEN 4 AND 9 AND NOT (position = 0 AND title = '前言')").select("book", "position", "title")
+    """The first ten chapters of each book, without its front matter: a first
+    chapter of a short title."""
+    return chapters(spark, sf_dir).where("position BETWEEN 0 AND 9 AND NOT (position = 0 AND length(title) < 30)").select("book", "position", "title")
 
 
 @query("set_operations", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS both_n, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_n, (SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT item_id FROM benchmark)) AS either_n, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) = 0 AS is_subset")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
+from folium.operators import storage
+from folium.plans.texts import chapters
 from folium.registry import query, table
 
 _DIGITS = "零一二三四五六七八九"
@@ -15,37 +17,50 @@ def _rules_sql(text: str, rules: tuple[tuple[str, str], ...], otherwise: str) ->
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), '{pattern}') THEN '{name}'" for name, pattern in rules) + f" ELSE '{otherwise}' END"
 
 
-def _pick(words: tuple[str, ...], number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), number.cast("int"))
-
-
-def _pick_sql(words: tuple[str, ...], number: str) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + f"][({number}) + 1]"
-
-
 def numeral(n: Column) -> Column:
     """A number from 1 to 9999 in Chinese, each place with its unit."""
     place = lambda unit, name: F.when(F.expr(f"n div {unit} % 10") > 0, F.concat(F.substring(F.lit(_DIGITS), F.expr(f"n div {unit} % 10").cast("int") + 1, F.lit(1)), F.lit(name))).otherwise("")
     return F.concat(place(1000, "千"), place(100, "百"), place(10, "十"), place(1, ""))
 
 
-@query("chinese_numerals", "SELECT doc_id, 1 + doc_id % 9999 AS n, CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id % 9999 ELSE -1 END AS chapter, CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id % 9999 ELSE 999 END AS sort_key FROM documents WHERE doc_id IS NOT NULL")
-def chinese_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids written as Chinese numerals and read again, alone and in titles."""
-    said = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 9999 + 1).alias("n"))
-    said = said.withColumn("said", numeral(F.col("n"))).withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("第"), "said", F.lit("章 one"))).otherwise("untitled"))
-    return said.select("doc_id", T.chinese_to_int(F.col("said")).cast("bigint").alias("n"), F.coalesce(T.chapter_number(F.col("title")), F.lit(-1)).cast("bigint").alias("chapter"), T.chapter_sort_key(F.col("title")).cast("bigint").alias("sort_key"))
+#: Letters and the Han characters that stand for them where words of the given
+#: tables are to meet the Chinese rules: frequent pairs and triples of letters
+#: are keywords (th 人物, on 讨论, as 男主, zu 朋友; the 求月票, in 感谢).
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+HAN = "男封夫敌原派谋物师兄弟属诏论讨反之文主人友父战子婚朋"
+HAN_LINES = "赏八节打票六七月感九十友百谢防千万盗章求书者作零两站"
+
+
+def in_han(text: Column, han: str = HAN) -> Column:
+    return F.translate(F.lower(text), LETTERS, han)
+
 
+def in_han_sql(text: str, han: str = HAN) -> str:
+    return f"translate(lower({text}), '{LETTERS}', '{han}')"
 
-_SAID = ("仇敌", "师父", "下属", "路人", "夫妻", "父子", "起兵攻城", "封为丞相", "定计", "讨论之前的话", "社群派系", "查原文细节", "男主角", "反派", "下诏", "朋友", "Ally of old", "")
 
+_number = "try_cast(w AS BIGINT)"
 
-@query("keyword_classes", f"SELECT doc_id, {_rules_sql('s', T.RELATION_CLASSES, 'other')} AS class, {_rules_sql('s', T.RELATION_TYPES, '其他')} AS type, {_rules_sql('s', T.EVENT_TYPES, '情节')} AS event, {_rules_sql('s', T.STEP_ROUTES, 'all')} AS route, {_rules_sql('s', T.PORTRAIT_ROLES, 'supporting')} AS portrait FROM (SELECT doc_id, {_pick_sql(_SAID, f'doc_id % {len(_SAID)}')} AS s FROM documents)")
+
+@query("chinese_numerals", f"SELECT doc_id, place, CASE WHEN length(w) <= 9 THEN {_number} ELSE -1 END AS n, CASE WHEN length(w) <= 9 THEN {_number} ELSE -1 END AS chapter, CASE WHEN length(w) <= 9 AND {_number} > 0 THEN {_number} ELSE 999 END AS sort_key FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS ws FROM documents))")
+def chinese_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number in the texts, those of up to four digits written as Chinese
+    numerals, read again, alone and in titles of chapters; those of more than
+    nine digits are none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("place", "w"))
+    said = docs.withColumn("n", F.when(F.length("w") <= 4, F.col("w").cast("int")))
+    said = said.withColumn("said", F.when(F.col("n") > 0, numeral(F.col("n"))).otherwise(F.col("w"))).withColumn("title", F.concat(F.lit("第"), "said", F.lit("章 one")))
+    read = lambda c: F.coalesce(c, F.lit(-1)).cast("bigint")
+    return said.select("doc_id", F.col("place").cast("bigint").alias("place"), read(T.chinese_to_int(F.col("said"))).alias("n"), read(T.chapter_number(F.col("title"))).alias("chapter"), T.chapter_sort_key(F.col("title")).cast("bigint").alias("sort_key"))
+
+
+@query("keyword_classes", f"SELECT word, n, {_rules_sql('s', T.RELATION_CLASSES, 'other')} AS class, {_rules_sql('s', T.RELATION_TYPES, '其他')} AS type, {_rules_sql('s', T.EVENT_TYPES, '情节')} AS event, {_rules_sql('s', T.STEP_ROUTES, 'all')} AS route, {_rules_sql('s', T.PORTRAIT_ROLES, 'supporting')} AS portrait FROM (SELECT word, count(*) AS n, {in_han_sql('word')} AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word)")
 def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered keyword rules over relations, events, steps and roles."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", _pick(_SAID, F.col("doc_id") % len(_SAID)).alias("s"))
-    s = F.col("s")
-    return docs.select("doc_id", T.relation_class(s).alias("class"), T.relation_type(s).alias("type"), T.event_type(s).alias("event"), T.step_route(s).alias("route"), T.portrait_role(s).alias("portrait"))
+    """Ordered keyword rules over relations, events, steps and roles: every
+    word of the conversations, in Han characters."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    s = in_han(F.col("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", T.relation_class(s).alias("class"), T.relation_type(s).alias("type"), T.event_type(s).alias("event"), T.step_route(s).alias("route"), T.portrait_role(s).alias("portrait"))
 
 
 _words = "SELECT doc_id, unnest(list_distinct(string_split_regex(trim(text), '\\s+')[:12])) AS w FROM documents"
@@ -61,12 +76,16 @@ def entity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "w", T.is_entity(w).alias("entity"), T.is_relationship(w, F.lit("the"), w).alias("relation"), T.is_path_name(w).alias("path"), T.is_fallback(w).alias("fallback"))
 
 
-_files = ("a.txt", "b.TXT", "../c.txt", "d.exe", "e\\f.pdf", "book.docx")
+_file = "substr(string_split(text, chr(10))[1], 1, 40) || '.' || CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'docx' WHEN 'es' THEN 'MD' ELSE 'exe' END"
 
 
-@query("upload_checks", f"SELECT doc_id, CASE WHEN NOT regexp_matches(lower(f), '\\.(txt|docx|pdf|md)$') THEN 'type' WHEN contains(f, '..') OR contains(f, '/') OR contains(f, chr(92)) THEN 'name' WHEN size > 52428800 THEN 'size' ELSE 'ok' END AS error, md5(f || '-' || n || '-' || size) AS etag FROM (SELECT doc_id, {_pick_sql(_files, 'doc_id % 6')} AS f, n_chars AS n, n_chars * 100000 AS size FROM documents WHERE n_chars IS NOT NULL)")
+@query("upload_checks", f"SELECT doc_id, CASE WHEN NOT regexp_matches(lower(f), '\\.(txt|docx|pdf|md)$') THEN 'type' WHEN contains(f, '..') OR contains(f, '/') OR contains(f, chr(92)) THEN 'name' WHEN size > 52428800 THEN 'size' ELSE 'ok' END AS error, md5(f || '-' || n || '-' || size) AS etag FROM (SELECT doc_id, {_file} AS f, n_chars AS n, strlen(text)::BIGINT * 10000 AS size FROM documents WHERE n_chars IS NOT NULL AND text IS NOT NULL)")
 def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL").select("doc_id", _pick(_files, F.col("doc_id") % 6).alias("f"), F.col("n_chars").alias("n"), (F.col("n_chars") * 100000).alias("size"))
+    """Documents as uploads, named by their first lines."""
+    lang = F.col("lang")
+    kind = F.when(lang == "en", "txt").when(lang == "fr", "docx").when(lang == "es", "MD").otherwise("exe")
+    name = F.concat(F.substring(F.split("text", "\n")[0], 1, 40), F.lit("."), kind)
+    rows = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL AND text IS NOT NULL").select("doc_id", name.alias("f"), F.col("n_chars").alias("n"), (F.octet_length("text").cast("bigint") * 10000).alias("size"))
     f = F.col("f")
     return rows.select("doc_id", F.coalesce(T.upload_error(f, F.col("size")), F.lit("ok")).alias("error"), T.etag(f, F.col("n"), F.col("size")).alias("etag"))
 
@@ -92,11 +111,12 @@ def output_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.safe_filename(F.col("title")).alias("filename"), F.md5(T.snippet(text, "tion")).alias("snippet"), F.when(part.isNull(), "none").otherwise(F.md5(part)).alias("part"), F.md5(T.highlighted(F.col("title"), ("tion",))).alias("marked"), T.display_name(named).alias("display"))
 
 
-@query("redacted_messages", "SELECT event_id, 'user ***@*** password=*** paid **** for ' || event_type AS message FROM events")
+@query("redacted_messages", r"SELECT doc_id, md5(s) AS text_md5, (length(s) - length(replace(s, '***', ''))) // 3 AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(password|passwd|secret|token|api_key)\s*[=:]\s*\S+', '\1=***', 'gi'), '[\w.+-]+@[\w-]+\.[\w.]+', '***@***', 'g'), '\b\d{13,19}\b', '****', 'g') AS s FROM documents WHERE text IS NOT NULL)")
 def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines with secrets of each event put in, and taken out again."""
-    said = F.concat(F.lit("user u"), "user_id", F.lit("@mail.org password: x"), "event_id", F.lit(" paid 4"), F.lpad(F.col("event_id").cast("string"), 15, "0"), F.lit(" for "), "event_type")
-    return table(spark, sf_dir, "events").select("event_id", T.redacted(said).alias("message"))
+    """Texts without the secrets, mail addresses and card numbers in them."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.redacted(F.col("text")).alias("s"))
+    n = (F.length("s") - F.length(F.replace("s", F.lit("***"), F.lit("")))) / 3
+    return docs.select("doc_id", F.md5("s").alias("text_md5"), F.floor(n).alias("n"))
 
 
 _head = "substr(text, 1, 3000)"
@@ -109,65 +129,90 @@ def safe_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(T.safe_truncate(F.col("text"))).alias("text_md5"))
 
 
-_slangs = ("yyds", "2333 666", "hhhh lol", "Orz 233", "plain")
-_meant = {"yyds": "永远的神", "2333 666": "大笑 厉害", "hhhh lol": "哈哈哈 大笑", "Orz 233": "跪了 大笑", "plain": "plain"}
+def _slang_sql(text: str) -> str:
+    for said in sorted(T.SLANG, key=lambda w: (-len(w), w)):
+        text = f"replace({text}, '{said}', '{T.SLANG[said]}')"
+    return text
 
 
-@query("slang_and_scores", f"SELECT event_id, {_pick_sql(tuple(_meant.values()), 'event_id % 5')} AS said, [0.5, 1.0, 0.7, 0.0, 0.0][event_id % 5 + 1]::DOUBLE AS score FROM events")
+@query("slang_and_scores", f"SELECT 'turn' AS kind, conv_id AS id, turn::BIGINT AS part, md5({_slang_sql('s')}) AS said, 0.0::DOUBLE AS score FROM (SELECT *, translate(text, 'thner', 'hhl23') AS s FROM conversations WHERE text IS NOT NULL) UNION ALL SELECT 'event', event_id, 0, event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN ('0.' || (props->>'$.k'))::DOUBLE ELSE least(1, greatest(0, value - 5)) END FROM events")
 def slang_and_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slang in plain words; scores as a judge may write them."""
-    k = F.col("event_id") % 5
-    return table(spark, sf_dir, "events").select("event_id", T.plain_words(_pick(_slangs, k), T.SLANG).alias("said"), T.score_of(_pick(("0.5", "4/5", "0/7", "x", "-1"), k)).alias("score"))
-
-
-@query("review_fields", "SELECT event_id, k >= 50 AS passed, CASE WHEN event_id % 3 = 0 THEN k / 10.0 ELSE 8.0 END AS score, CASE WHEN k >= 50 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE 'other' END AS failure_type FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)")
+    """Turns with their slang in plain words (letters stand for those of
+    laughter, th hh, non lol, err 233); scores as judges write them: a word,
+    a fraction, a number out of bounds."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    plain = turns.select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("bigint").alias("part"), F.md5(T.plain_words(F.translate("text", "thner", "hhl23"), T.SLANG)).alias("said"), F.lit(0.0).alias("score"))
+    kind = F.col("event_type")
+    said = F.when(kind == "error", kind).when(kind == "view", F.concat(F.lit("0/"), F.get_json_object("props", "$.k"))).otherwise((F.col("value") - 5).cast("string"))
+    scored = table(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.lit(0).cast("bigint").alias("part"), kind.alias("said"), T.score_of(said).alias("score"))
+    return plain.unionByName(scored)
+
+
+@query("review_fields", "SELECT doc_id, coalesce(quality = 1, true) AS passed, coalesce(CASE WHEN toxic = 1 THEN n_chars / 1000 END, 8)::DOUBLE AS score, CASE WHEN coalesce(quality = 1, true) THEN '' WHEN lang IN ('fr', 'de') THEN lang ELSE 'other' END AS failure_type, md5(coalesce(text, '审核通过')) AS feedback_md5 FROM labels JOIN documents USING (doc_id)")
 def review_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first JSON object in a noisy answer, with what it leaves out filled
-    in: a pass has no failure type, a failure one at least."""
-    k, third = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 3
-    more = F.when(third == 0, F.concat(F.lit(', "score": '), k / 10)).when(third == 1, F.concat(F.lit(', "failure_type": "'), "event_type", F.lit('"'))).otherwise("")
-    said = F.concat(F.lit("Here it is: {\"feedback\": \"a } brace\", \"passed\": "), (k >= 50).cast("string"), more, F.lit("} and {more}"))
-    found = table(spark, sf_dir, "events").select("event_id", T.first_json(said).alias("json"))
-    return T.filled_reviews(found, "json").select("event_id", "passed", "score", "failure_type")
+    in: a pass has no failure type, a failure one at least.  Labels are the
+    verdicts, whole texts the feedback."""
+    docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    review = F.struct(F.col("text").alias("feedback"), (F.col("quality") == 1).alias("passed"), F.when(F.col("toxic") == 1, F.col("n_chars") / 1000).alias("score"), F.when(F.col("lang").isin("fr", "de"), F.col("lang")).alias("failure_type"))
+    noise = F.regexp_replace(F.coalesce(F.split("text", "\n")[0], F.lit("")), "[\\[{]", "")
+    found = docs.select("doc_id", T.first_json(F.concat(noise, F.lit(" "), F.to_json(review), F.lit(" and {more}"))).alias("json"))
+    return T.filled_reviews(found, "json").select("doc_id", "passed", F.col("score"), "failure_type", F.md5("feedback").alias("feedback_md5"))
 
 
-_SOURCES = ("第三章 one", "第12章 two", "第二十章 three")
+_cited = "SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, trim(substr(regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z ]', '', 'g'), 1, 60)) AS title, len(string_split(text, chr(10))) AS n FROM documents"
+_bare = "lower(replace({}, ' ', ''))"
 
 
-@query("checked_citations", "SELECT event_id, 'a' || event_id || CASE WHEN event_id % 30 IN (3, 12, 20) THEN '「引自第' || event_id % 30 || '章 x」' ELSE '' END || ' b' || CASE event_id % 4 WHEN 0 THEN '「出自 第三章 ONE」' WHEN 1 THEN '(plain)' ELSE '' END AS said, CASE event_id % 4 WHEN 0 THEN 2 ELSE 1 END AS n FROM events")
+@query(
+    "checked_citations",
+    f"""WITH c AS ({_cited}), v AS (SELECT book, position // 50 AS volume, list(position + 1) AS numbers, list({_bare.format('title')}) AS names FROM c GROUP BY ALL)
+    SELECT c.book, c.position, c.title || CASE WHEN list_contains(numbers, c.n) THEN '「引自第' || c.n || '章」' ELSE '' END || ' b' || CASE WHEN list_contains(names, {_bare.format('p.title')}) THEN '「' || trim('出自 ' || upper(p.title)) || '」' ELSE '' END AS said, CASE WHEN p.title IS NULL THEN 1 ELSE 2 END AS n
+    FROM c JOIN v ON c.book = v.book AND c.position // 50 = v.volume LEFT JOIN c p ON p.book = c.book AND p.position = c.position - 1""",
+)
 def checked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of chapters that are there, by number or title, stay in one
-    kind of brackets; others go."""
-    k = F.col("event_id")
-    said = F.concat(F.lit("a"), k, F.lit("（引自第"), k % 30, F.lit("章 x） b"), F.when(k % 4 == 0, "「出自 第三章 ONE」").when(k % 4 == 1, "(plain)").otherwise(""))
-    sources = F.array(*map(F.lit, _SOURCES))
-    return table(spark, sf_dir, "events").select("event_id", T.checked_citations(said, sources).alias("said"), F.size(T.citations(said)).alias("n"))
+    """Each chapter cites the chapter with the number of its own lines, and the
+    one before it by title; citations of its volume stay in one kind of
+    brackets, others go."""
+    title = F.trim(F.substring(F.regexp_replace("title", "[^A-Za-z ]", ""), 1, 60))
+    every = storage.cut_lineage(chapters(spark, sf_dir).select("book", "position", F.expr("position div 50").alias("volume"), title.alias("title"), F.size(F.split("text", "\n")).alias("n")))
+    sources = every.groupBy("book", "volume").agg(F.concat(F.collect_list("title"), F.collect_list(F.concat(F.lit("第"), F.col("position") + 1, F.lit("章")))).alias("sources"))
+    before = every.select("book", (F.col("position") + 1).alias("position"), F.col("title").alias("earlier"))
+    said = F.concat("title", F.lit("（引自第"), "n", F.lit("章） b"), F.coalesce(F.concat(F.lit("「出自 "), F.upper("earlier"), F.lit("」")), F.lit("")))
+    both = every.join(sources, ["book", "volume"]).join(before, ["book", "position"], "left")
+    return both.select("book", "position", T.checked_citations(said, F.col("sources")).alias("said"), F.size(T.citations(said)).alias("n"))
 
 
-_TITLES = ("第一章 start", "第1-50章 part", "全书总览", "notes", "第十二回 x", "7节 y")
+_n_words = "len(string_split_regex(trim(text), '\\s+'))"
+_first_word = "string_split_regex(trim(text), '\\s+')[1]"
 
 
-@query("chapter_sources", f"SELECT DISTINCT user_id, {_pick_sql(_TITLES, 'event_id % 6')} AS title, {_pick_sql(('1', '0', '0', '0', '12', '7'), 'event_id % 6')}::INT AS sort_key FROM events WHERE event_id % 6 IN (0, 4, 5)")
+@query("chapter_sources", f"SELECT DISTINCT conv_id, CASE role WHEN 'user' THEN '第' || turn + 1 || '章 ' || {_first_word} ELSE {_n_words} || '节 ' || {_first_word} END AS title, (CASE role WHEN 'user' THEN turn + 1 ELSE {_n_words} END)::INT AS sort_key FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND turn IS NOT NULL")
 def chapter_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of single chapters that each user's materials name, with what
-    they are sorted by."""
-    rows = table(spark, sf_dir, "events").select("user_id", _pick(_TITLES, F.col("event_id") % 6).alias("title")).distinct()
-    return rows.where(T.is_chapter_source(F.col("title"))).select("user_id", "title", T.chapter_sort_key(F.col("title")).cast("int").alias("sort_key"))
+    """Titles of single chapters that each conversation names, with what they
+    are sorted by: users name a chapter, assistants a section, the system a
+    range, which is none."""
+    words, role = F.split(F.trim("text"), "\\s+"), F.col("role")
+    title = F.when(role == "user", F.concat(F.lit("第"), F.col("turn") + 1, F.lit("章 "), words[0])).when(role == "assistant", F.concat(F.size(words), F.lit("节 "), words[0])).otherwise(F.concat(F.lit("第1-"), F.size(words), F.lit("章")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", title.alias("title")).distinct()
+    return rows.where(T.is_chapter_source(F.col("title"))).select("conv_id", "title", T.chapter_sort_key(F.col("title")).cast("int").alias("sort_key"))
 
 
-@query("question_limits", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 500 WHEN 1 THEN greatest(5, 1 + doc_id % 30) WHEN 2 THEN 1 + greatest(4, doc_id % 20) WHEN 3 THEN greatest(5, doc_id % 9) ELSE 5 END::INT AS top_k, doc_id % 5 = 0 AS whole FROM documents")
+@query("question_limits", f"SELECT conv_id, turn, (CASE role WHEN 'system' THEN 500 WHEN 'assistant' THEN greatest(5, {_n_words} - turn) ELSE greatest(5, {_n_words}) END)::INT AS top_k, role = 'system' AS whole FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL")
 def question_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many chapters questions ask for."""
-    k = F.col("doc_id")
-    asked = F.when(k % 5 == 0, F.lit("全书讲了什么")).when(k % 5 == 1, F.concat(F.lit("前"), k % 30 + 1, F.lit("章"))).when(k % 5 == 2, F.concat(F.lit("第10章到第"), k % 20 + 10, F.lit("章"))).when(k % 5 == 3, F.concat(F.lit("前"), k % 9)).otherwise("x")
-    return table(spark, sf_dir, "documents").select("doc_id", T.dynamic_top_k(asked, 500).alias("top_k"), T.is_global_question(asked).alias("whole"))
+    """How many chapters questions ask for: the system for the whole book, an
+    assistant for those from its turn to the number of its words, a user for
+    as many as they say words."""
+    role, n = F.col("role"), F.size(F.split(F.trim("text"), "\\s+"))
+    asked = F.when(role == "system", F.lit("全书讲了什么")).when(role == "assistant", F.concat(F.lit("第"), F.col("turn") + 1, F.lit("章到第"), n, F.lit("章"))).otherwise(F.concat(F.lit("前"), n, F.lit("章")))
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL")
+    return turns.select("conv_id", "turn", T.dynamic_top_k(asked, 500).alias("top_k"), T.is_global_question(asked).alias("whole"))
 
 
-@query("entity_parts", "SELECT user_id, count(*) AS n, ['user' || user_id || '和type' || min(event_type), 'user' || user_id, 'type' || min(event_type)] AS parts FROM events GROUP BY user_id")
+@query("entity_parts", "SELECT p_partkey, (CASE WHEN contains(q, ' ') THEN [q, p_name, p_brand] || string_split(q, ' ') ELSE [q, p_name, p_brand] END)[:5] AS parts FROM (SELECT *, p_name || '和' || p_brand AS q FROM part)")
 def entity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions split where words join two names."""
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_type").alias("kind"))
-    return users.select("user_id", "n", T.entity_candidates(F.concat(F.lit("user"), "user_id", F.lit("和type"), "kind")).alias("parts"))
+    """Questions about a part and its brand, split where words join names."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.entity_candidates(F.concat("p_name", F.lit("和"), "p_brand")).alias("parts"))
 
 
 @query("time_ids", "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') >= '2024-01-10T00:00:00' AS later FROM events")
@@ -177,11 +222,14 @@ def time_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("id"), (stamp >= "2024-01-10T00:00:00").alias("later"))
 
 
-_zh = ("起点中文网最新阅读地址", "求月票！", "求月票", "感谢老王打赏", "（未完待续）", "PS：今天有事", "防盗章节", "平常的一行", "http://x")
+_line = in_han_sql("line", HAN_LINES)
 
 
-@query("impurity_lines", f"SELECT event_id, event_id % 9 IN (0, 1, 2, 3, 8) AS upload, event_id % 9 IN (0, 1, 3, 4, 5, 6, 8) AS cli FROM events")
+@query("impurity_lines", f"SELECT doc_id, count(*) AS n, count(*) FILTER (length(line) < 120 AND regexp_matches(s, '{T.ZH.impurity}')) AS upload, count(*) FILTER (length(line) < 120 AND regexp_matches(s, '{T.ZH_CLI.impurity}')) AS cli FROM (SELECT doc_id, line, {_line} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY doc_id")
 def impurity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that sites put into Chinese texts, by both lists of patterns."""
-    line = _pick(_zh, F.col("event_id") % 9)
-    return table(spark, sf_dir, "events").select("event_id", T.is_impurity(line, T.ZH).alias("upload"), T.is_impurity(line, T.ZH_CLI).alias("cli"))
+    """Lines that sites put into Chinese texts, by both lists of patterns: the
+    lines of all documents, in Han characters."""
+    lines = F.transform(F.split("text", "\n"), lambda line: in_han(line, HAN_LINES))
+    count = lambda profile: F.size(F.filter("lines", lambda line: T.is_impurity(line, profile))).cast("bigint")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines"))
+    return docs.select("doc_id", F.size("lines").cast("bigint").alias("n"), count(T.ZH).alias("upload"), count(T.ZH_CLI).alias("cli"))
