@@ -108,7 +108,10 @@ def chunk_text(text: str, size: int = 512, overlap: int = 64, least: int = 64, e
 
 
 def chunks(docs: DataFrame, key: str, text_col: str = "text", size: int = 512, overlap: int = 64, least: int = 64) -> DataFrame:
-    """``key, position, chunk, n_chars, n_tokens`` of every text."""
+    """``key, position, chunk, n_chars, n_tokens`` of every text.  Keys that
+    are strings stay so, others become long."""
+    named = docs.schema[key].dataType.simpleString() == "string"
+    kind, key_type = ("string", pa.string()) if named else ("bigint", pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +122,9 @@ def chunks(docs: DataFrame, key: str, text_col: str = "text", size: int = 512, o
                     places.append(at)
                     texts.append(chunk)
                     tokens.append(token_estimate(chunk))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(tokens, pa.int64())], names=[key, "position", "chunk", "n_chars", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(tokens, pa.int64())], names=[key, "position", "chunk", "n_chars", "n_tokens"])
 
-    return docs.select(F.col(key).cast("bigint").alias(key), text_col).mapInArrow(run, f"{key} bigint, position int, chunk string, n_chars bigint, n_tokens bigint")
+    return docs.select(F.col(key).cast(kind).alias(key), text_col).mapInArrow(run, f"{key} {kind}, position int, chunk string, n_chars bigint, n_tokens bigint")
 
 
 def capped(blocks: Column, most: int = 8) -> Column:

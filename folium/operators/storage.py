@@ -101,3 +101,24 @@ def quarantined(log: DataFrame, key: str, *order: Column, failed: Column) -> Dat
     """The latest row of each key whose latest row is a failure: a retry that
     succeeds takes it out, one that fails replaces it."""
     return latest(log.withColumn("_failed", failed), [key], *order).where("_failed").drop("_failed")
+
+
+def marked(log: DataFrame, phase: str, key: str, action: str, *order: str) -> DataFrame:
+    """``phase, key``: what is done by a log of the actions ``mark`` and
+    ``unmark`` of a key in a phase, and ``reset`` of a whole phase (its key
+    isn't looked at): the keys whose last action since the last reset of their
+    phase is a mark.  The log is only appended to, so writers needn't agree;
+    order tells which action is later, and of actions at one place a reset
+    counts last, a mark first.  Other actions, and rows of null phase, key or
+    place, are left out.  Both sums are combined before the shuffle, so a phase
+    of very many actions is no more than its keys."""
+    rank = F.when(F.col(action) == "mark", 0).when(F.col(action) == "unmark", 1).when(F.col(action) == "reset", 2)
+    at = F.struct(*order, rank.alias("_rank"))
+    known = F.col(phase).isNotNull() & rank.isNotNull()
+    for c in order:
+        known = known & F.col(c).isNotNull()
+    rows = log.where(known).select(F.col(phase).alias("_phase"), F.col(key).alias("_key"), at.alias("_at"))
+    resets = rows.where("_at._rank = 2").groupBy("_phase").agg(F.max("_at").alias("_reset"))
+    last = rows.where("_at._rank < 2 AND _key IS NOT NULL").groupBy("_phase", "_key").agg(F.max("_at").alias("_last"))
+    open_ = last.where("_last._rank = 0").join(resets, "_phase", "left").where("_reset IS NULL OR _last > _reset")
+    return open_.select(F.col("_phase").alias(phase), F.col("_key").alias(key))

@@ -92,6 +92,21 @@ def phase_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("phase").agg(F.count("*").alias("completed")).join(first, "phase")
 
 
+@query(
+    "checkpoint_marks",
+    """WITH log AS (SELECT user_id AS phase, (props->>'$.k')::INT AS chapter, CASE event_type WHEN 'error' THEN 'unmark' WHEN 'signup' THEN 'reset' ELSE 'mark' END AS action, event_id AS seq FROM events),
+    last AS (SELECT *, row_number() OVER (PARTITION BY phase, chapter ORDER BY seq DESC) AS p FROM log WHERE action <> 'reset')
+    SELECT phase, chapter FROM last l WHERE p = 1 AND action = 'mark' AND NOT EXISTS (SELECT 1 FROM log r WHERE r.phase = l.phase AND r.action = 'reset' AND r.seq > l.seq)""",
+)
+def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters done in each phase by a log of marks: an error takes its
+    chapter's mark back, a signup resets the phase."""
+    kind = F.col("event_type")
+    action = F.when(kind == "error", "unmark").when(kind == "signup", "reset").otherwise("mark")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("phase"), F.get_json_object("props", "$.k").cast("int").alias("chapter"), action.alias("action"), F.col("event_id").alias("at"))
+    return storage.marked(log, "phase", "chapter", "action", "at")
+
+
 @query("missing_subchunks", "SELECT o_orderkey AS chapter, part FROM (SELECT o_orderkey, unnest(range(7)) AS part FROM orders) WHERE (o_orderkey, part) NOT IN (SELECT (l_orderkey, l_linenumber - 1) FROM lineitem)")
 def missing_subchunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of chapters that a resumed run has still to extract."""

@@ -202,6 +202,19 @@ def minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.minhash_pairs(made, "doc_id").unionByName(sketches.of_classes(made, "signature", "doc_id", 1.0, "estimate"))
 
 
+@query("minhash_verified")
+def minhash_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different texts whose 4-gram sets overlap by 0.85, proposed by
+    signatures at 0.75: between the smallest documents of each signature, and
+    from that to each other text of the signature; copies stand behind their
+    smallest document."""
+    docs = cut_lineage(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.md5("text")))
+    texts = docs.join(docs.groupBy("same").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+    made = cut_lineage(sketches.minhash_signatures(texts, "doc_id"))
+    proposed = sketches.minhash_pairs(made, "doc_id", threshold=0.75).unionByName(sketches.of_classes(made, "signature", "doc_id", 1.0, "estimate"))
+    return sketches.verified_pairs(texts, proposed, "doc_id").unionByName(sketches.of_classes(docs, "same", "doc_id", 1.0, "jaccard"))
+
+
 @query("text_dedup")
 def text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in order of id: one is a duplicate if its SimHash is within 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.operators import segment
+
 
 def replace_partitions(rows: DataFrame, path: str, *keys: str) -> None:
     """Writes rows in place of all rows of the same keys (delete and insert of
@@ -67,16 +69,52 @@ def write_book(book: DataFrame, path: str) -> None:
 # without touching the others
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as JSON lines below one folder."""
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
-    edges.write.mode("overwrite").json(f"{path}/edges")
+def write_together(tables: dict[str, DataFrame], root: str, keep: int = 3, form: str = "json") -> str:
+    """Writes tables, by name, as the next version below a folder, and removes
+    all but the newest whole versions.  A version is whole once its marker is
+    there, which comes last, so a reader never sees one table new and another
+    old; what a broken write leaves is passed over, and goes with the next
+    one.  One writer at a time."""
+    spark = next(iter(tables.values())).sparkSession
+    fs, place = _fs(spark, root), spark._jvm.org.apache.hadoop.fs.Path
+    every = [s.getPath().toString() for s in fs.globStatus(place(f"{root.rstrip('/')}/version=*")) or []]
+    path = f"{root.rstrip('/')}/version={max([int(p.rsplit('=', 1)[1]) for p in every], default=0) + 1:06d}"
+    for name, rows in tables.items():
+        rows.write.format(form).save(f"{path}/{name}")
+    fs.create(place(f"{path}/{_WHOLE}"), True).close()
+    kept = whole_versions(spark, root)[-keep:]
+    for old in every:
+        if old not in kept:
+            fs.delete(place(old), True)
+    return path
+
+
+_WHOLE = "_WHOLE"
+
+
+def whole_versions(spark: SparkSession, root: str) -> list[str]:
+    found = _fs(spark, root).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/version=*/{_WHOLE}"))
+    return sorted(s.getPath().getParent().toString() for s in found or [])
+
+
+def read_together(spark: SparkSession, root: str, schemas: dict[str, str], form: str = "json") -> dict[str, DataFrame]:
+    """Tables of the newest whole version, all of the same one; empty where
+    there is none."""
+    found = whole_versions(spark, root)
+    if not found:
+        return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).format(form).load(f"{found[-1]}/{name}") for name, schema in schemas.items()}
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> str:
+    """Nodes and edges as JSON lines, both or neither."""
+    return write_together({"nodes": nodes, "edges": edges}, f"{path}/graph")
 
 
-def write_communities(found: DataFrame, summaries: DataFrame, path: str) -> None:
-    """Communities beside a graph that stays as it is."""
-    found.write.mode("overwrite").json(f"{path}/communities")
-    summaries.write.mode("overwrite").json(f"{path}/summaries")
+def write_communities(found: DataFrame, summaries: DataFrame, path: str) -> str:
+    """Communities and their summaries, both or neither, beside a graph that
+    stays as it is."""
+    return write_together({"communities": found, "summaries": summaries}, f"{path}/communities")
 
 
 def write_index(postings: DataFrame, path: str, parts: int = 64) -> None:
@@ -121,7 +159,9 @@ def write_aliases(aliases: DataFrame, path: str) -> None:
     aliases.select("alias", "canonical").write.mode("overwrite").json(path)
 
 
-def write_processed(files: DataFrame, chapters: DataFrame, path: str) -> None:
-    """What an upload becomes: cleaned texts and chapters, by book."""
-    files.where("text IS NOT NULL").select("title", F.col("text").alias("value")).write.mode("overwrite").partitionBy("title").text(f"{path}/clean")
-    chapters.write.mode("overwrite").parquet(f"{path}/chapters")
+def write_processed(files: DataFrame, chapters: DataFrame, path: str, size: int = 512, overlap: int = 64) -> str:
+    """What an upload becomes, by book: cleaned texts (title, text), chapters,
+    and the texts cut into chunks of so many tokens before anything asks for
+    them; all three or none.  Files without a text have none of it."""
+    clean = files.where("text IS NOT NULL").select("title", "text")
+    return write_together({"clean": clean, "chapters": chapters, "chunks": segment.chunks(clean, "title", size=size, overlap=overlap)}, path, form="parquet")

@@ -243,12 +243,66 @@ def test_layout(spark, n):
     assert got.ideal_edge_length == int(min(100 + math.sqrt(n) * 6, 300)) and got.iterations == min(2000 + 2 * n, 3000)
 
 
+def test_tables_written_together(spark, tmp_path):
+    root, shapes = str(tmp_path / "t"), {"x": "id bigint", "y": "id bigint"}
+    ids = lambda: {n: sorted(r.id for r in t.collect()) for n, t in sinks.read_together(spark, root, shapes).items()}
+    assert ids() == {"x": [], "y": []}
+    for n in (1, 0, 2, 3):
+        sinks.write_together({"x": spark.range(n), "y": spark.range(n)}, root, keep=2)
+        assert ids() == {"x": [*range(n)], "y": [*range(n)]}
+    broken = spark.range(4).select(F.raise_error(F.lit("lost")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_together({"x": spark.range(9), "y": broken}, root, keep=2)
+    assert ids() == {"x": [0, 1, 2], "y": [0, 1, 2]}
+    last = sinks.write_together({"x": spark.range(1), "y": spark.range(1)}, root, keep=2)
+    assert ids() == {"x": [0], "y": [0]} and last.endswith("version=000006")
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version=000004", "version=000006"]
+
+
+def test_processed_uploads(spark, tmp_path):
+    from folium.operators.segment import chunk_text
+
+    long = " ".join(f"Word{i} goes on." for i in range(900))
+    files = spark.createDataFrame([("a", long), ("b", ""), ("c", None), ("d", "short")], "title string, text string")
+    chapters = spark.createDataFrame([("a", 0, "one")], "title string, position int, text string")
+    path = sinks.write_processed(files, chapters, str(tmp_path / "p"), size=100, overlap=10)
+    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("clean", "chapters", "chunks")}
+    assert {tuple(r) for r in read["clean"].collect()} == {("a", long), ("b", ""), ("d", "short")} and read["chapters"].count() == 1
+    assert Counter(r.title for r in read["chunks"].collect()) == Counter({"a": len(chunk_text(long, 100, 10)), "b": len(chunk_text("", 100, 10)), "d": 1}) + Counter()
+
+
+def test_marks_of_a_build(spark):
+    log = [("p", 1, "mark", 1), ("p", 1, "unmark", 2), ("p", 1, "mark", 3), ("p", 2, "mark", 1), ("p", 2, "mark", 1), ("p", 3, "unmark", 9), ("p", 4, "mark", 5), ("p", 4, "unmark", 5)]
+    log += [("q", 1, "mark", 1), ("q", None, "reset", 2), ("q", 2, "mark", 2), ("q", 3, "mark", 3), (None, 1, "mark", 1), ("q", None, "mark", 7), ("q", 5, "else", 8), ("q", 6, "mark", None), ("r", 7, "reset", 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "phase string, chapter int, action string, at int").withColumn("_key", F.lit("x"))
+    assert sorted(map(tuple, storage.marked(frame(log), "phase", "chapter", "action", "at").collect())) == [("p", 1), ("p", 2), ("q", 3)]
+    assert storage.marked(frame([]), "phase", "chapter", "action", "at").columns == ["phase", "chapter"] and storage.marked(frame([]), "phase", "chapter", "action", "at").isEmpty()
+    from itertools import product
+
+    for actions in product(("mark", "unmark", "reset"), repeat=3):
+        done = set()
+        for a in actions:
+            done = {1} if a == "mark" else set()
+        got = storage.marked(frame([("p", 1, a, i) for i, a in enumerate(actions)]), "phase", "chapter", "action", "at") if actions[0] == "mark" else None
+        assert got is None or {r.chapter for r in got.collect()} == done
+
+
+def test_pairs_verified_by_sets(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij", 0), (2, "abcdefghij", 1), (3, "abcdefghijk", 2), (4, "zzzz", 3), (5, None, 4), (6, "", 5)], "id int, text string, a int")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 4), (5, 6), (6, 6), (1, 99)], "a int, b int")
+    got = {(r.a, r.b): round(r.jaccard, 6) for r in sketches.verified_pairs(docs, pairs, "id").collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 0.875, (5, 6): 1.0}
+    assert sketches.verified_pairs(docs, pairs.limit(0), "id").isEmpty()
+
+
 def test_build_tables_round_trip(spark, tmp_path):
     path = str(tmp_path / "g")
     nodes = spark.createDataFrame([("a", "lead", 3), ("b", "side", 1)], "name string, role string, mention_count int")
     sinks.write_graph(nodes, edges(spark, ("a", "b", "ally", 2)), path)
     sinks.write_communities(spark.createDataFrame([("a", 0), ("b", 0)], "name string, community int"), spark.createDataFrame([(0, "a (2)")], "community int, summary string"), path)
-    assert spark.read.json(f"{path}/nodes").count() == 2 and spark.read.json(f"{path}/communities").count() == 2
+    shapes = {"nodes": "name string, role string, mention_count int", "edges": "source string, target string"}
+    assert {n: t.count() for n, t in sinks.read_together(spark, f"{path}/graph", shapes).items()} == {"nodes": 2, "edges": 1}
+    assert sinks.read_together(spark, f"{path}/communities", {"communities": "name string, community int"})["communities"].count() == 2
     index = spark.createDataFrame([(f"d{k}", g) for k in range(9) for g in ("ab", "cd", f"e{k}")], "doc string, gram string")
     sinks.write_index(index, str(tmp_path / "i"), 8)
     assert Counter(tuple(r) for r in sinks.read_index(spark, str(tmp_path / "i"), ["ab", "e3"], 8).select("doc", "gram").collect()) == Counter([*((f"d{k}", "ab") for k in range(9)), ("d3", "e3")])

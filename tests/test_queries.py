@@ -87,6 +87,20 @@ def check_minhash(got):
     assert sum(root(a) == root(b) or frozenset((root(a), root(b))) in named for a, b in true) >= 0.9 * len(true) and true
 
 
+def check_minhash_verified(got):
+    """Every pair is as alike as it says, 0.85 at least; with membership the
+    pairs are nearly all that brute force finds at 0.85."""
+    sets = {k: {b[i : i + 4] for i in range(len(b) - 3)} or {b} for k, t in texts().items() for b in ["".join(t.split())]}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(abs(jaccard(r.a, r.b) - r.jaccard) < 1e-9 and r.jaccard >= 0.85 for r in got.itertuples())
+    own, linked = texts(), {frozenset((r.a, r.b)) for r in got.itertuples()}
+    first = {t: min(k for k in own if own[k] == t) for t in own.values()}
+    assert {frozenset((first[t], k)) for k, t in own.items() if first[t] != k} <= linked
+    ids = sorted(first.values())
+    true = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 0.85 * len(sets[a]) <= len(sets[b]) <= len(sets[a]) / 0.85 and jaccard(a, b) >= 0.85]
+    assert sum(frozenset(p) in linked for p in true) >= 0.95 * len(true) and true
+
+
 def check_dedup(got):
     """The first pass against the plain one; after it, no two kept texts are
     much alike, but for one in ten that the bands may miss."""
@@ -269,6 +283,7 @@ PLAIN = {
     "lsh_knn": check_lsh,
     "ivf_knn": check_lsh,
     "minhash_candidates": check_minhash,
+    "minhash_verified": check_minhash_verified,
     "text_dedup": check_dedup,
     "token_bucket": check_bucket,
     "approx_distinct": lambda got: None if len(got) == 3 and (got.parts > 0).all() else pytest.fail("counts"),
