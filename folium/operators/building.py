@@ -14,6 +14,33 @@ from folium.operators import graph, sketches
 from folium.operators.storage import cut_lineage, numbered_within
 
 
+def vault(chapters: DataFrame, size: int = 50, parts: int = 1000) -> DataFrame:
+    """``page, body``: Markdown pages of chapters (book, position, title,
+    summary) with links: one for each chapter, to its volume and to its
+    neighbours; for each volume of so many chapters, to its chapters; and for
+    each book, to its volumes, a page for every so many of them.  No page is
+    more than a volume or so many lines.  Null titles and summaries are empty;
+    what a file name can't hold is an underscore, so names come from numbers."""
+    safe = F.regexp_replace("book", '[\\\\/:*?"<>|]', "_")
+    every = cut_lineage(chapters.select("book", "position", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), safe.alias("safe"), (F.expr(f"position div {size}") + 1).alias("volume")))
+    name = lambda number: F.concat("safe", F.lit(" "), number)
+    link = lambda number: F.concat(F.lit("[["), name(number), F.lit("]]"))
+    near = every.select("book", F.explode(F.array(F.struct((F.col("position") + 1).alias("at"), F.lit("back").alias("way"), F.col("position").alias("to")), F.struct((F.col("position") - 1).alias("at"), F.lit("on").alias("way"), F.col("position").alias("to")))).alias("n")).groupBy("book", F.col("n.at").alias("position")).agg(F.max(F.when(F.col("n.way") == "back", F.col("n.to"))).alias("back"), F.max(F.when(F.col("n.way") == "on", F.col("n.to"))).alias("on"))
+    said = every.join(near, ["book", "position"], "left")
+    body = F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.concat(F.lit("volume: "), link(F.concat(F.lit("v"), "volume"))), F.concat(F.lit("back: "), link(F.col("back") + 1)), F.concat(F.lit("on: "), link(F.col("on") + 1)), "summary")
+    chapter = said.select(name(F.col("position") + 1).alias("page"), body.alias("body"))
+
+    def listed(rows: DataFrame, page, line) -> DataFrame:
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
+        return rows.groupBy(page.alias("page")).agg(lines.alias("lines")).select("page", F.concat(F.lit("# "), "page", F.lit("\n"), "lines").alias("body"))
+
+    volume = listed(every.withColumn("at", F.col("position")), name(F.concat(F.lit("v"), "volume")), F.concat(F.lit("- "), link(F.col("position") + 1), F.lit(": "), "title"))
+    volumes = every.groupBy("safe", "volume").agg(F.count("*").alias("n")).withColumn("at", F.col("volume"))
+    part = F.floor((F.col("volume") - 1) / parts)
+    book = listed(volumes, F.when(part == 0, F.col("safe")).otherwise(name(F.concat(F.lit("part "), part + 1))), F.concat(F.lit("- "), link(F.concat(F.lit("v"), "volume")), F.lit(": "), "n"))
+    return chapter.unionByName(volume).unionByName(book)
+
+
 def merged_characters(rows: DataFrame) -> DataFrame:
     """``chapter, name, role, aliases`` of (chapter, block, place, name, role,
     aliases): each name as its first block has it, if that is valid; the

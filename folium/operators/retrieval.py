@@ -62,6 +62,17 @@ def tool_score(query: str, title: Column, summary: Column, characters: Column, e
     return (F.when(has(title), 10).otherwise(0) + F.when(has(summary), 5).otherwise(0) + 8 * F.size(F.filter(characters, has)) + 6 * F.size(F.filter(events, has))).cast("bigint")
 
 
+def by_number(chapters: DataFrame, asked: DataFrame) -> DataFrame:
+    """``book, number, position`` of the chapters that are asked for by number:
+    the first of the book whose title has it (title_number), else the one that
+    stands there; null where the book has neither.  Questions asked twice are
+    answered once."""
+    asked = asked.select("book", "number").where("book IS NOT NULL AND number IS NOT NULL").distinct()
+    titled = chapters.where("title_number IS NOT NULL").groupBy("book", F.col("title_number").alias("number")).agg(F.min("position").alias("_titled"))
+    placed = chapters.select("book", (F.col("position") + 1).alias("number"), F.col("position").alias("_placed")).distinct()
+    return asked.join(titled, ["book", "number"], "left").join(placed, ["book", "number"], "left").select("book", "number", F.coalesce("_titled", "_placed").alias("position"))
+
+
 def lookup(chapters: DataFrame, number: int, needle: str) -> DataFrame:
     """Chapters of each book by the first strategy that finds any: their
     number, at most 3 titles, at most 5 bodies, a part of the needle among the

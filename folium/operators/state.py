@@ -55,6 +55,27 @@ def page(rows: DataFrame, number: int, size: int, *order: Column | str) -> DataF
     return rows.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
+def audited(log: DataFrame, action: tuple[str, str] | None = None, user: tuple[str, str] | None = None, status: tuple[str, str] | None = None, at: str = "ts", since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows of a log by any of action, user and status, each a column and its
+    value, and by time, both ends in it.  All of it reaches the scan."""
+    for chosen in (action, user, status):
+        if chosen is not None:
+            log = log.where(F.col(chosen[0]) == chosen[1])
+    kind = log.schema[at].dataType
+    if since is not None:
+        log = log.where(F.col(at) >= F.lit(since).cast(kind))
+    return log if until is None else log.where(F.col(at) <= F.lit(until).cast(kind))
+
+
+def first_seen_mode(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``key, value, n``: the most frequent value of each key, of equals the
+    one seen first, then the smallest.  Null values don't count; counts are
+    combined before the shuffle, so a hot key is no more than its values."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").isNull().alias("late"), F.col("_first").alias("first"), F.col(value).alias("value"))).alias("_best"))
+    return best.select(key, F.col("_best.value").alias(value), (-F.col("_best.n")).alias("n"))
+
+
 def progress(every: DataFrame, done: DataFrame, *group: str) -> DataFrame:
     """``group, done, total, percent``: 100 only when all is done, else 1 to
     99."""

@@ -90,6 +90,18 @@ def running_within(rows: DataFrame, group: str, order: str, value: str) -> DataF
     return cut.withColumn("_own", F.coalesce(own, F.lit(0))).join(starts, [group, "_range"]).withColumn("before", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
 
 
+def within_ranges(points: DataFrame, ranges: DataFrame, group: str, at: str, first: str, last: str, width: int = 64) -> DataFrame:
+    """Rows of points with the columns of each range (first to last, both in
+    it) of their group that they lie in; points in none have nulls.  Both sides
+    are dealt into bins of so many places and meet inside a bin, so a group of
+    very many points and ranges is no one task's; a range comes once for each
+    bin it touches.  Ranges that end before they start hold nothing."""
+    bins = F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))
+    held = ranges.where(F.col(first) <= F.col(last)).withColumnRenamed(group, "_group").withColumn("_of", F.explode(bins))
+    inside = (F.col(group) == F.col("_group")) & (F.col("_bin") == F.col("_of")) & F.col(at).between(F.col(first), F.col(last))
+    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(held, inside, "left").drop("_bin", "_of", "_group")
+
+
 def missing_parts(wholes: DataFrame, done: DataFrame, key: str, total: str, part: str) -> DataFrame:
     """``key, part``: the parts 0 to total - 1 of each whole that aren't done;
     a part that failed and was put in empty is done."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folium.functions import text as T
-from folium.operators import building, segment, state, storage
+from folium.operators import building, retrieval, segment, state, storage
 from folium.plans.functions import in_han, in_han_sql
 from folium.plans.texts import CHAPTERS, chapters
 from folium.registry import query, table
@@ -191,6 +191,37 @@ def chapter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters(spark, sf_dir).where("position BETWEEN 0 AND 9 AND NOT (position = 0 AND length(title) < 30)").select("book", "position", "title")
 
 
+_pages = f"SELECT book, position, coalesce(title, '') AS title, substr(coalesce(text, ''), 1, 100) AS summary, position // 50 + 1 AS volume, position - 1 AS back, CASE WHEN position + 1 < count(*) OVER (PARTITION BY book) THEN position + 1 END AS ahead FROM ({CHAPTERS})"
+
+
+@query(
+    "vault_of_books",
+    f"""WITH c AS ({_pages}), pages AS (
+    SELECT book || ' ' || position + 1 AS page, concat_ws(chr(10), '# ' || title, 'volume: [[' || book || ' v' || volume || ']]', CASE WHEN back >= 0 THEN 'back: [[' || book || ' ' || back + 1 || ']]' END, 'on: [[' || book || ' ' || ahead + 1 || ']]', summary) AS body FROM c
+    UNION ALL SELECT book || ' v' || volume, '# ' || book || ' v' || volume || chr(10) || string_agg('- [[' || book || ' ' || position + 1 || ']]: ' || title, chr(10) ORDER BY position) FROM c GROUP BY book, volume
+    UNION ALL SELECT book, '# ' || book || chr(10) || string_agg('- [[' || book || ' v' || volume || ']]: ' || n, chr(10) ORDER BY volume) FROM (SELECT book, volume, count(*) AS n FROM c GROUP BY book, volume) GROUP BY book)
+    SELECT page, md5(body) AS body_md5 FROM pages""",
+)
+def vault_of_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of books, volumes and chapters, with links."""
+    every = chapters(spark, sf_dir).select("book", "position", "title", F.substring(F.coalesce("text", F.lit("")), 1, 100).alias("summary"))
+    return building.vault(every).select("page", F.md5("body").alias("body_md5"))
+
+
+_asked = f"SELECT *, len(string_split(text, chr(10))) AS title_number, len(string_split(title, ' ')) AS number FROM ({CHAPTERS}) WHERE text IS NOT NULL"
+
+
+@query("chapter_by_number", f"WITH c AS ({_asked}), t AS (SELECT book, title_number AS number, min(position) AS position FROM c GROUP BY ALL) SELECT DISTINCT a.book, a.number::BIGINT AS number, coalesce(t.position, p.position, -1) AS position FROM c a LEFT JOIN t ON a.book = t.book AND a.number = t.number LEFT JOIN c p ON a.book = p.book AND p.position = a.number - 1")
+def chapter_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters titled by the number of their lines, asked for by the number
+    of words in a first line; -1 for numbers that no chapter has."""
+    every = chapters(spark, sf_dir).where("text IS NOT NULL")
+    titled = F.concat(F.lit("第"), F.size(F.split("text", "\n")), F.lit("章 "), "title")
+    rows = storage.cut_lineage(every.select("book", "position", T.chapter_number(titled).cast("bigint").alias("title_number"), F.size(F.split("title", " ")).cast("bigint").alias("number")))
+    found = retrieval.by_number(rows.select("book", "position", "title_number"), rows)
+    return found.select("book", "number", F.coalesce("position", F.lit(-1)).cast("bigint").alias("position"))
+
+
 @query("set_operations", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS both_n, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_n, (SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT item_id FROM benchmark)) AS either_n, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) = 0 AS is_subset")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")

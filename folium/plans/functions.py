@@ -13,7 +13,7 @@ from folium.registry import query, table
 _DIGITS = "零一二三四五六七八九"
 
 
-def _rules_sql(text: str, rules: tuple[tuple[str, str], ...], otherwise: str) -> str:
+def rules_sql(text: str, rules: tuple[tuple[str, str], ...], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), '{pattern}') THEN '{name}'" for name, pattern in rules) + f" ELSE '{otherwise}' END"
 
 
@@ -54,7 +54,7 @@ def chinese_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.col("place").cast("bigint").alias("place"), read(T.chinese_to_int(F.col("said"))).alias("n"), read(T.chapter_number(F.col("title"))).alias("chapter"), T.chapter_sort_key(F.col("title")).cast("bigint").alias("sort_key"))
 
 
-@query("keyword_classes", f"SELECT word, n, {_rules_sql('s', T.RELATION_CLASSES, 'other')} AS class, {_rules_sql('s', T.RELATION_TYPES, '其他')} AS type, {_rules_sql('s', T.EVENT_TYPES, '情节')} AS event, {_rules_sql('s', T.STEP_ROUTES, 'all')} AS route, {_rules_sql('s', T.PORTRAIT_ROLES, 'supporting')} AS portrait FROM (SELECT word, count(*) AS n, {in_han_sql('word')} AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word)")
+@query("keyword_classes", f"SELECT word, n, {rules_sql('s', T.RELATION_CLASSES, 'other')} AS class, {rules_sql('s', T.RELATION_TYPES, '其他')} AS type, {rules_sql('s', T.EVENT_TYPES, '情节')} AS event, {rules_sql('s', T.STEP_ROUTES, 'all')} AS route, {rules_sql('s', T.PORTRAIT_ROLES, 'supporting')} AS portrait FROM (SELECT word, count(*) AS n, {in_han_sql('word')} AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word)")
 def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered keyword rules over relations, events, steps and roles: every
     word of the conversations, in Han characters."""
@@ -233,3 +233,10 @@ def impurity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda profile: F.size(F.filter("lines", lambda line: T.is_impurity(line, profile))).cast("bigint")
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines"))
     return docs.select("doc_id", F.size("lines").cast("bigint").alias("n"), count(T.ZH).alias("upload"), count(T.ZH_CLI).alias("cli"))
+
+
+@query("text_hashes", "SELECT doc_id, md5(text) AS file_hash, sha1(source || '|' || lang) AS member_key, sha256(text) AS checksum FROM documents WHERE text IS NOT NULL")
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of files, of members and of contents."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.md5("text").alias("file_hash"), F.sha1(F.concat_ws("|", "source", "lang")).alias("member_key"), F.sha2("text", 256).alias("checksum"))

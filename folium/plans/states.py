@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from folium.functions import text as T
 from folium.operators import rollups, state, storage
 from folium.operators.storage import shared_path
+from folium.plans.functions import in_han, in_han_sql, rules_sql
 from folium.registry import query, table
 
 
@@ -22,6 +23,20 @@ def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.page(chosen, 2, 50, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id", "event_type", "value", "total")
 
 
+@query("audit_filters", "SELECT *, count(*) OVER () AS total FROM (SELECT event_id, user_id, CASE WHEN (props->>'$.k')::INT >= 50 THEN 'ok' ELSE 'failed' END AS status FROM events WHERE event_type = 'click' AND user_id BETWEEN 10 AND 19 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25' ORDER BY ts DESC, event_id DESC) WHERE status = 'failed'")
+def audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows by action, users, status and time at once, with their number."""
+    log = _events(spark, sf_dir).withColumn("status", F.when(F.get_json_object("props", "$.k").cast("int") >= 50, "ok").otherwise("failed")).where("user_id BETWEEN 10 AND 19")
+    chosen = state.audited(log, action=("event_type", "click"), status=("status", "failed"), at="ts", since="2024-01-03 00:00:00", until="2024-01-25 00:00:00")
+    return chosen.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("total")))).select("event_id", "user_id", "status", "total")
+
+
+@query("first_seen_mode", "SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_at) AS p FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_at FROM events GROUP BY ALL)) WHERE p = 1")
+def first_seen_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user does most; of equals, what they did first."""
+    return state.first_seen_mode(_events(spark, sf_dir), "user_id", "event_type", "event_id")
+
+
 @query("audit_retention", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000")
 def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.recent(_events(spark, sf_dir), 10_000, F.desc("ts"), F.desc("event_id")).select("event_id", "event_type")
@@ -94,12 +109,13 @@ def latest_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.latest(_events(spark, sf_dir), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).where("value >= 0.5").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
-@query("event_dedup", "SELECT left(text, 30) AS event, min(doc_id) AS first_id, row_number() OVER (ORDER BY min(doc_id), left(text, 30)) - 1 AS number, '情节' AS kind FROM documents GROUP BY 1")
+@query("event_dedup", f"SELECT left(text, 30) AS event, min(doc_id) AS first_id, row_number() OVER (ORDER BY min(doc_id), left(text, 30)) - 1 AS number, {rules_sql(in_han_sql("string_split_regex(left(text, 30), '\\s+')[1]"), T.EVENT_TYPES, "情节")} AS kind FROM documents GROUP BY left(text, 30)")
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that begin alike are one event, of the first chapter it is in;
-    numbers come from ranges that are counted first, not from one task."""
+    numbers come from ranges that are counted first, not from one task.  The
+    first word, in Han characters, tells its class."""
     first = table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 30).alias("event")).agg(F.min("doc_id").alias("first_id"))
-    return storage.numbered(first, "first_id", "event").select("event", "first_id", "number", T.event_type(F.col("event")).alias("kind"))
+    return storage.numbered(first, "first_id", "event").select("event", "first_id", "number", T.event_type(in_han(F.split("event", "\\s+")[0])).alias("kind"))
 
 
 @query("timeline", "SELECT user_id, list_sort(list(event_type || ' ' || event_id ORDER BY ts, event_id)[:10]) AS first_events, count(*) AS n FROM events GROUP BY user_id")

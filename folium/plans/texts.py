@@ -279,9 +279,9 @@ def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("volume_range_join", f"WITH c AS ({CHAPTERS}), v AS (SELECT book, position // 50 + 1 AS volume, min(position) + 1 AS first_number, max(position) + 1 AS last_number FROM c GROUP BY ALL) SELECT c.book, doc_id, min(volume) AS volume FROM c LEFT JOIN v ON c.book = v.book AND position + 1 BETWEEN first_number AND last_number GROUP BY c.book, doc_id")
 def volume_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = chapters(spark, sf_dir).select("book", "doc_id", "position")
-    volumes = every.withColumnRenamed("book", "of_book").groupBy("of_book", (F.expr("position div 50") + 1).alias("volume")).agg((F.min("position") + 1).alias("first_number"), (F.max("position") + 1).alias("last_number"))
-    inside = (F.col("book") == F.col("of_book")) & (F.col("position") + 1).between(F.col("first_number"), F.col("last_number"))
-    return every.join(volumes, inside, "left").groupBy("book", "doc_id").agg(F.min("volume").alias("volume"))
+    volumes = every.groupBy("book", (F.expr("position div 50") + 1).alias("volume")).agg((F.min("position") + 1).alias("first_number"), (F.max("position") + 1).alias("last_number"))
+    found = storage.within_ranges(every.withColumn("number", F.col("position") + 1), volumes, "book", "number", "first_number", "last_number")
+    return found.groupBy("book", "doc_id").agg(F.min("volume").alias("volume"))
 
 
 @query("affected_volumes", f"WITH c AS ({CHAPTERS}) SELECT book, position // 50 + 1 AS volume, count(*) AS n_changed FROM c JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY ALL")

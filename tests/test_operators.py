@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folium.functions.profiles import ZH
-from folium.operators import building, graph, research, segment, sketches, state, storage, vectors
+from folium.operators import building, graph, research, retrieval, segment, sketches, state, storage, vectors
 from folium.sources import files, sinks
 from folium.streaming import streams
 
@@ -295,6 +295,54 @@ def test_pairs_verified_by_sets(spark):
     assert sketches.verified_pairs(docs, pairs.limit(0), "id").isEmpty()
 
 
+def test_points_within_ranges(spark):
+    rng = random.Random(5)
+    points = [(k % 3 and "a", k, rng.randrange(-40, 400)) for k in range(120)] + [(None, 900, 5), ("a", 901, None)]
+    ranges = [("a", lo, lo + rng.randrange(-3, 120)) for lo in (rng.randrange(-50, 350) for _ in range(40))] + [("b", 0, 9), (None, 0, 9), ("a", 7, 7), ("a", 7, 7)]
+    points = [(str(g) if g is not None else None, k, x) for g, k, x in points]
+    left, right = spark.createDataFrame(points, "g string, id int, x int"), spark.createDataFrame(ranges, "g string, low int, high int")
+    got = Counter((r.id, r.low, r.high) for r in storage.within_ranges(left, right, "g", "x", "low", "high", width=16).collect())
+    want = Counter()
+    for g, k, x in points:
+        hits = [(k, lo, hi) for h, lo, hi in ranges if g is not None and g == h and x is not None and lo <= x <= hi]
+        want.update(hits or [(k, None, None)])
+    assert got == want
+    assert storage.within_ranges(left, right.limit(0), "g", "x", "low", "high").count() == len(points) and storage.within_ranges(left.limit(0), right, "g", "x", "low", "high").isEmpty()
+
+
+def test_first_seen_mode(spark):
+    rows = [("u", "b", 1), ("u", "a", 2), ("u", "b", 3), ("u", "a", 4), ("v", None, 1), ("v", None, 2), ("v", "z", 3), (None, "q", 1), ("w", None, 1), ("x", "d", None), ("x", "c", None), ("x", "e", 9)]
+    frame = spark.createDataFrame(rows, "who string, what string, at int")
+    assert {tuple(r) for r in state.first_seen_mode(frame, "who", "what", "at").collect()} == {("u", "b", 2), ("v", "z", 1), (None, "q", 1), ("x", "e", 1)}
+    assert state.first_seen_mode(frame.limit(0), "who", "what", "at").isEmpty()
+
+
+def test_audited(spark):
+    rows = [(1, "login", "a", "ok", "2024-01-01"), (2, "login", "a", "failed", "2024-01-02"), (3, "save", "a", "ok", "2024-01-03"), (4, None, None, None, None), (5, "login", "b", "ok", "2024-01-03")]
+    log = spark.createDataFrame(rows, "id int, action string, who string, status string, day string").withColumn("ts", F.to_timestamp("day"))
+    ids = lambda **how: sorted(r.id for r in state.audited(log, **how).collect())
+    assert ids() == [1, 2, 3, 4, 5] and ids(action=("action", "login")) == [1, 2, 5] and ids(user=("who", "a"), status=("status", "ok")) == [1, 3]
+    assert ids(since="2024-01-02 00:00:00") == [2, 3, 5] and ids(since="2024-01-02 00:00:00", until="2024-01-02 00:00:00") == [2]
+
+
+def test_chapters_by_number(spark):
+    chapters = spark.createDataFrame([("b", 0, 7), ("b", 1, None), ("b", 2, 7), ("b", 3, 2), ("c", 0, None)], "book string, position int, title_number int")
+    asked = spark.createDataFrame([("b", 7), ("b", 7), ("b", 2), ("b", 3), ("b", 9), ("c", 1), ("d", 1), (None, 1), ("c", None)], "book string, number int")
+    got = sorted(map(tuple, retrieval.by_number(chapters, asked).collect()))
+    assert got == [("b", 2, 3), ("b", 3, 2), ("b", 7, 0), ("b", 9, None), ("c", 1, 0), ("d", 1, None)]
+    assert retrieval.by_number(chapters, asked.limit(0)).isEmpty() and retrieval.by_number(chapters.limit(0), asked).where("position IS NOT NULL").isEmpty()
+
+
+def test_vault_of_books(spark):
+    rows = [("a/b", 0, "One", "s1"), ("a/b", 1, None, "s2"), ("a/b", 2, "Three", None), ("c", 0, "", "")]
+    chapters = spark.createDataFrame(rows, "book string, position int, title string, summary string").withColumn("page", F.lit("x"))
+    got = {r.page: r.body for r in building.vault(chapters, size=2, parts=1).collect()}
+    assert sorted(got) == ["a_b", "a_b 1", "a_b 2", "a_b 3", "a_b part 2", "a_b v1", "a_b v2", "c", "c 1", "c v1"]
+    assert got["a_b 2"] == "# \nvolume: [[a_b v1]]\nback: [[a_b 1]]\non: [[a_b 3]]\ns2" and got["a_b 3"] == "# Three\nvolume: [[a_b v2]]\nback: [[a_b 2]]\n"
+    assert got["a_b v1"] == "# a_b v1\n- [[a_b 1]]: One\n- [[a_b 2]]: " and got["a_b"] == "# a_b\n- [[a_b v1]]: 2" and got["a_b part 2"] == "# a_b part 2\n- [[a_b v2]]: 1"
+    assert building.vault(chapters.limit(0)).isEmpty()
+
+
 def test_build_tables_round_trip(spark, tmp_path):
     path = str(tmp_path / "g")
     nodes = spark.createDataFrame([("a", "lead", 3), ("b", "side", 1)], "name string, role string, mention_count int")
