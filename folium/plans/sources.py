@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.operators.storage import shared_path
+from folium.operators.storage import cut_lineage, shared_path
 from folium.plans.graphs import _seen, seen
 from folium.registry import query, table
 from folium.sources import sinks, tiers
@@ -21,7 +21,7 @@ _last = f"SELECT *, max(chapter) OVER () AS last FROM ({_seen})"
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    rows, path = seen(spark, sf_dir), shared_path(spark, "tiers")
+    rows, path = cut_lineage(seen(spark, sf_dir)), shared_path(spark, "tiers")
     tiers.write_tiers(rows, path, HOT, WIDTH)
     return path, rows.agg(F.max("chapter")).first()[0] or 0
 

@@ -25,25 +25,32 @@ COLUMNS = {"source": pa.string(), "target": pa.string(), "relation": pa.string()
 PACK = 64 << 20
 #: The hot tier holds at least so many of the latest chapters.
 HOT = 50
+#: Folders of the cold tier, or more where one would hold more than so many rows.
+FOLDERS, ROWS = 256, 500_000
 
 
 def write_tiers(relations: DataFrame, path: str, hot: int = HOT, width: int = 10, salts: int = 1) -> None:
     """Writes relations (source, target, relation, chapter, place) as two
     tiers, their chapters in buckets of so many.  The hot one begins with the
-    bucket that holds the first of the latest chapters.  salts: files of a
-    bucket, for buckets that are large.
+    bucket that holds the first of the latest chapters.  Where the cold tier
+    has very many buckets, several in a row lie in the folder of their first,
+    so that the folders grow with the rows and not with the chapters.  salts:
+    files of a bucket, for buckets that are large.
 
     Defined results: rows without chapter are cold; repeated rows are kept; an
     empty table makes a folder without tiers; other columns aren't kept."""
-    last = relations.agg(F.max("chapter")).first()[0]
+    n, start, last = relations.agg(F.count("*"), F.min("chapter"), F.max("chapter")).first()
     first = None if last is None else (last - hot + 1) // width
+    step = 1 if last is None else max(1, -(-(first - start // width) // max(FOLDERS, n // ROWS)))
     bucket = F.floor(F.col("chapter") / width)
     rows = relations.select(*(F.col(c).cast("string" if pa.types.is_string(t) else "bigint").alias(c) for c, t in COLUMNS.items()))
-    rows = rows.withColumn("tier", F.when(bucket >= F.lit(first), "hot").otherwise("cold")).withColumn("bucket", F.coalesce(bucket, F.lit(-1)))
+    rows = rows.withColumn("tier", F.when(bucket >= F.lit(first), "hot").otherwise("cold"))
+    rows = rows.withColumn("bucket", F.coalesce(F.when(F.col("tier") == "hot", bucket).otherwise(F.floor(bucket / step) * step), F.lit(-1)))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("source", "target", "place"), F.lit(salts))).repartition("bucket", "_salt").drop("_salt")
     dealt.write.partitionBy("tier", "bucket").parquet(path)
-    out = spark_path(relations.sparkSession, f"{path}/width={width}")
-    out.getFileSystem(relations.sparkSession._jsc.hadoopConfiguration()).mkdirs(out)
+    for mark in (f"width={width}", f"step={step}"):
+        out = spark_path(relations.sparkSession, f"{path}/{mark}")
+        out.getFileSystem(relations.sparkSession._jsc.hadoopConfiguration()).mkdirs(out)
 
 
 def spark_path(spark: SparkSession, path: str):
@@ -72,6 +79,11 @@ def width_of(names: list[str]) -> int:
     return next(int(n[6:]) for n in names if n.startswith("width="))
 
 
+def step_of(names: list[str]) -> int:
+    """Buckets in a row that a folder of the cold tier may hold."""
+    return next((int(n[5:]) for n in names if n.startswith("step=")), 1)
+
+
 @dataclass
 class Files(InputPartition):
     tier: str
@@ -121,14 +133,16 @@ class TierReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, base = pyarrow.fs.FileSystem.from_uri(self.path)
-        width = width_of([f.base_name for f in fs.get_file_info(pyarrow.fs.FileSelector(base))])
+        names = [f.base_name for f in fs.get_file_info(pyarrow.fs.FileSelector(base))]
+        width = width_of(names)
         low = None if self.low is None else self.low // width
         high = None if self.high is None else self.high // width
         hot = self._listed(self.path, "hot")
         covered = low is not None and hot and low >= min(b for b, _, _ in hot)
         out = []
         for tier, files in (("hot", hot), ("cold", [] if covered else self._listed(self.cold, "cold"))):
-            wanted = [f for f in files if low is None and high is None or f[0] >= 0 and (low is None or f[0] >= low) and (high is None or f[0] <= high)]
+            more = step_of(names) - 1 if tier == "cold" else 0
+            wanted = [f for f in files if low is None and high is None or f[0] >= 0 and (low is None or f[0] + more >= low) and (high is None or f[0] <= high)]
             pack, size = [], 0
             for _, n, path in sorted(wanted):
                 if pack and size + n > PACK:

@@ -75,6 +75,21 @@ def test_cooling_moves_whole_buckets(spark, tmp_path):
     assert planned(path, GreaterThanOrEqual(("chapter",), 160))[0] == {"hot", "cold"}
 
 
+def test_many_buckets_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiers, "FOLDERS", 4)
+    frame, rows = relations(spark)
+    path = str(tmp_path / "tiers")
+    tiers.write_tiers(frame, path, hot=25, width=2)
+    assert len([x for x in (tmp_path / "tiers" / "tier=cold").iterdir() if x.is_dir()]) <= 6  # with that of no chapter
+    every = lambda: tiers.read_tiers(spark, path)
+    assert read(every()) == sorted(rows, key=repr)
+    assert {r.chapter for r in every().where("tier = 'hot'").collect()} == set(range(174, 200))
+    for low, high in ((0, 3), (37, 121), (171, 176), (180, 199), (45, 45)):
+        assert read(every().where(F.col("chapter").between(low, high))) == sorted((r for r in rows if r[3] is not None and low <= r[3] <= high), key=repr), low
+    assert tiers.cool(spark, path, 190) == 8
+    assert read(every().where("chapter BETWEEN 169 AND 193")) == sorted((r for r in rows if r[3] is not None and 169 <= r[3] <= 193), key=repr)
+
+
 def test_no_relations(spark, tmp_path):
     frame, _ = relations(spark)
     tiers.write_tiers(frame.limit(0), str(tmp_path / "tiers"))
