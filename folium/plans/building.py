@@ -34,7 +34,7 @@ def simple_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return building.merged_characters(blocks(spark, sf_dir)).select("chapter", "name", "role", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("merged_events", f"SELECT chapter, event, min(block * 1000000 + place) // 1000000 AS block FROM ({_blocks}) GROUP BY chapter, event")
+@query("merged_events", f"SELECT chapter, event, min(block)::BIGINT AS block FROM ({_blocks}) GROUP BY chapter, event")
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return building.merged_events(blocks(spark, sf_dir)).select("chapter", "event", F.col("block").cast("bigint").alias("block"))
 

@@ -308,3 +308,21 @@ def test_recall_of_vector_searches(spark):
     want, got = (QUERIES[n](spark, sf).select("query_id", "vec_id").toPandas() for n in ("knn_join", "lsh_knn"))
     pairs = set(map(tuple, want.itertuples(index=False)))
     assert want.query_id.nunique() == 25 and len(pairs & set(map(tuple, got.itertuples(index=False)))) >= 0.9 * len(pairs)
+
+
+def test_events_of_parts_above_a_million(spark, tmp_path):
+    """The SQL's block is the block whatever the number of the part."""
+    sf, n = str(tmp_path), 1_000_000
+    tables = {
+        "lineitem": ("l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string", [(1, 1, 3 * n + 5, 1, "R"), (1, 2, 7, 1, "N"), (2, 4, 7, 1, "N")]),
+        "part": ("p_partkey bigint, p_name string, p_brand string, p_type string", [(3 * n + 5, "green", "b", "t"), (7, "green", "b", "t")]),
+        "supplier": ("s_suppkey bigint, s_name string", [(1, "S")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{sf}/{name}.parquet")
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["merged_events"](spark, sf).collect()))
+    assert got == [(1, "green", 1), (2, "green", 4)]
+    assert got == sorted(con.execute(ORACLES["merged_events"]).fetchall())
