@@ -85,3 +85,26 @@ def test_recall_and_cost_at_scale(spark):
     index = plans._indexed(spark, sf)
     cost = vector_index.search_cost(index, plans._queries(spark, sf), round(plans.PROBED * index.cells), plans.RERANKED).collect()
     assert len(cost) == 100 and sum(r.scored for r in cost) <= 0.2 * sum(r.entries for r in cost)
+
+
+def test_memory_of_a_search_is_bounded(spark):
+    """A task compares some vectors at a time, however many a batch holds, and
+    finds what it would among all."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v, ids = rng.normal(size=(20_000, 8)), np.arange(0, 20_000, 20)
+    v[5000:5010] = v[0]  # ties go to the smallest id
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(list(v)), pa.array([""] * len(v))], names=["vec_id", "embedding", "part"])
+    run = vectors._best_of(ids, v[ids], np.array([""] * len(ids)), 5, "vec_id", None)
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter([batch])))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # the matrix of all pairs alone is 160 MB
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in (0, 40, 19_980):
+        far = np.round(1 - unit @ unit[q], 9)
+        assert list(got[got.query_id == q].vec_id) == list(np.lexsort((np.arange(len(v)), far))[:5]), q
