@@ -326,3 +326,16 @@ def test_events_of_parts_above_a_million(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["merged_events"](spark, sf).collect()))
     assert got == [(1, "green", 1), (2, "green", 4)]
     assert got == sorted(con.execute(ORACLES["merged_events"]).fetchall())
+
+
+def test_pieces_of_the_trade_grow_with_its_rows(spark, monkeypatch):
+    """A task sorts a bounded number of rows, and the edges stay the same."""
+    from folium.operators import storage
+    from folium.plans import graphs
+
+    sf = "/root/testdata/sf0.001"
+    before = sorted(map(tuple, graphs.trade(spark, sf).collect()))
+    monkeypatch.setattr(storage, "PIECE", 700)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert graphs.seen_by_pair(spark, sf).rdd.getNumPartitions() == storage.piece_count(spark.read.parquet(f"{sf}/lineitem.parquet")) == -(-lines // 700)
+    assert sorted(map(tuple, graphs.trade(spark, sf).collect())) == before
