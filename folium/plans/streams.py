@@ -58,13 +58,22 @@ def chapter_entries(chapters: DataFrame) -> DataFrame:
     return chapters.select("doc_id", F.col("source").alias("book"), F.split(text, "\n")[0].alias("title"), F.char_length(text).cast("bigint").alias("n_chars"), F.size(F.split(text, "\n")).cast("bigint").alias("n_lines"))
 
 
+#: Batches that the chapters land for, and the rows of one file.
+BATCHES, LANDED = 4, 10_000
+
+
+def files_of_a_batch(docs: DataFrame) -> int:
+    return max(1, -(-docs.count() // (BATCHES * LANDED)))
+
+
 @query("paused_build", "SELECT doc_id, source AS book, split_part(coalesce(text, ''), chr(10), 1) AS title, length(coalesce(text, ''))::BIGINT AS n_chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS n_lines FROM documents")
 def paused_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A build that is paused after its first batch and resumed."""
     landing, path = shared_path(spark, "chapters"), shared_path(spark, "build")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    docs.repartition(4, "doc_id").write.parquet(landing)
-    build = Build(spark, path.rsplit("/", 1)[-1], lambda: spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(landing), chapter_entries, path)
+    each = files_of_a_batch(docs)
+    docs.repartition(BATCHES * each, "doc_id").write.parquet(landing)
+    build = Build(spark, path.rsplit("/", 1)[-1], lambda: spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", each).parquet(landing), chapter_entries, path)
     build.start()
     build.wait_for_batches(1)
     build.pause()

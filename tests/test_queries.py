@@ -339,3 +339,17 @@ def test_pieces_of_the_trade_grow_with_its_rows(spark, monkeypatch):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert graphs.seen_by_pair(spark, sf).rdd.getNumPartitions() == storage.piece_count(spark.read.parquet(f"{sf}/lineitem.parquet")) == -(-lines // 700)
     assert sorted(map(tuple, graphs.trade(spark, sf).collect())) == before
+
+
+def test_files_of_a_build_grow_in_number(spark, monkeypatch):
+    """A batch of a paused build is of so many files as keep each small."""
+    from folium.plans import streams
+
+    sf, dealt = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(streams, "LANDED", 10)
+    real = streams.Build
+    monkeypatch.setattr(streams, "Build", lambda s, name, chapters, *rest: dealt.append(chapters) or real(s, name, chapters, *rest))
+    got = {(r.doc_id, r.n_chars) for r in QUERIES["paused_build"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert streams.files_of_a_batch(docs) == -(-docs.count() // 40) > 1 and len(dealt) == 1
+    assert got == {(r.doc_id, len(r.text or "")) for r in docs.collect()}
