@@ -108,3 +108,17 @@ def test_memory_of_a_search_is_bounded(spark):
     for q in (0, 40, 19_980):
         far = np.round(1 - unit @ unit[q], 9)
         assert list(got[got.query_id == q].vec_id) == list(np.lexsort((np.arange(len(v)), far))[:5]), q
+
+
+def test_pairs_alike_are_all_pairs(spark, monkeypatch):
+    """Pairs within and between blocks, each once, of one part only; nothing
+    is left to chance, at a threshold where planes find a part."""
+    monkeypatch.setattr(vectors, "ALIKE", 20)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(150, 6))
+    v[7] = 0
+    rows = [(k, k % 2, [float(x) for x in v[k]]) for k in range(150)] + [(150, 0, None), (151, None, [1.0] * 6)]
+    got = [tuple(r) for r in vectors.alike(spark.createDataFrame(rows, "vec_id int, label int, embedding array<double>"), 0.3, part_col="label").collect()]
+    size = np.linalg.norm(v, axis=1)
+    want = {(a, b) for a in range(150) for b in range(a + 2, 150, 2) if size[a] * size[b] and v[a] @ v[b] / (size[a] * size[b]) >= 0.3}
+    assert len(got) == len(set(got)) and set(got) == want
