@@ -1,8 +1,10 @@
+import hashlib
 import math
 import random
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,6 +145,55 @@ def test_simhash_pairs_are_all_pairs(spark):
     assert got == {(i, j) for i in ids for j in ids if i < j and (values[i] ^ values[j]).bit_count() <= 3}
 
 
+def test_hashes_by_remembered_grams(monkeypatch):
+    """Hashes as from each gram alone, also where a task forgets grams."""
+    monkeypatch.setattr(sketches, "GRAMS", 64)
+    monkeypatch.setattr(sketches, "TOGETHER", 16)
+    sketches._votes.cache_clear(), sketches._permuted.cache_clear()
+    a, b, prime = (np.array(x, dtype=object) for x in sketches._hashes(128, 1))
+    rng = random.Random(3)
+    for text in ["", None, "ab", "a\ud800bcd", "x\U0001f600yz and more", *("".join(rng.choices("abcdé 萧炎\n", k=80)) for _ in range(12))]:
+        grams = sketches._grams(text or "")
+        h = [int.from_bytes(hashlib.sha1(g.encode("utf-8", "surrogatepass")).digest()[:4], "little") for g in set(grams)]
+        assert sketches.minhash_of(text).tolist() == [min((x * p + q) % int(prime) & 0xFFFFFFFF for x in h) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+        bits = [int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[8:]) for g in grams]
+        assert sketches.simhash_of(text) == sum(1 << k for k in range(64) if sum(1 if x >> k & 1 else -1 for x in bits) > 0)
+    sketches._votes.cache_clear(), sketches._permuted.cache_clear()
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.85])
+def test_minhash_pairs_are_all_that_agree(spark, threshold):
+    """Every pair above the threshold, however the places that differ lie, and
+    few others reach the whole signatures."""
+    rng = np.random.default_rng(4)
+    first, most = rng.integers(0, 1 << 32, 128), sketches.most_apart(threshold)
+    rows = [first.copy() for _ in range(40)]
+    for row in rows[1:]:  # apart by about the most that is allowed, evenly or in runs
+        n = most + int(rng.integers(-2, 3))
+        at = rng.choice(128, n, replace=False) if rng.random() < 0.5 else (int(rng.integers(128)) + np.arange(n)) % 128
+        row[at] = rng.integers(0, 1 << 32, n)
+    rows += [rows[0].copy(), rng.integers(0, 1 << 32, 128)]
+    made = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(rows)], "k bigint, signature array<bigint>")
+    share = {(i, j): float((rows[i] == rows[j]).mean()) for j in range(42) for i in range(j) if j != 40}
+    assert {(r.a, r.b): r.estimate for r in sketches.minhash_pairs(made, "k", threshold).collect()} == {p: s for p, s in share.items() if s > threshold}
+    # texts of one language agree in a sixth of their places
+    some = np.where(rng.random((600, 128)) < 0.4, rng.integers(0, 1 << 32, 128), rng.integers(0, 1 << 32, (600, 128)))
+    met = [len(c) for column in sketches.minhash_keys(some, most).T for c in [np.unique(column)]]
+    assert sum(600 - n for n in met) < 600
+
+
+def test_first_kept_against_a_plain_pass(spark):
+    rng = random.Random(9)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(k, k + 1) for k in range(60, 75)}
+    kept: set[int] = set()
+    for k in range(80):
+        if not any((a, k) in pairs for a in kept):
+            kept.add(k)
+    frame = spark.createDataFrame([*pairs, (7, 7), (3, 99), (99, 4)], "a int, b int")
+    got = sketches.first_kept(spark.range(80).select(F.col("id").cast("int").alias("k")), frame, "k").collect()
+    assert {r.k: r.kept for r in got} == {k: k in kept for k in range(80)} and len(got) == 80
+
+
 def test_first_kept(spark):
     order = spark.createDataFrame([(i,) for i in range(6)], "k int")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (2, 4)], "a int, b int")
