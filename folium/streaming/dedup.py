@@ -2,182 +2,101 @@
 text against those that were kept before it, as one pass in order of arrival
 would decide.
 
-The memory is keyed state, a key for each value of a band, so that a text asks
-and tells only the keys of its own bands; signatures are kept once, under
-their text, where candidates are checked.  What is forgotten is up to a time to
-live.  Who is kept depends on who was kept before, so the pairs of a
-micro-batch are decided together, against the decisions of earlier ones, and
-written under the batch's number: a batch that runs again writes the same."""
+The stream hashes texts; a micro-batch meets the memory of those kept before by
+the keys of its hashes, in joins, as within itself.  The memory is a table, a
+folder for each micro-batch: the hashes of what SimHash kept and when.  Only
+texts that were kept can make a later one go, so no others are remembered.
+What is forgotten is up to a time to live.  Who is kept depends on who was kept
+before, so a micro-batch is decided together and written under its number: a
+batch that runs again writes the same."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from folium.operators.sketches import BITS, first_kept, first_kept_in_classes, minhash_of, simhash_of
+from folium.operators.sketches import first_kept_in_classes, minhash_hits, minhash_of, minhash_pairs, simhash_hits, simhash_of, simhash_pairs
 from folium.operators.storage import cut_lineage, discard
 
-SIMHASH, MINHASH, ARRIVAL = 0, 1, 2
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PAIR = "kind int, number bigint, other bigint, simhash bigint, signature binary"
-PAIR = Row("kind", "number", "other", "simhash", "signature")
+_HASHED = "number bigint, simhash bigint, signature array<bigint>"
 
 
-def with_bands(docs: DataFrame, number: str, text: str, most: int = 3, bands: int = 32) -> DataFrame:
-    """``kind, band, number, simhash, signature``: a row for each band of the
-    SimHash (most + 1 of them) and of the MinHash."""
-    width = BITS // (most + 1)
+def hashed(docs: DataFrame, number: str, text: str) -> DataFrame:
+    """``number, simhash, signature`` of texts with a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                simhash, signature = simhash_of(t), minhash_of(t).astype("<u4")
-                signed = simhash - (1 << 64) if simhash >> 63 else simhash
-                rows += [(SIMHASH, f"{k}:{simhash >> width * k & (1 << width) - 1}", n, signed, None) for k in range(most + 1)]
-                per = len(signature) // bands
-                rows += [(MINHASH, f"{k}:{signature[k * per : (k + 1) * per].tobytes().hex()}", n, signed, signature.tobytes()) for k in range(bands)]
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["kind", "band", "number", "simhash", "signature"])
+            texts = batch.column(1).to_pylist()
+            simhash = [h - (1 << 64) if (h := simhash_of(t)) >> 63 else h for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhash, pa.int64()), pa.array([minhash_of(t) for t in texts], pa.list_(pa.int64()))], names=["number", "simhash", "signature"])
 
     known = docs.select(F.col(number).cast("bigint").alias("number"), F.col(text).alias("text")).where("number IS NOT NULL")
-    return known.mapInArrow(run, "kind int, band string, number bigint, simhash bigint, signature binary")
-
-
-class Bands(StatefulProcessor):
-    """The texts seen under one value of a band, the first of each SimHash.
-    Gives out pairs with those that may be alike, and each text once."""
-
-    def __init__(self, most: int, ttl_ms: int) -> None:
-        self.most, self.ttl_ms = most, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "simhash bigint", "number bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kind, band = key
-        seen = {k[0]: v[0] for k, v in self.seen.iterator()} if self.seen.exists() else {}
-        first = band.startswith("0:")  # what is told once for each text
-        for row in sorted(rows, key=lambda r: r.number):
-            if kind == SIMHASH and first:
-                yield PAIR(ARRIVAL, row.number, None, row.simhash, None)
-            if row.simhash in seen:
-                if kind == SIMHASH:
-                    yield PAIR(kind, row.number, seen[row.simhash], row.simhash, None)
-                continue
-            if kind == MINHASH and first:  # its own signature, for later texts to be checked against
-                yield PAIR(kind, row.number, row.number, row.simhash, row.signature)
-            for simhash, other in seen.items():
-                if kind == MINHASH or ((simhash ^ row.simhash) & (1 << 64) - 1).bit_count() <= self.most:
-                    yield PAIR(kind, row.number, other, row.simhash, row.signature)
-            seen[row.simhash] = row.number
-            self.seen.updateValue((row.simhash,), (row.number,))
-
-    def close(self) -> None:
-        pass
-
-
-class Signatures(StatefulProcessor):
-    """The signature of one text; lets those pairs with it through whose
-    signatures agree in more than a share of their places."""
-
-    def __init__(self, threshold: float, ttl_ms: int) -> None:
-        self.threshold, self.ttl_ms = threshold, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.own = handle.getValueState("signature", "signature binary", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked, own = [], None
-        for row in rows:
-            if row.kind != MINHASH:
-                yield PAIR(row.kind, row.number, row.other, row.simhash, None)
-            elif row.number == row.other:
-                own = row.signature
-                self.own.update((own,))
-            else:
-                asked.append(row)
-        if asked and own is None and self.own.exists():
-            own = self.own.get()[0]
-        mine = np.frombuffer(own, "<u4") if own is not None else None  # None: forgotten meanwhile
-        for row in asked:
-            if mine is not None and (np.frombuffer(row.signature, "<u4") == mine).mean() > self.threshold:
-                yield PAIR(row.kind, row.number, row.other, row.simhash, None)
-
-    def close(self) -> None:
-        pass
-
-
-def near_pairs(docs: DataFrame, number: str = "number", text: str = "text", most: int = 3, threshold: float = 0.85, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
-    """``kind, number, other``: of a stream of texts, each text once (ARRIVAL,
-    other null) and its pairs with earlier ones that are alike by SimHash or
-    MinHash, some of them more than once."""
-    banded = with_bands(docs, number, text, most)
-    met = banded.groupBy("kind", "band").transformWithState(Bands(most, ttl_ms), _PAIR, "Append", "ProcessingTime")
-    checked = met.withColumn("holder", F.coalesce("other", "number")).groupBy("holder").transformWithState(Signatures(threshold, ttl_ms), _PAIR, "Append", "ProcessingTime")
-    return checked.select("kind", "number", "other", "simhash")
-
-
-def decided(batch: DataFrame, before: DataFrame) -> DataFrame:
-    """``number, unlike, kept, reason`` of the texts of a micro-batch.
-    unlike: kept by SimHash, whatever MinHash says; before: the decisions of
-    earlier batches."""
-    texts = cut_lineage(batch.where(F.col("kind") == ARRIVAL).select("number", "simhash").distinct().join(before.select("number"), "number", "left_anti"), "texts")
-    found = cut_lineage(batch.where(F.col("kind") != ARRIVAL).select("kind", "number", "other").distinct().join(texts.select("number"), "number", "left_semi"), "pairs")
-
-    def hit(kind: int, kept: str) -> DataFrame:
-        """Texts that an earlier batch holds a kept partner of."""
-        return found.where(F.col("kind") == kind).join(before.where(kept).select(F.col("number").alias("other")), "other", "left_semi").select("number").distinct()
-
-    def own(kind: int, left: DataFrame) -> DataFrame:
-        pairs = found.where(F.col("kind") == kind).select(F.col("number").alias("a"), F.col("other").alias("b")).where("a <> b")
-        return pairs.join(left.select(F.col("number").alias("a")), "a", "left_semi").join(left.select(F.col("number").alias("b")), "b", "left_semi")
-
-    left = texts.join(hit(SIMHASH, "unlike"), "number", "left_anti")
-    first = left.groupBy("simhash").agg(F.min("number").alias("first_id"))
-    unlike = first_kept_in_classes(left.join(first, "simhash").select("number", "first_id"), own(SIMHASH, left), "number")
-    rest = cut_lineage(unlike.where("kept").select("number").join(hit(MINHASH, "kept"), "number", "left_anti"), "rest")
-    kept = first_kept(rest, own(MINHASH, rest), "number").where("kept").select("number", F.lit(True).alias("kept"))
-    both = texts.select("number").join(unlike.select("number", F.col("kept").alias("unlike")), "number", "left").join(kept, "number", "left")
-    both = both.select("number", F.coalesce("unlike", F.lit(False)).alias("unlike"), F.coalesce("kept", F.lit(False)).alias("kept"))
-    made = cut_lineage(both.withColumn("reason", F.when(~F.col("unlike"), "simhash").when(~F.col("kept"), "minhash")), "decided")
-    discard(texts, found, rest)
+    return known.mapInArrow(run, _HASHED)
+
+
+def decided(texts: DataFrame, memory: DataFrame, most: int, threshold: float) -> DataFrame:
+    """``number, simhash, signature, unlike, kept`` of the texts of a
+    micro-batch.  unlike: kept by SimHash, whatever MinHash says; memory:
+    (number, simhash, signature, kept) of the unlike ones of earlier batches."""
+    left = cut_lineage(texts.join(simhash_hits(texts.select("number", "simhash"), memory, "number", most), "number", "left_anti"), "left")
+    members = left.join(left.groupBy("simhash").agg(F.min("number").alias("first_id")), "simhash").select("number", "first_id")
+    unlike = first_kept_in_classes(members, simhash_pairs(left, "number", most), "number").where("kept").select("number")
+    own = cut_lineage(left.join(unlike, "number", "left_semi").select("number", "signature"), "unlike")
+    rest = cut_lineage(own.join(minhash_hits(own, memory.where("kept"), "number", threshold), "number", "left_anti"), "rest")
+    members = rest.join(rest.groupBy("signature").agg(F.min("number").alias("first_id")), "signature").select("number", "first_id")
+    kept = first_kept_in_classes(members, minhash_pairs(rest, "number", threshold), "number").where("kept").select("number", F.lit(True).alias("kept"))
+    both = texts.join(own.select("number", F.lit(True).alias("unlike")), "number", "left").join(kept, "number", "left")
+    made = cut_lineage(both.select("number", "simhash", "signature", F.coalesce("unlike", F.lit(False)).alias("unlike"), F.coalesce("kept", F.lit(False)).alias("kept")), "decided")
+    discard(left, own, rest)
     return made
 
 
 _DECISION = "number bigint, unlike boolean, kept boolean, reason string"
 
 
-def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """What ``dedup_stream`` has decided so far."""
+_MEMORY = _HASHED + ", kept boolean, at timestamp, batch bigint"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], _DECISION + ", batch bigint")
-    return spark.read.schema(_DECISION + ", batch bigint").parquet(path)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
-def dedup_stream(docs: DataFrame, path: str, checkpoint: str, number: str = "number", text: str = "text", **how) -> StreamingQuery:
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """What ``dedup_stream`` has decided so far."""
+    return _table(spark, path, _DECISION + ", batch bigint")
+
+
+def dedup_stream(docs: DataFrame, path: str, checkpoint: str, number: str = "number", text: str = "text", most: int = 3, threshold: float = 0.85, ttl_ms: int = 30 * 86_400_000) -> StreamingQuery:
     """Decides each text of a stream and writes ``number, unlike, kept,
-    reason`` below path, a folder for each micro-batch.  number: the order of
-    arrival, unique; a text whose number has been decided isn't looked at
-    again.  A query that is started again with its checkpoint goes on with the
-    memory of the one before.
+    reason`` below path, a folder for each micro-batch, and the memory below
+    the checkpoint's name with ``-memory``.  number: the order of arrival,
+    unique; a text whose number has been decided isn't looked at again.  A
+    query that is started again with its checkpoint goes on with the memory of
+    the one before.
 
     Defined results: a null text is empty; rows of null number are left out;
     of copies the first stays; texts older than the time to live are forgotten;
     an empty stream decides nothing."""
     spark = docs.sparkSession
+    remembered = checkpoint.rstrip("/") + "-memory"
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        met = cut_lineage(batch, "met")  # the stateful plan runs once
-        made = decided(met, decisions(spark, path).where(F.col("batch") < batch_id))
-        made.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        discard(met, made)
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return near_pairs(docs, number, text, **how).writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(once=True).start()
+        before = decisions(spark, path).where(F.col("batch") < batch_id).select("number")
+        once = batch.groupBy("number").agg(F.min(F.struct("simhash", "signature")).alias("x")).select("number", "x.simhash", "x.signature")
+        new = cut_lineage(once.join(before, "number", "left_anti"), "new")
+        fresh = (F.unix_millis("at") >= F.unix_millis(F.current_timestamp()) - ttl_ms) & (F.col("batch") < batch_id)
+        made = decided(new, _table(spark, remembered, _MEMORY).where(fresh), most, threshold)
+        made.where("unlike").select("number", "simhash", "signature", "kept", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{remembered}/batch={batch_id}")
+        reason = F.when(~F.col("unlike"), "simhash").when(~F.col("kept"), "minhash").alias("reason")
+        made.select("number", "unlike", "kept", reason).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        discard(new, made)
+
+    return hashed(docs, number, text).writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(once=True).start()

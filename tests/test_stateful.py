@@ -58,6 +58,23 @@ def test_dedup_over_a_restart(spark):
     assert {r.batch for r in got} == {0, 1} and {r.reason for r in got} == {None, "simhash", "minhash"}
 
 
+def test_dedup_memory_holds_what_can_make_others_go(spark):
+    """One row for each text that SimHash kept, whatever bands it has, and a
+    text older than the time to live makes none go."""
+    rows = list(enumerate(some_texts()))
+    frame = spark.createDataFrame(rows, "number bigint, text string")
+    path, checkpoint = shared_path(spark, "decisions"), shared_path(spark, "state")
+    in_parts(frame, "number", lambda stream: dedup.dedup_stream(stream, path, checkpoint), 2)
+    unlike = {r.number for r in dedup.decisions(spark, path).where("unlike").collect()}
+    memory = spark.read.parquet(checkpoint + "-memory").collect()
+    assert {r.number for r in memory} == unlike and len(memory) == len(unlike) < len(rows)
+    path, checkpoint = shared_path(spark, "decisions"), shared_path(spark, "state")
+    in_parts(frame, "number", lambda stream: dedup.dedup_stream(stream, path, checkpoint, ttl_ms=-1), 2)
+    parts = {b: [r for r in rows if r[0] in ids] for b in (0, 1) for ids in [{r.number for r in dedup.decisions(spark, path).where(F.col("batch") == b).collect()}]}
+    got = {r.number: (r.kept, r.reason) for r in dedup.decisions(spark, path).collect()}
+    assert all(parts.values()) and got == plain_dedup(parts[0]) | plain_dedup(parts[1])
+
+
 def test_dedup_of_an_empty_stream(spark):
     path = shared_path(spark, "decisions")
     frame = spark.createDataFrame([], "number bigint, text string")
