@@ -8,6 +8,7 @@ from test_operators import edges, modularity
 from folium.operators import graph, upkeep
 from folium.operators.storage import cut_lineage
 from folium.operators.upkeep import Edit, Graph
+from folium.plans import graphs
 
 
 #: Few rounds.
@@ -133,3 +134,21 @@ def test_alias_columns_clash_with_nothing(spark):
     rows = spark.createDataFrame([("x", "kept", "also"), (None, "b", "c")], "name string, canonical string, alias string")
     aliases = spark.createDataFrame([("x", "y")], "alias string, canonical string")
     assert {tuple(r) for r in graph.resolved(rows, "name", aliases).collect()} == {("y", "kept", "also"), (None, "b", "c")}
+
+
+def test_an_edited_graph_is_written_once(spark):
+    """Rounds read the trade from a table, not from the lines it is made of."""
+    g, edit = graphs.heaviest_sales(spark, "/root/testdata/sf0.001")
+    for rows in (*g, *edit[:2]):
+        assert not any("testdata" in f for f in rows.inputFiles())
+
+
+def test_links_are_one_row_with_both_degrees(spark):
+    label = spark.createDataFrame([("p", 0), ("q", 1), ("r", 2), ("s", 3)], "name string, label bigint")
+    held = spark.createDataFrame([(0, "p", 3), (1, "q", 3), (2, "r", 4), (3, "s", 2)], "id bigint, name string, d bigint")
+    links = spark.createDataFrame([(0, 1, 1, 3, 3), (0, 2, 2, 3, 4), (1, 2, 2, 3, 4), (2, 3, 2, 4, 2)], "a bigint, b bigint, w bigint, da bigint, db bigint")
+    moves = spark.createDataFrame([(0, 3)], "old bigint, new bigint")
+    label, links, held = graph.merged_labels(label, links, held, moves)
+    assert {tuple(r) for r in links.collect()} == {(1, 2, 2, 3, 4), (2, 3, 4, 4, 5), (1, 3, 1, 3, 5)}
+    assert {tuple(r) for r in held.collect()} == {(1, "q", 3), (2, "r", 4), (3, "s", 5)}
+    assert {tuple(r) for r in label.collect()} == {("p", 3), ("q", 1), ("r", 2), ("s", 3)}
