@@ -152,3 +152,15 @@ def test_links_are_one_row_with_both_degrees(spark):
     assert {tuple(r) for r in links.collect()} == {(1, 2, 2, 3, 4), (2, 3, 4, 4, 5), (1, 3, 1, 3, 5)}
     assert {tuple(r) for r in held.collect()} == {(1, "q", 3), (2, "r", 4), (3, "s", 5)}
     assert {tuple(r) for r in label.collect()} == {("p", 3), ("q", 1), ("r", 2), ("s", 3)}
+
+
+def test_ranks_of_two_sides_settle_in_few_rounds(spark, monkeypatch):
+    """All edges go between two sides, where plain rounds shrink what is left by
+    the damping only: some 35 tables of four rounds."""
+    rng = random.Random(2)
+    one, two = [f"s{i}" for i in range(12)], [f"c{i}" for i in range(20)]
+    rows = [(x, y, "r", rng.randint(1, 5)) for x in one for y in rng.sample(two, 6)] + [(y, x, "r", rng.randint(1, 5)) for y in two for x in rng.sample(one, 4)]
+    g, tags = make(spark, one + two, rows, ["s0", "c3"]), []
+    monkeypatch.setattr(upkeep, "cut_lineage", lambda df, tag="cut", *by: (tags.append(tag), cut_lineage(df, tag, *by))[1])
+    assert close(upkeep.ranked(g, 0.85), plain_ranks(one + two, rows, ["s0", "c3"], 0.85))
+    assert tags.count("held") < 20
