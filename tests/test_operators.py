@@ -36,6 +36,16 @@ def test_pagerank(spark):
     assert abs(sum(got.values()) - 1) < 1e-6 and got["路人甲"] < 1e-3 and got["赵玖"] > got["岳飞"] > got["韩世忠"] > got["梁红玉"]
 
 
+def test_pagerank_makes_its_edges_once(spark, tmp_path):
+    """What edges are made of is read by one job, however many rounds there are."""
+    read = spark.sparkContext.accumulator(0)
+    made = edges(spark, ("a", "b", "r", 1), ("b", "a", "r", 2), ("b", "c", "r", 1)).rdd.map(lambda r: (read.add(1), r)[1]).toDF("source string, target string, relation string, weight int")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    ranks = graph.pagerank(nodes, made, nodes.where("name = 'a'"), iterations=6)
+    assert ranks.count() == 3 and abs(sum(r["rank"] for r in ranks.collect()) - 1) < 1e-9
+    assert read.value == 3
+
+
 def test_communities(spark):
     pairs = [(f"n{a}", f"n{b}") for block in (range(6), range(7, 13)) for a in block for b in block if a < b] + [("n0", "n7"), ("n6", "n13"), ("n13", "n14")]
     got = {r.name: r.community for r in graph.communities(edges(spark, *((a, b, "r", 1) for a, b in pairs))).collect()}
