@@ -503,3 +503,21 @@ def test_running_sums_and_missing_parts(spark):
     wholes = spark.createDataFrame([(1, 3), (2, 0), (3, 2)], "chapter int, total int")
     done = spark.createDataFrame([(1, 0), (1, 2), (3, 0), (3, 1)], "chapter int, part int")
     assert [tuple(r) for r in storage.missing_parts(wholes, done, "chapter", "total", "part").collect()] == [(1, 1)]
+
+
+def test_jaccard_pairs_write_no_meetings(spark, monkeypatch):
+    """All pairs against plain sets, over several chunks; short texts, white
+    space, characters beyond 16 bits; no table of shingles is written."""
+    rng = random.Random(8)
+    texts = ["", "ab", "a b", "abc", "\U0001f600x\U0001f601y z", "\U0001f600x\U0001f601yzz"] + [" ".join(rng.choice(["thand", "eaux", "und die", "schau"]) for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    texts = list(dict.fromkeys(texts))
+    sets = [{t[i : i + 4] for i in range(len(t) - 3)} or {t} for t in ("".join(x.split()) for x in texts)]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) * 110 >= (len(a) + len(b)) * 10}
+    monkeypatch.setattr(sketches, "CHUNK", 4)
+    monkeypatch.setattr(sketches, "SENT", 3)
+    monkeypatch.setattr(sketches, "MEETINGS", 5)
+    tags, cut = [], sketches.cut_lineage
+    monkeypatch.setattr(sketches, "cut_lineage", lambda df, tag="cut": (tags.append(df.columns), cut(df, tag))[1])
+    got = sketches.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", 10).collect()
+    assert {(r.a, r.b): r.jaccard for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert not any("shingle" in columns for columns in tags)
