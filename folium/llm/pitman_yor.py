@@ -1,11 +1,9 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
-Every context is a Chinese restaurant: frequent words (at least one in
-CONTEXT_SHARE tokens, so at most CONTEXT_SHARE of them) each have their own;
-all rarer words share one for each last byte, so that what ends a sentence is
-told from what doesn't.  A table of a context restaurant is a customer of the
-shared parent, the restaurant of single words, whose base gives half its mass
-to the one unknown word and the rest evenly to the known.
+Every context is a Chinese restaurant of its own.  A table of a context
+restaurant is a customer of the shared parent, the restaurant of single words,
+whose base gives half its mass to the one unknown word and the rest evenly to
+the known.
 
 Seating is sampled by Gibbs sweeps: in a sweep, all customers of a dish leave
 and are seated again one after another (the first SINGLE one at a time, the
@@ -13,18 +11,21 @@ rest in blocks that grow with the number seated) given the tables of the other
 dishes as of the sweep before.  After BURN_IN sweeps, predictive probabilities
 are averaged over SAMPLES sweeps.
 
-Spark deals the corpus out by word (a frequent word by pair): one bucket holds
-all there is of its words, so counting, seating and scoring are work on
-arrays.  Between sweeps only sums over contexts and frequent words go through
-the driver, whose number is bounded as said.  A sweep replays those before it
-from the same seeds, so nothing but these sums is kept and a lost task can run
-again.
+Spark deals the corpus out by word, pairs of a frequent word (at least one in
+CONTEXT_SHARE tokens) by their context: one bucket holds all there is of its
+words, so counting, seating and scoring are work on arrays.  Between sweeps,
+sums over frequent contexts and words go through the driver: there are at most
+CONTEXT_SHARE of them.  Those over all other contexts meet in a shuffle and
+come back to the buckets that ask for them; the buckets' table stays where it
+is.  A sweep replays those before it from the same seeds, so nothing but these
+sums is kept and a lost task can run again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,31 +38,35 @@ from folium.llm.common import bucket_count, scratch, written
 
 CONTEXT_SHARE = 65_000
 BURN_IN, SAMPLES = 2, 2
+LAST = BURN_IN + SAMPLES - 1
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 5.0
 UNKNOWN = 0.5
 SINGLE = 48
+#: Pairs that a task scores at a time.
+PAIRS = 200_000
 #: Tokens gathered by a task before it hands them on: counts, then pairs.
-VOCABULARY_CHUNK, CHUNK = 2_000_000, 800_000
-WORDS = 400_000
+VOCABULARY_CHUNK, CHUNK = 1_000_000, 500_000
+WORDS = 200_000
 #: Bytes of text that one bucket of words stands for at most.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 SEED = 7
 
-_LOW = np.uint64(0xFF)
-_END = (xxhash.xxh64_intdigest(b"end of text") >> 8) << 8
-_BEGIN = (xxhash.xxh64_intdigest(b"begin of text") >> 8) << 8
+_END = xxhash.xxh64_intdigest(b"end of text")  # no word has a space
+_BEGIN = xxhash.xxh64_intdigest(b"begin of text")
+#: The place of a context that isn't frequent.
+_FAR = 65_535
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordKeys(dict):
-    """Word to 56 bits of its hash, with its last byte as the low 8."""
+    """Word to its hash."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS:
             self.clear()
-        value = self[word] = (xxhash.xxh64_intdigest(word) >> 8) << 8 | word[-1]
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
@@ -81,6 +86,16 @@ def _unzip(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), kind)
 
 
+def _zip_keys(x: np.ndarray) -> bytes:
+    """Ascending hashes, as the bytes of their differences, the highest first
+    of all."""
+    return _zip(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unzip_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_unzip(data, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _A
     return (x ^ (x >> np.uint64(29))) * _B >> np.uint64(8)
@@ -98,7 +113,7 @@ def _vocabulary(buckets: int):
             to = (_mixed(words) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = [(b, words[order[i:j]].tobytes(), _zip(counts[order[i:j]])) for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+            rows = [(b, _zip_keys(words[order[i:j]]), _zip(counts[order[i:j]])) for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "words", "counts"])
 
         for batch in batches:
@@ -116,18 +131,18 @@ def _vocabulary(buckets: int):
 
 def _summed(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+    words = np.concatenate([_unzip_keys(r["words"]) for r in rows])
     counts = np.concatenate([_unzip(r["counts"], np.int64) for r in rows])
     kinds, of = np.unique(words, return_inverse=True)
     total = np.bincount(of, weights=counts).astype(np.int64)
-    return pa.table({"words": pa.array([kinds.tobytes()], pa.binary()), "counts": pa.array([_zip(total)], pa.binary()), "types": pa.array([len(kinds)], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
+    return pa.table({"words": pa.array([_zip_keys(kinds)], pa.binary()), "counts": pa.array([_zip(total)], pa.binary()), "types": pa.array([len(kinds)], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
 
 
 def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = np.frombuffer(row["words"], np.uint64), _unzip(row["counts"], np.int64)
+                words, counts = _unzip_keys(row["words"]), _unzip(row["counts"], np.int64)
                 many = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array(words[many].view(np.int64)), pa.array(counts[many])], names=["word", "count"])
 
@@ -147,15 +162,17 @@ class Plan:
     types: int
     frequent: np.ndarray  # sorted
     frequent_counts: np.ndarray
-    customers: np.ndarray | None = None  # of each context
-    tables: list[np.ndarray] = field(default_factory=list)  # of each context, by sweep
+    customers: np.ndarray | None = None  # of each frequent context
+    tables: list[np.ndarray] = field(default_factory=list)  # of each frequent context, by sweep
+    all_tables: list[float] = field(default_factory=list)  # of all contexts
     word_customers: list[np.ndarray] = field(default_factory=list)  # of each frequent word in the parent
     word_tables: list[np.ndarray] = field(default_factory=list)
     parent_tables: list[float] = field(default_factory=list)
 
     @property
     def contexts(self) -> int:
-        return len(self.frequent) + 257
+        """Those that are frequent, and the begin of a text."""
+        return len(self.frequent) + 1
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Place among the frequent words, or -1."""
@@ -168,8 +185,8 @@ class Plan:
         return np.where(known, (1 - UNKNOWN) / max(self.types, 1), UNKNOWN)
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("word_at", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary()), ("chunk", pa.int64()), ("doc_at", pa.binary()), ("doc_entries", pa.binary()), ("learn", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())])
-_DEALT_DDL = "bucket int, words binary, word_at binary, contexts binary, counts binary, chunk bigint, doc_at binary, doc_entries binary, learn binary, doc_ids array<bigint>, n_tokens binary"
+_DEALT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("word_at", pa.binary()), ("contexts", pa.binary()), ("far", pa.binary()), ("far_at", pa.binary()), ("counts", pa.binary()), ("chunk", pa.int64()), ("doc_at", pa.binary()), ("doc_entries", pa.binary()), ("learn", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())])
+_DEALT_DDL = "bucket int, words binary, word_at binary, contexts binary, far binary, far_at binary, counts binary, chunk bigint, doc_at binary, doc_entries binary, learn binary, doc_ids array<bigint>, n_tokens binary"
 
 
 def _deal(plan: Plan):
@@ -189,26 +206,25 @@ def _deal(plan: Plan):
             before = np.empty_like(words)
             before[1:] = words[:-1]
             before[np.r_[0, np.cumsum(lengths)[:-1]]] = _BEGIN
+            _, first, counts = np.unique(_mixed(words + before * _B) ^ owner * _A, return_index=True, return_counts=True)
+            words, before, owner = words[first], before[first], owner[first].astype(np.int64)
             at = plan.find(before)
-            context = np.where(at >= 0, at, len(plan.frequent) + (before & _LOW).astype(np.int64))
-            context[before == np.uint64(_BEGIN)] = len(plan.frequent) + 256
-            context = context.astype(np.uint64)
-            _, first, counts = np.unique(_mixed(words + context * _B) ^ owner * _A, return_index=True, return_counts=True)
-            words, context, owner = words[first], context[first].astype(np.uint16), owner[first].astype(np.int64)
-            often = plan.find(words) >= 0
-            to = (_mixed(np.where(often, words + context * _A, words)) % np.uint64(plan.buckets)).astype(np.int64)
+            context = np.where(at >= 0, at, np.where(before == np.uint64(_BEGIN), len(plan.frequent), _FAR)).astype(np.uint16)
+            by = np.where(plan.find(words) < 0, words, np.where(context == _FAR, before, words + before * _A))
+            to = (_mixed(by) % np.uint64(plan.buckets)).astype(np.int64)
             order = np.argsort(to * len(docs) + owner)
-            words, context, owner, counts, to = words[order], context[order], owner[order], counts[order], to[order]
+            words, before, context, owner, counts, to = (x[order] for x in (words, before, context, owner, counts, to))
             ends = np.searchsorted(to, np.arange(plan.buckets + 1))
             chunk = int(np.uint64(xxhash.xxh3_64_intdigest(b"".join(d[1] for d in docs))).astype(np.int64))
             learn = np.array([d[2] for d in docs], dtype=np.uint8)
-            rows = [(turn % plan.buckets, None, None, None, None, chunk, None, None, _zip(learn), [d[0] for d in docs], _zip(lengths.astype(np.int64)))]
+            rows = [(turn % plan.buckets, None, None, None, None, None, None, chunk, None, None, _zip(learn), [d[0] for d in docs], _zip(lengths.astype(np.int64)))]
             for b in range(plan.buckets):
                 i, j = ends[b], ends[b + 1]
                 if i < j:
                     kinds, of = np.unique(words[i:j], return_inverse=True)
+                    far, far_at = np.unique(before[i:j][context[i:j] == _FAR], return_inverse=True)
                     who, n = np.unique(owner[i:j], return_counts=True)
-                    rows.append((b, kinds.tobytes(), _zip(of.astype(np.uint32)), _zip(context[i:j]), _zip(counts[i:j].astype(np.uint32)), chunk, _zip(np.diff(who, prepend=0).astype(np.int32)), _zip(n.astype(np.uint32)), _zip(learn[who]), None, None))
+                    rows.append((b, _zip_keys(kinds), _zip(of.astype(np.uint32)), _zip(context[i:j]), _zip_keys(far), _zip(far_at.astype(np.uint32)), _zip(counts[i:j].astype(np.uint32)), chunk, _zip(np.diff(who, prepend=0).astype(np.int32)), _zip(n.astype(np.uint32)), _zip(learn[who]), None, None))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_DEALT)], schema=_DEALT)
 
         for batch in batches:
@@ -225,38 +241,47 @@ def _deal(plan: Plan):
     return run
 
 
-_SEATED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary()), ("chunks", pa.binary()), ("chunk_docs", pa.binary()), ("doc_at", pa.binary()), ("entry_docs", pa.binary()), ("entry_counts", pa.binary()), ("pair_entries", pa.binary()), ("learn", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())])
-_SEATED_DDL = "kind string, bucket int, words binary, pairs binary, contexts binary, counts binary, chunks binary, chunk_docs binary, doc_at binary, entry_docs binary, entry_counts binary, pair_entries binary, learn binary, doc_ids array<bigint>, n_tokens binary"
+_SEATED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("contexts", pa.binary()), ("far", pa.binary()), ("far_at", pa.binary()), ("counts", pa.binary()), ("chunk", pa.int64()), ("chunks", pa.binary()), ("chunk_docs", pa.binary()), ("doc_at", pa.binary()), ("entry_docs", pa.binary()), ("entry_counts", pa.binary()), ("pair_entries", pa.binary()), ("learn", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())])
+_SEATED_DDL = "kind string, bucket int, words binary, pairs binary, contexts binary, far binary, far_at binary, counts binary, chunk bigint, chunks binary, chunk_docs binary, doc_at binary, entry_docs binary, entry_counts binary, pair_entries binary, learn binary, doc_ids array<bigint>, n_tokens binary"
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """A bucket's words, their pairs with training counts, and where each pair
-    is; rows of documents pass."""
-    out, parts, chunk_of = [], [], []
+    is; rows of documents pass.  Words, contexts and documents are numbers
+    within the bucket, so an entry is sixteen bytes."""
+    every = lambda c: np.unique(np.concatenate([np.empty(0, np.uint64), *(_unzip_keys(x.as_py()) for x in table.column(c) if x.is_valid)]))
+    kinds, others = every("words"), every("far")
+    out, keys, counts, docs, learn, places, chunks, held = [], [], [], [], [], [], [], 0
     for batch in table.to_batches(max_chunksize=64):  # what has been read can go
         for r in batch.to_pylist():
             if r["words"] is None:
-                out.append(("docs", r["bucket"], None, None, None, None, np.array([r["chunk"]]).tobytes(), None, None, None, None, None, r["learn"], r["doc_ids"], r["n_tokens"]))
-            else:
-                n = _unzip(r["doc_entries"], np.uint32)
-                doc = np.repeat((len(chunk_of) << 32) + np.cumsum(_unzip(r["doc_at"], np.int32).astype(np.int64)), n)
-                chunk_of.append(r["chunk"])
-                parts.append((np.frombuffer(r["words"], np.uint64)[_unzip(r["word_at"], np.uint32)], _unzip(r["contexts"], np.uint16), _unzip(r["counts"], np.uint32), doc, np.repeat(_unzip(r["learn"], np.uint8), n)))
-    if parts:
-        words, contexts, counts, docs, learn = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        del parts
-        order = np.lexsort((contexts, words))
-        words, contexts, counts, docs, learn = words[order], contexts[order], counts[order], docs[order], learn[order]
-        new_word = np.r_[True, words[1:] != words[:-1]]
-        new_pair = new_word | np.r_[True, contexts[1:] != contexts[:-1]]
-        starts = np.flatnonzero(new_pair)
-        pair_counts = np.add.reduceat(counts.astype(np.int64) * learn, starts)
-        kinds = words[new_word]
-        pairs = np.diff(np.r_[np.flatnonzero(new_word[starts]), len(starts)])
-        held, doc_at = np.unique(docs, return_inverse=True)
-        own, chunk_docs = np.unique(held >> 32, return_counts=True)
-        place = np.diff(held & 0xFFFFFFFF, prepend=0).astype(np.int32)
-        out.append(("words", table.column("bucket")[0].as_py(), kinds.tobytes(), _zip(pairs.astype(np.uint32)), _zip(contexts[starts]), _zip(pair_counts), np.array(chunk_of)[own].tobytes(), _zip(chunk_docs.astype(np.int64)), _zip(place), _zip(doc_at.astype(np.uint32)), _zip(counts), _zip(np.diff(np.r_[starts, len(words)]).astype(np.uint32)), None, None, None))
+                out.append(("docs", r["bucket"], None, None, None, None, None, None, r["chunk"], None, None, None, None, None, None, r["learn"], r["doc_ids"], r["n_tokens"]))
+                continue
+            n = _unzip(r["doc_entries"], np.uint32)
+            place = _unzip(r["contexts"], np.uint16).astype(np.uint64)
+            place[place == _FAR] = (_FAR + 1 + np.searchsorted(others, _unzip_keys(r["far"])).astype(np.uint64))[_unzip(r["far_at"], np.uint32)]
+            word = np.searchsorted(kinds, _unzip_keys(r["words"])).astype(np.uint64)[_unzip(r["word_at"], np.uint32)]
+            keys.append(word << np.uint64(32) | place)
+            counts.append(_unzip(r["counts"], np.uint32))
+            docs.append(np.repeat(np.arange(held, held + len(n), dtype=np.uint32), n))
+            learn.append(_unzip(r["learn"], np.uint8))
+            places.append(np.cumsum(_unzip(r["doc_at"], np.int32)))
+            chunks.append((r["chunk"], len(n)))
+            held += len(n)
+    if keys:
+        bucket, key = table.column("bucket")[0].as_py(), np.concatenate(keys)
+        del table, keys
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[starts], len(key)
+        count, doc = np.concatenate(counts)[order], np.concatenate(docs)[order]
+        del order, counts, docs
+        pair_counts = np.add.reduceat(count * np.concatenate(learn)[doc].astype(np.int64), starts)
+        pairs = np.bincount((key >> np.uint64(32)).astype(np.int64))
+        place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        own, chunk_docs = (np.array(x, np.int64) for x in zip(*chunks, strict=True))
+        out.append(("words", bucket, _zip_keys(kinds), _zip(pairs.astype(np.uint32)), _zip(np.minimum(place, _FAR).astype(np.uint16)), _zip_keys(others), _zip((place[place > _FAR] - _FAR - 1).astype(np.uint32)), _zip(pair_counts), None, own.tobytes(), _zip(chunk_docs), _zip(np.diff(np.concatenate(places), prepend=0).astype(np.int32)), _zip(doc), _zip(count), _zip(np.diff(np.r_[starts, n]).astype(np.uint32)), None, None, None))
     return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_SEATED)], schema=_SEATED)
 
 
@@ -296,15 +321,47 @@ class Bucket:
 
     def __init__(self, row: dict, plan: Plan) -> None:
         self.plan, self.number = plan, row["bucket"]
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.words = _unzip_keys(row["words"])
         pairs = _unzip(row["pairs"], np.uint32)
-        self.word_of = np.repeat(np.arange(len(self.words)), pairs)
-        self.context = _unzip(row["contexts"], np.uint16).astype(np.int64)
+        self.word_of = np.repeat(np.arange(len(self.words), dtype=np.int32), pairs)
+        self.context = _unzip(row["contexts"], np.uint16).astype(np.int32)
+        self.far = _unzip_keys(row["far"])  # contexts that aren't frequent, after those that are
+        self.context[self.context == _FAR] = plan.contexts + _unzip(row["far_at"], np.uint32)
         self.count = _unzip(row["counts"], np.int64)
         self.often = plan.find(self.words)
         own = np.bincount(self.word_of, weights=self.count, minlength=len(self.words))
         self.word_count = np.where(self.often >= 0, plan.frequent_counts[self.often] if len(plan.frequent) else 0, own)
         self.base = plan.base(self.word_count > 0)
+        moving = np.zeros(len(self.far), bool)
+        self.many = np.flatnonzero(self.count >= 2)
+        several = self.context[self.many] - plan.contexts
+        moving[several[several >= 0]] = True  # a pair seen once has one table in each sweep
+        self.moving, self.everyone = self._homes(np.flatnonzero(moving)), self._homes(np.arange(len(self.far)))
+        self.pairs_of_far, self.customers_of_far = np.zeros((2, len(self.far)))
+        self.far_tables: dict[int, np.ndarray] = {}
+        for told in sorted(row["told"] or (), key=lambda x: x["sweep"]):
+            s, got = told["sweep"], _unzip(told["values"], np.int64)
+            at, ends = self.moving if 0 < s < LAST else self.everyone
+            at = at[ends[told["part"]] : ends[told["part"] + 1]]
+            got = got.reshape(-1, len(at))
+            if s == 0:
+                self.pairs_of_far[at], self.customers_of_far[at] = got
+            else:
+                for k, more in zip(range(BURN_IN, LAST + 1) if s == LAST else (s,), got, strict=True):
+                    self.far_tables.setdefault(k, self.pairs_of_far.copy())[at] = self.pairs_of_far[at] + more
+
+    def _homes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of far contexts by the part that sums them up, and where
+        each part starts."""
+        home = (_mixed(self.far[at]) % np.uint64(self.plan.buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        return at[order], np.searchsorted(home[order], np.arange(self.plan.buckets + 1))
+
+    def context_tables(self, sweep: int) -> np.ndarray:
+        return np.r_[self.plan.tables[sweep], self.far_tables.get(sweep, self.pairs_of_far)]
+
+    def of_far(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=weights, minlength=self.plan.contexts + len(self.far))[self.plan.contexts :]
 
     def in_parent(self, tables: np.ndarray, sweep: int, before: np.ndarray | None, rng: np.random.Generator, frequent_too: bool) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of each word in the parent restaurant."""
@@ -321,7 +378,7 @@ class Bucket:
     def parent(self, customers: np.ndarray, seats: np.ndarray, sweep: int) -> np.ndarray:
         """Predictive probability of each word in the parent restaurant."""
         plan = self.plan
-        return (np.maximum(customers - PARENT_DISCOUNT * seats, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * plan.parent_tables[sweep]) * self.base) / (PARENT_STRENGTH + plan.tables[sweep].sum())
+        return (np.maximum(customers - PARENT_DISCOUNT * seats, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * plan.parent_tables[sweep]) * self.base) / (PARENT_STRENGTH + plan.all_tables[sweep])
 
     def sweeps(self, last: int, complete: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Sweep, tables of each pair, customers and tables of each word in the
@@ -332,8 +389,9 @@ class Bucket:
             if s == 0:
                 tables = np.minimum(self.count, 1).astype(float)
             else:
-                elsewhere = np.maximum(plan.tables[s - 1][self.context] - tables, 0)
-                tables = seat(self.count, chance[self.word_of], elsewhere, DISCOUNT, STRENGTH, rng)
+                tables, at = tables.copy(), self.many
+                elsewhere = np.maximum(self.context_tables(s - 1)[self.context[at]] - tables[at], 0)
+                tables[at] = seat(self.count[at], chance[self.word_of[at]], elsewhere, DISCOUNT, STRENGTH, rng)
             done = s < last or complete
             customers, seats = self.in_parent(tables, s, seats, rng, done)
             if done:
@@ -341,32 +399,76 @@ class Bucket:
             yield s, tables, customers, seats
 
 
+_SENT = pa.schema([("to", pa.int32()), ("kind", pa.string()), ("bucket", pa.int32()), ("at", pa.binary()), ("values", pa.binary())])
+_SENT_DDL = "to int, kind string, bucket int, at binary, values binary"
+_TOLD_DDL = "kind string, bucket int, part int, at binary, values binary"
+
+
 def _sums(plan: Plan, sweep: int):
-    """Sums of a sweep: tables and customers of each context, customers of
-    each frequent word in the parent, tables of the other words there."""
+    """Sums of a sweep: tables and customers of each frequent context,
+    customers of each frequent word in the parent, tables of the other words
+    there and of all contexts; of each other context its pairs and customers
+    (the first sweep) or the tables that its pairs have beyond one."""
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SENT)], schema=_SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_context, customers, of_word, rest = np.zeros(plan.contexts), np.zeros(plan.contexts), np.zeros(max(1, len(plan.frequent))), 0.0
+        of_context, customers, of_word, rest = np.zeros(plan.contexts), np.zeros(plan.contexts), np.zeros(max(1, len(plan.frequent))), np.zeros(2)
         for batch in batches:
             for row in batch.to_pylist():
-                bucket = Bucket(row, plan)
+                bucket, beyond = Bucket(row, plan), []
                 for s, tables, in_parent, seats in bucket.sweeps(sweep, complete=False):
+                    if s == sweep or sweep == LAST and s >= BURN_IN:
+                        beyond.append(bucket.of_far(tables - (bucket.count > 0)))
                     if s == sweep:
-                        of_context += np.bincount(bucket.context, weights=tables, minlength=plan.contexts)
-                        customers += np.bincount(bucket.context, weights=bucket.count, minlength=plan.contexts)
+                        of_context += np.bincount(bucket.context, weights=tables, minlength=plan.contexts)[: plan.contexts]
+                        customers += np.bincount(bucket.context, weights=bucket.count, minlength=plan.contexts)[: plan.contexts]
                         often = bucket.often >= 0
                         of_word += np.bincount(bucket.often[often], weights=in_parent[often], minlength=len(of_word))
-                        rest += seats[~often].sum()
-        for kind, values in (("tables", of_context), ("customers", customers), ("words", of_word), ("rest", np.array([rest]))):
+                        rest += seats[~often].sum(), tables.sum()
+                values = [bucket.of_far(bucket.count > 0), bucket.of_far(bucket.count)] if sweep == 0 else beyond
+                at, ends = bucket.moving if 0 < sweep < LAST else bucket.everyone
+                rows = [(p, "far", bucket.number, _zip_keys(bucket.far[at[i:j]]), _zip(np.concatenate([v[at[i:j]] for v in values]).astype(np.int64))) for p, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+                if rows:
+                    yield sent(rows)
+        rows = []
+        for kind, values in (("tables", of_context), ("customers", customers), ("words", of_word), ("rest", rest)):
             at = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(values[at].astype(np.int64))], names=["kind", "at", "value"])
+            for p in range(min(plan.buckets, 16)):
+                own = at[at % min(plan.buckets, 16) == p]
+                if len(own):
+                    rows.append((p, kind, None, _zip(own), _zip(values[own].astype(np.int64))))
+        if rows:
+            yield sent(rows)
 
     return run
 
 
+def _told(table: pa.Table) -> pa.Table:
+    """Sums over all buckets: of frequent contexts and words for the driver, of
+    other contexts for each bucket that has them, in its order."""
+    rows, out, part = table.to_pylist(), [], table.column("to")[0].as_py()
+    for kind in ("tables", "customers", "words", "rest"):
+        own = [r for r in rows if r["kind"] == kind]
+        if own:
+            at, of = np.unique(np.concatenate([_unzip(r["at"], np.int64) for r in own]), return_inverse=True)
+            total = np.bincount(of, weights=np.concatenate([_unzip(r["values"], np.int64) for r in own]))
+            out.append((kind, None, part, _zip(at), _zip(total.astype(np.int64))))
+    far = [r for r in rows if r["kind"] == "far"]
+    if far:
+        keys = [_unzip_keys(r["at"]) for r in far]
+        _, of = np.unique(np.concatenate(keys), return_inverse=True)
+        values = np.concatenate([_unzip(r["values"], np.int64).reshape(-1, len(k)) for r, k in zip(far, keys, strict=True)], axis=1)
+        totals = np.array([np.bincount(of, weights=v)[of] for v in values]).astype(np.int64)
+        ends = np.cumsum([0, *map(len, keys)])
+        out += [("far", r["bucket"], part, None, _zip(totals[:, i:j])) for r, i, j in zip(far, ends[:-1], ends[1:], strict=True)]
+    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "bucket", "part", "at", "values"])
+
+
 def _scores(plan: Plan, buckets: int):
     """Of each bucket, every document's part of the scores, dealt out by
-    document; rows of documents go with them."""
+    document."""
     schema = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("doc_at", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("learn", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())])
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -376,23 +478,25 @@ def _scores(plan: Plan, buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 chunks = np.frombuffer(row["chunks"], np.int64)
-                if row["kind"] == "docs":
-                    yield out([(int(chunks[0]), None, None, None, None, row["learn"], row["doc_ids"], row["n_tokens"])])
-                    continue
                 bucket = Bucket(row, plan)
-                mean = np.zeros(len(bucket.count))
-                for s, tables, customers, seats in bucket.sweeps(len(plan.tables) - 1, complete=True):
+                mean, customers_of = np.zeros(len(bucket.count)), np.r_[plan.customers, bucket.customers_of_far]
+                parts = [slice(i, i + PAIRS) for i in range(0, len(mean), PAIRS)]
+                for s, tables, customers, seats in bucket.sweeps(LAST, complete=True):
                     if s >= BURN_IN:
-                        parent = bucket.parent(customers, seats, s)[bucket.word_of]
-                        mean += (np.maximum(bucket.count - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * plan.tables[s][bucket.context]) * parent) / (STRENGTH + plan.customers[bucket.context])
-                log = np.log10(mean / SAMPLES)
-                base = np.log10((bucket.word_count + 0.1) / (plan.tokens + 0.1 * (plan.types + 1)))[bucket.word_of]
-                known = (bucket.word_count > 0)[bucket.word_of]
-                of, counts = np.repeat(np.arange(len(log)), _unzip(row["pair_entries"], np.uint32)), _unzip(row["entry_counts"], np.uint32).astype(float)
-                doc = _unzip(row["entry_docs"], np.uint32)
-                place = np.cumsum(_unzip(row["doc_at"], np.int32))
-                add = lambda x: np.bincount(doc, weights=counts * x[of], minlength=len(place))  # noqa: B023, E731
-                a, b, c = add(log), add(base), add(known).astype(np.int32)
+                        parent, of_context = bucket.parent(customers, seats, s), bucket.context_tables(s)
+                        for i in parts:
+                            c = bucket.context[i]
+                            mean[i] += (np.maximum(bucket.count[i] - DISCOUNT * tables[i], 0) + (STRENGTH + DISCOUNT * of_context[c]) * parent[bucket.word_of[i]]) / (STRENGTH + customers_of[c])
+                base = np.log10((bucket.word_count + 0.1) / (plan.tokens + 0.1 * (plan.types + 1)))
+                known = (bucket.word_count > 0).astype(float)
+                counts, doc, n = (_unzip(row[c], np.uint32) for c in ("entry_counts", "entry_docs", "pair_entries"))
+                starts, place = np.r_[0, np.cumsum(n, dtype=np.int64)], np.cumsum(_unzip(row["doc_at"], np.int32))
+                a, b, c = np.zeros((3, len(place)))
+                for i in parts:
+                    own = slice(starts[i.start], starts[min(i.stop, len(mean))])
+                    for into, x in ((a, np.log10(mean[i] / SAMPLES)), (b, base[bucket.word_of[i]]), (c, known[bucket.word_of[i]])):
+                        into += np.bincount(doc[own], weights=counts[own] * np.repeat(x, n[i]), minlength=len(place))
+                c = c.astype(np.int32)
                 ends = np.cumsum(_unzip(row["chunk_docs"], np.int64))
                 yield out([(int(k), _zip(np.diff(place[i:j], prepend=0).astype(np.int32)), a[i:j].tobytes(), b[i:j].tobytes(), _zip(c[i:j]), None, None, None) for k, i, j in zip(chunks, np.r_[0, ends[:-1]], ends, strict=True)])
 
@@ -430,26 +534,38 @@ def _totals(table: pa.Table) -> pa.Table:
     )
 
 
-def train(dealt: DataFrame, plan: Plan) -> Plan:
-    """Sweeps over the dealt corpus; fills in the plan's sums."""
-    words = dealt.where("kind = 'words'").select("bucket", "words", "pairs", "contexts", "counts")
-    for sweep in range(BURN_IN + SAMPLES):
-        sums = words.mapInArrow(_sums(plan, sweep), "kind string, at int, value bigint").groupBy("kind", "at").agg(F.sum("value").alias("value"))
-        got = {kind: np.zeros(n) for kind, n in (("tables", plan.contexts), ("customers", plan.contexts), ("words", len(plan.frequent)), ("rest", 1))}
-        table = sums.toArrow()  # at most two rows for each context and one for each frequent word
-        kinds, at, value = (table.column(c).to_numpy() for c in ("kind", "at", "value"))
-        for kind, into in got.items():
-            own = kinds == kind
-            into[at[own]] = value[own]
+_LEARNT = ["bucket", "words", "pairs", "contexts", "far", "far_at", "counts"]
+
+
+def _with_told(words: DataFrame, told: list[DataFrame], buckets: int) -> DataFrame:
+    """Buckets with what they were told of their contexts after each sweep."""
+    if not told:
+        return words.withColumn("told", F.lit(None).cast("array<struct<sweep:int,part:int,values:binary>>"))
+    rows = reduce(DataFrame.unionByName, [t.where("kind = 'far'").select("bucket", F.struct(F.lit(s).alias("sweep"), "part", "values").alias("x")) for s, t in enumerate(told)])
+    of = rows.repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list("x").alias("told"))
+    return words.join(of.hint("shuffle_hash"), "bucket", "left")
+
+
+def train(words: DataFrame, plan: Plan) -> list[DataFrame]:
+    """Sweeps over the dealt corpus; fills in the plan's sums and gives what
+    the buckets are told after each."""
+    told: list[DataFrame] = []
+    for sweep in range(LAST + 1):
+        sent = _with_told(words.select(*_LEARNT), told, plan.buckets).mapInArrow(_sums(plan, sweep), _SENT_DDL)
+        told.append(written(sent.groupBy("to").applyInArrow(_told, _TOLD_DDL), "told", "kind"))
+        got = {kind: np.zeros(n) for kind, n in (("tables", plan.contexts), ("customers", plan.contexts), ("words", len(plan.frequent)), ("rest", 2))}
+        for r in told[-1].where("kind <> 'far'").collect():  # of each frequent context and word at most two numbers and one
+            got[r["kind"]][_unzip(bytes(r["at"]), np.int64)] = _unzip(bytes(r["values"]), np.int64)
         before = plan.word_tables[-1] if plan.word_tables else np.zeros(len(plan.frequent))
         elsewhere = np.maximum((plan.parent_tables[-1] if sweep else 0.5 * plan.types) - before, 0)
         of_words = seat(got["words"].astype(np.int64), plan.base(np.ones(len(plan.frequent), bool)), elsewhere, PARENT_DISCOUNT, PARENT_STRENGTH, np.random.default_rng([SEED, sweep]))
         plan.customers = got["customers"]
         plan.tables.append(got["tables"])
+        plan.all_tables.append(float(got["rest"][1]))
         plan.word_customers.append(got["words"])
         plan.word_tables.append(of_words)
         plan.parent_tables.append(float(got["rest"][0] + of_words.sum()))
-    return plan
+    return told
 
 
 def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -478,9 +594,16 @@ def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     plan = Plan(buckets, n, types, frequent[order], np.array([r["count"] for r in often], dtype=np.int64)[order])
 
     path = scratch(spark, "pairs")
-    rows.mapInArrow(_deal(plan), _DEALT_DDL).groupBy("bucket").applyInArrow(_gather, _SEATED_DDL).write.partitionBy("kind").parquet(path)
-    dealt = spark.read.schema(_SEATED_DDL).parquet(path)
-    train(dealt, plan)
+    name = "pairs_" + path.rsplit("-", 1)[1]
+    made = rows.mapInArrow(_deal(plan), _DEALT_DDL).groupBy("bucket").applyInArrow(_gather, _SEATED_DDL)
+    made.write.format("parquet").option("path", path).bucketBy(buckets, "bucket").saveAsTable(name)  # so that sweeps don't shuffle it
+    dealt = spark.table(name)
+    words = dealt.where("kind = 'words'")
+    told = train(words, plan)
     score, schema = _scores(plan, buckets)
-    totals = dealt.mapInArrow(score, schema).groupBy("to").applyInArrow(_totals, _RESULT)
+    parts = _with_told(words.select(*_LEARNT, "chunks", "chunk_docs", "doc_at", "entry_docs", "entry_counts", "pair_entries"), told, buckets).mapInArrow(score, schema)
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("doc_at", "score", "base", "known")]
+    of_docs = dealt.where("kind = 'docs'").select(F.pmod("chunk", F.lit(buckets)).cast("int").alias("to"), "chunk", *nothing, "learn", "doc_ids", "n_tokens")
+    totals = written(parts.unionByName(of_docs).groupBy("to").applyInArrow(_totals, _RESULT), "scores")
+    spark.sql(f"DROP TABLE {name}")
     return totals.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.col("n_tokens")).alias("log10_perplexity"))

@@ -408,6 +408,21 @@ def test_model_is_a_distribution(spark):
         assert 0.95 < mass < 1 + 1e-9, mass
 
 
+def test_every_context_has_its_own_restaurant(spark, monkeypatch):
+    """Contexts that are too rare for the driver are told apart too, though
+    they end alike, and what follows them adds up to one."""
+    monkeypatch.setattr(pitman_yor, "CONTEXT_SHARE", 4)  # none but the end is frequent
+    pairs = [("foe", "bar"), ("toe", "tar"), ("hoe", "car"), ("woe", "jar")]
+    learnt = [f"{a} {b}" for a, b in pairs for _ in range(200)]
+    asked = [f"{a} {b}" for a, _ in pairs for _, b in pairs]
+    frame = table(spark, [*learnt, *asked], range(len(learnt) + len(asked)))
+    got = {r.doc_id: r.score for r in pitman_yor.model_scores(frame, F.col("doc_id") >= len(learnt)).collect()}
+    score = {t: got[len(learnt) + i] for i, t in enumerate(asked)}
+    assert all(10 ** score[f"{a} {b}"] > 0.2 for a, b in pairs)
+    assert sum(10**x for x in score.values()) < 1
+    assert all(score[f"{a} {b}"] > score[f"{a} {c}"] + 1.5 for a, b in pairs for _, c in pairs if b != c)
+
+
 def test_seats_are_of_the_restaurant():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000] * 200)
