@@ -96,6 +96,13 @@ def _unzip_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(_unzip(data, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, whose binary values stay where the batch has them."""
+    columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+    for i in range(batch.num_rows):
+        yield {c: None if not x[i].is_valid else x[i].as_buffer() if pa.types.is_binary(x.type) else x[i].as_py() for c, x in columns.items()}
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _A
     return (x ^ (x >> np.uint64(29))) * _B >> np.uint64(8)
@@ -249,13 +256,13 @@ def _gather(table: pa.Table) -> pa.Table:
     """A bucket's words, their pairs with training counts, and where each pair
     is; rows of documents pass.  Words, contexts and documents are numbers
     within the bucket, so an entry is sixteen bytes."""
-    every = lambda c: np.unique(np.concatenate([np.empty(0, np.uint64), *(_unzip_keys(x.as_py()) for x in table.column(c) if x.is_valid)]))
+    every = lambda c: np.unique(np.concatenate([np.empty(0, np.uint64), *(_unzip_keys(x.as_buffer()) for x in table.column(c) if x.is_valid)]))
     kinds, others = every("words"), every("far")
     out, keys, counts, docs, learn, places, chunks, held = [], [], [], [], [], [], [], 0
     for batch in table.to_batches(max_chunksize=64):  # what has been read can go
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             if r["words"] is None:
-                out.append(("docs", r["bucket"], None, None, None, None, None, None, r["chunk"], None, None, None, None, None, None, r["learn"], r["doc_ids"], r["n_tokens"]))
+                out.append(("docs", r["bucket"], None, None, None, None, None, None, r["chunk"], None, None, None, None, None, None, r["learn"].to_pybytes(), r["doc_ids"], r["n_tokens"].to_pybytes()))
                 continue
             n = _unzip(r["doc_entries"], np.uint32)
             place = _unzip(r["contexts"], np.uint16).astype(np.uint64)
@@ -416,7 +423,7 @@ def _sums(plan: Plan, sweep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_context, customers, of_word, rest = np.zeros(plan.contexts), np.zeros(plan.contexts), np.zeros(max(1, len(plan.frequent))), np.zeros(2)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 bucket, beyond = Bucket(row, plan), []
                 for s, tables, in_parent, seats in bucket.sweeps(sweep, complete=False):
                     if s == sweep or sweep == LAST and s >= BURN_IN:
@@ -476,7 +483,7 @@ def _scores(plan: Plan, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunks = np.frombuffer(row["chunks"], np.int64)
                 bucket = Bucket(row, plan)
                 mean, customers_of = np.zeros(len(bucket.count)), np.r_[plan.customers, bucket.customers_of_far]
@@ -596,7 +603,7 @@ def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     path = scratch(spark, "pairs")
     name = "pairs_" + path.rsplit("-", 1)[1]
     made = rows.mapInArrow(_deal(plan), _DEALT_DDL).groupBy("bucket").applyInArrow(_gather, _SEATED_DDL)
-    made.write.format("parquet").option("path", path).bucketBy(buckets, "bucket").saveAsTable(name)  # so that sweeps don't shuffle it
+    made.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, "bucket").saveAsTable(name)  # so sweeps needn't shuffle it
     dealt = spark.table(name)
     words = dealt.where("kind = 'words'")
     told = train(words, plan)
