@@ -521,3 +521,21 @@ def test_jaccard_pairs_write_no_meetings(spark, monkeypatch):
     got = sketches.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", 10).collect()
     assert {(r.a, r.b): r.jaccard for r in got} == pytest.approx(want) and len(got) == len(want)
     assert not any("shingle" in columns for columns in tags)
+
+
+def test_edges_meet_nodes_in_pieces(spark, monkeypatch):
+    """A join of edges with nodes is dealt into as many pieces as the edges
+    need, not as the shuffle is wide, and loses nothing."""
+    edges = spark.createDataFrame([(f"n{i % 7}", f"n{i * i % 11}", "r", i) for i in range(60)], "source string, target string, relation string, weight long")
+    edges = storage.cut_lineage(edges)
+    monkeypatch.setattr(storage, "PIECE", 2)
+    pieces = storage.piece_count(edges)
+    assert pieces >= 30 and storage.dealt(edges, pieces, "source").rdd.getNumPartitions() == pieces
+    kept = graph.min_degree(edges, 12, pieces)
+    assert kept.rdd.getNumPartitions() == pieces
+    assert sorted(kept.collect()) == sorted(graph.min_degree(edges, 12).collect())
+    ranks = lambda: {r.name: round(r.rank, 12) for r in graph.pagerank(nodes, edges, nodes.where("name = 'n1'"), iterations=3).collect()}
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(12)], "name string")
+    dealt = ranks()
+    monkeypatch.undo()
+    assert dealt == ranks()
