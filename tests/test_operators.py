@@ -97,6 +97,19 @@ def test_summary_cache(spark):
     assert graph.community_summaries(found, nodes, edges(spark, ("a", "b", "ally", 1)), known).first().summary == "kept"
 
 
+def test_members_after_the_first_are_found(spark):
+    """A search names the last member of a community of 25."""
+    found = spark.createDataFrame([(f"member{i:02}", 0) for i in range(25)] + [("x", 1), ("y", 1)], "name string, community int")
+    nodes = found.select("name", F.lit("-").alias("role"), F.lit(1).alias("mention_count"))
+    none = edges(spark, ("x", "y", "r", 1))
+    some, every = (graph.community_summaries(found, nodes, none, **most) for most in ({}, {"most_members": None}))
+    size = lambda rows: {r.community: len(r.members) for r in rows.collect()}
+    assert size(some) == {0: 20, 1: 2} and size(every) == {0: 25, 1: 2}
+    asked = "QQ member24"
+    score = lambda rows: {r.community: r.score for r in graph.community_search(rows, asked).collect()}
+    assert score(every)[0] == score(some)[0] + 5
+
+
 def test_alias_map_is_the_greedy_pass(spark):
     names = [("Ann Smith", "lead", 9), ("Ann", "x", 3), ("Ann Smithson", "x", 2), ("Bob", "x", 60), ("Bill", "x", 1), ("Smith", "x", 2)]
     table = spark.createDataFrame(names, "name string, role string, chapters int")
