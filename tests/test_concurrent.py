@@ -75,3 +75,13 @@ def test_composites(spark):
     assert of("wiki") == {"wiki": ("found", 1, 0), "vector": ("found", 1, 0)}
     assert of("graph") == {"graph": ("nothing", 0, None)}
     assert of("no such kind") == of("all") == {"wiki": ("found", 1, 0), "vector": ("found", 1, 0), "graph": ("nothing", 0, None)}
+
+
+def test_a_whole_answer_waits_for_its_slowest_leg(spark, monkeypatch):
+    """All searches as one have no deadline: a large graph isn't an error."""
+    from folium.plans import research
+
+    legs = {"quick": rows_of(spark, "x"), "slow": slow(spark, 4)}
+    monkeypatch.setattr(research, "_legs", lambda *_: legs)
+    monkeypatch.setattr(concurrent.run_legs, "__defaults__", (2, *concurrent.run_legs.__defaults__[1:]))
+    assert {r.leg for r in research._all_legs(spark, "").collect()} == {"quick", "slow"}

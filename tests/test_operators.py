@@ -46,6 +46,20 @@ def test_pagerank_makes_its_edges_once(spark, tmp_path):
     assert read.value == 3
 
 
+def test_pagerank_of_odd_ends(spark):
+    """Ends that are no nodes take what is sent to them out of the graph;
+    nulls get nothing; the table of a run's steps goes when it ends."""
+    made = edges(spark, ("a", "b", "r", 1), ("a", "nowhere", "r", 3), ("nowhere", "a", "r", 9), ("b", "b", "r", 2), (None, "a", "r", 1), ("b", None, "r", 2))
+    nodes = spark.createDataFrame([("a",), ("b",), (None,), ("c",)], "name string")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.name: r["rank"] for r in graph.pagerank(nodes, made, nodes.where("name = 'a'"), iterations=2).collect()}
+    a, b, c = 0.25, 0.25, 0.25
+    for _ in range(2):
+        a, b, c = 0.85 * c + 0.15, 0.85 * (a / 4 + b / 2), 0.0
+    assert got == pytest.approx({"a": a, "b": b, "c": c, None: 0.0})
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_communities(spark):
     pairs = [(f"n{a}", f"n{b}") for block in (range(6), range(7, 13)) for a in block for b in block if a < b] + [("n0", "n7"), ("n6", "n13"), ("n13", "n14")]
     got = {r.name: r.community for r in graph.communities(edges(spark, *((a, b, "r", 1) for a, b in pairs))).collect()}
