@@ -219,6 +219,27 @@ def test_minhash_pairs_are_all_that_agree(spark, threshold):
     assert sum(600 - n for n in met) < 600
 
 
+def test_signatures_half_alike_go_where_they_meet(spark):
+    """Signatures that agree in half of their places, as long texts of one
+    language do, meet often, and few of them go on to whole signatures."""
+    rng = np.random.default_rng(6)
+    some = np.where(rng.random((120, 128)) < 0.72, rng.integers(0, 1 << 32, 128), rng.integers(0, 1 << 32, (120, 128)))
+    some[1] = some[0]
+    some[1, :20] = rng.integers(0, 1 << 32, 20)
+    made = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(some)], "k bigint, signature array<bigint>")
+    near = {(r.a, r.b) for r in sketches._minhash_near(made, made, "k", 0.75, 128).where("a < b").collect()}
+    assert (0, 1) in near and len(near) < 0.01 * 120 * 119 / 2
+
+
+def test_verified_pairs_write_no_sets(spark, monkeypatch):
+    """Texts meet as they are: no sets of shingles are shuffled."""
+    docs = spark.createDataFrame([(1, "abc defghij"), (2, "abcdefghij"), (3, "abcdefghijk")], "id int, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    monkeypatch.setattr(sketches.T, "shingles", None)
+    got = sketches.verified_pairs(docs, pairs, "id")
+    assert {(r.a, r.b): round(r.jaccard, 6) for r in got.collect()} == {(1, 2): 1.0, (1, 3): 0.875}
+
+
 def test_first_kept_against_a_plain_pass(spark):
     rng = random.Random(9)
     pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(k, k + 1) for k in range(60, 75)}
