@@ -571,6 +571,23 @@ def test_jaccard_pairs_write_no_meetings(spark, monkeypatch):
     assert not any("shingle" in columns for columns in tags)
 
 
+@pytest.mark.parametrize("often, columns", [(2, 3), (32, 4096), (32, 0)])
+def test_chunks_are_compared_by_matrices_and_entries(monkeypatch, often, columns):
+    """What two chunks share is the same whichever shingles are columns."""
+    monkeypatch.setattr(sketches, "OFTEN", often)
+    monkeypatch.setattr(sketches, "COLUMNS", columns)
+    monkeypatch.setattr(sketches, "MEETINGS", 9)
+    rng = random.Random(2)
+    some = lambda k: ["", "a", "abcde"] + ["".join(rng.choice(["thand", "eaux", "undie", "schau", "x"]) for _ in range(rng.randint(1, 12))) for _ in range(k)]
+    left, right = some(70), some(9)
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)} or {t}
+    a, b = sketches._entries(left), sketches._entries(right)
+    chosen = sketches._often(a)
+    assert len(chosen) <= columns and (len(chosen) > 0) == (columns > 0)
+    got = sketches._common(chosen, sketches._split(a, chosen), b)
+    assert got.tolist() == [[len(grams(x) & grams(y)) for y in right] for x in left]
+
+
 def test_edges_meet_nodes_in_pieces(spark, monkeypatch):
     """A join of edges with nodes is dealt into as many pieces as the edges
     need, not as the shuffle is wide, and loses nothing."""
