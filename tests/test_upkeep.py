@@ -164,3 +164,20 @@ def test_ranks_of_two_sides_settle_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(upkeep, "cut_lineage", lambda df, tag="cut", *by: (tags.append(tag), cut_lineage(df, tag, *by))[1])
     assert close(upkeep.ranked(g, 0.85), plain_ranks(one + two, rows, ["s0", "c3"], 0.85))
     assert tags.count("held") < 20
+
+
+def test_rounds_shuffle_no_steps(spark, monkeypatch):
+    """Steps lie by number of where they start, so a join of them with states
+    shuffles the states alone; their table goes when ranks are settled."""
+    monkeypatch.setattr(upkeep, "PIECE", 20)
+    steps = spark.createDataFrame([(f"n{i % 9}", f"n{i % 7}", 0.1 * i) for i in range(40)], "source string, target string, factor double")
+    before = {t.name for t in spark.catalog.listTables()}
+    ways = upkeep.ways_of(steps)
+    name = {r.id: r.node for r in ways.ids.collect()}
+    assert len(name) == len(set(name.values())) == 9
+    held = spark.table(ways.table)
+    assert sorted((name[r.a], name[r.b], r.factor) for r in held.collect()) == sorted(map(tuple, steps.collect()))
+    plan = held.join(ways.ids.hint("merge"), held.a == ways.ids.id)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    ways.drop()
+    assert {t.name for t in spark.catalog.listTables()} == before
